@@ -6,11 +6,17 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leadweave.plans.pipeline import prepare
+from leadweave.session import spread, stored_table
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
 ).split()
 
+# Tables whose rows carry per-row work; small files of these are spread over the cores.
+DRIVING = ("orders", "pages", "documents")
+
 RAW_LEADS = """
 SELECT CAST(o.o_orderkey AS BIGINT) AS lead_id,
   CASE WHEN o.o_orderkey % 97 = 0 THEN NULL
@@ -42,7 +48,7 @@ JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey =
 JOIN part p ON p.p_partkey = c.c_custkey
 JOIN (SELECT c_custkey AS k, CAST(201 + c_custkey % 700 AS STRING) AS area, CAST(200 + (c_custkey * 7) % 800 AS STRING) AS pre,
              CAST(1000 + (c_custkey * 13) % 9000 AS STRING) AS line FROM customer) a ON a.k = c.c_custkey
-""".replace("{zwsp}", "​")
+""".replace("{zwsp}", "\u200b")
 
 # One crawl task per customer with orders; status and totals come from its orders.
 TASKS = """
@@ -149,7 +155,8 @@ def for_engine(sql: str, engine: str = "spark") -> str:
 def load_tables(spark: SparkSession, sf_dir: str, *names: str) -> None:
     """Register parquet tables as temporary views."""
     for name in names or TABLES:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        (spread(table) if name in DRIVING else table).createOrReplaceTempView(name)
 
 
 def raw_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +205,5 @@ def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prepared_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Admitted, identified, cleaned and validated leads: the input of deduplication."""
-    from leadweave.plans.pipeline import prepare
-
-    return prepare(raw_leads(spark, sf_dir))
+    """Admitted, identified, cleaned and validated leads, stored: the input of deduplication."""
+    return stored_table(spark, "prepared_leads", sf_dir, lambda: prepare(raw_leads(spark, sf_dir)))

@@ -1,6 +1,9 @@
 """Session defaults and the one place where lineage is cut."""
 
+import hashlib
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +54,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the checkpoint folder and forget how it was made."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored_table(
+    spark: SparkSession, name: str, origin: str, build: Callable[[], DataFrame]
+) -> DataFrame:
+    """A Parquet table under the checkpoint folder, written on first use in an application and
+    read from there afterwards, with column pruning and filter pushdown as for any table."""
+    key = (spark.sparkContext.applicationId, name, origin)
+    if key not in _STORED:
+        mark = hashlib.md5(origin.encode()).hexdigest()[:8]
+        path = f"{ensure_checkpoint_dir(spark)}/tables/{name}-{mark}-{uuid.uuid4().hex}"
+        build().write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Let a scan of a few small files use all cores. A scan that already has as many
+    partitions as there are cores, the case on large tables, is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -22,7 +22,7 @@ def export_rows(companies: DataFrame, task_id: str) -> DataFrame:
 def export_csv(df: DataFrame, path: str) -> None:
     """CSV part files with a header; the byte order mark rides on the first header name."""
     first = EXPORT_COLUMNS[0]
-    df.select(EXPORT_COLUMNS).withColumnRenamed(first, "﻿" + first) \
+    df.select(EXPORT_COLUMNS).withColumnRenamed(first, "\ufeff" + first) \
         .write.mode("overwrite").option("header", True).option("emptyValue", "") \
         .option("quote", '"').option("escape", '"').csv(path)
 
