@@ -13,18 +13,14 @@ TRACKING_PARAMS = [
 # scheme, authority, path, query (fragment ignored)
 _URL_PARTS = r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 
-# IPv4 networks that are not reachable from the public internet, as
-# (first address, last address); then the two exceptions inside 192.0.0.0/24.
-_CLOSED_V4 = [
-    ("0.0.0.0", "0.255.255.255"), ("10.0.0.0", "10.255.255.255"),
-    ("100.64.0.0", "100.127.255.255"), ("127.0.0.0", "127.255.255.255"),
-    ("169.254.0.0", "169.254.255.255"), ("172.16.0.0", "172.31.255.255"),
-    ("192.0.0.0", "192.0.0.255"), ("192.0.2.0", "192.0.2.255"),
-    ("192.168.0.0", "192.168.255.255"), ("198.18.0.0", "198.19.255.255"),
-    ("198.51.100.0", "198.51.100.255"), ("203.0.113.0", "203.0.113.255"),
-    ("240.0.0.0", "255.255.255.255"),
-]
-_OPEN_V4 = ["192.0.0.9", "192.0.0.10"]
+# IPv4 networks that are not reachable from the public internet: 0/8, 10/8,
+# 100.64/10, 127/8, 169.254/16, 172.16/12, 192.0.0/24 (but for .9 and .10), 192.0.2/24,
+# 192.168/16, 198.18/15, 198.51.100/24, 203.0.113/24, 240/4.
+_CLOSED_V4 = (
+    r"^(?:0|10|127|24\d|25[0-5])\.|^100\.(?:6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.|^169\.254\."
+    r"|^172\.(?:1[6-9]|2\d|3[01])\.|^192\.0\.0\.(?!(?:9|10)$)|^192\.0\.2\.|^192\.168\."
+    r"|^198\.1[89]\.|^198\.51\.100\.|^203\.0\.113\."
+)
 # IPv6 prefixes that are not global (unspecified, loopback, mapped,
 # discard, protocol assignments, documentation, 6to4, unique local, link local).
 _CLOSED_V6 = (
@@ -115,31 +111,13 @@ def url_host(col: Column) -> Column:
     )
 
 
-def _v4_number(col: Column) -> Column:
-    octets = F.split(col, r"\.")
-    total = F.lit(0).cast("bigint")
-    for i in range(4):
-        total = total * 256 + octets[i].try_cast("bigint")
-    return total
-
-
-def _v4_value(text: str) -> int:
-    a, b, c, d = (int(part) for part in text.split("."))
-    return ((a * 256 + b) * 256 + c) * 256 + d
-
-
 def is_safe_url(col: Column) -> Column:
     """True for http(s) addresses whose host is a name or a public IP literal."""
     scheme = F.lower(F.regexp_extract(col, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
     host = url_host(col)
-    number = _v4_number(host)
-    closed = F.lit(False)
-    for first, last in _CLOSED_V4:
-        closed = closed | number.between(_v4_value(first), _v4_value(last))
-    closed = closed & ~host.isin(_OPEN_V4)
     reachable = (
         F.when(host == "localhost", False)
-        .when(host.rlike(_IPV4), ~closed)
+        .when(host.rlike(_IPV4), ~host.rlike(_CLOSED_V4))
         .when(host.contains(":"), ~host.rlike(_CLOSED_V6))
         .otherwise(True)
     )
