@@ -146,17 +146,20 @@ ORACLES["completeness"] = f"""{LEADS} SELECT pipeline_id, CAST({_FILLED} AS INTE
 
 def _similarity(pairs: str, cutoff: float) -> str:
     """Token-set score of a CTE ``pairs(i, j, a, b)`` of sorted token lists. The common
-    subsequence is counted with one bit per character."""
+    subsequence is counted with one bit per character; the edit distance, which is never above
+    the distance counted here, sorts out most pairs first."""
     return f"""parts AS (SELECT i, j, array_to_string(list_filter(a, lambda t: list_contains(b, t)), ' ') AS s,
         array_to_string(list_filter(a, lambda t: NOT list_contains(b, t)), ' ') AS l,
         array_to_string(list_filter(b, lambda t: NOT list_contains(a, t)), ' ') AS r FROM {pairs}),
       sized AS (SELECT *, length(s) AS sl, CASE WHEN s <> '' THEN 1 ELSE 0 END AS gap, length(l) AS ll, length(r) AS rl FROM parts),
+      near AS (SELECT * FROM sized WHERE {cutoff} = 0 OR (sl > 0 AND (1 + least(ll, rl)) * {cutoff} <= (100 - {cutoff}) * 2 * sl + 1)
+        OR (sl > 0 AND least(ll, rl) = 0) OR levenshtein(l, r) <= ceil((2 * (sl + gap) + ll + rl) * (100 - {cutoff}) / 100.0)),
       lcs AS (SELECT *, CASE WHEN ll = 0 OR rl = 0 THEN 0 ELSE ll - bit_count(list_reduce(
           string_split(r, ''),
           lambda acc, ch: ((acc + (acc & m[ch])) | (acc - (acc & m[ch]))) & ((1::HUGEINT << ll) - 1),
           (1::HUGEINT << ll) - 1)) END AS common
         FROM (SELECT *, map_from_entries(list_transform(list_distinct(string_split(l || r, '')), lambda c: {{'k': c,
-          'v': CAST(list_sum(list_transform(range(1, ll + 1), lambda p: CASE WHEN l[p] = c THEN 1::HUGEINT << (p - 1) ELSE 0::HUGEINT END)) AS HUGEINT)}})) AS m FROM sized)),
+          'v': CAST(list_sum(list_transform(range(1, ll + 1), lambda p: CASE WHEN l[p] = c THEN 1::HUGEINT << (p - 1) ELSE 0::HUGEINT END)) AS HUGEINT)}})) AS m FROM near)),
       best AS (SELECT i, j, CASE WHEN sl > 0 AND (ll = 0 OR rl = 0) THEN 100.0::DOUBLE ELSE greatest(
           100.0::DOUBLE - 100.0::DOUBLE * (ll + rl - 2 * common) / (2 * (sl + gap) + ll + rl),
           CASE WHEN sl > 0 THEN 100.0::DOUBLE - 100.0::DOUBLE * (1 + ll) / (2 * sl + 1 + ll) ELSE 0.0::DOUBLE END,
@@ -171,6 +174,39 @@ ORACLES["candidate_pairs"] = f"""WITH n AS (SELECT p_partkey AS ord, lower(p_nam
   c AS (SELECT company_name_normalized[1] AS block, {_TOKENS} AS tokens, CAST(min(ord) AS BIGINT) AS rep FROM n GROUP BY ALL),
   pairs AS (SELECT x.rep AS i, y.rep AS j, x.tokens AS a, y.tokens AS b FROM c x JOIN c y ON x.block = y.block AND x.rep < y.rep), {_similarity('pairs', 85)}"""
 
+
+
+def _greedy(names: str) -> str:
+    """Greedy leaders over a CTE ``names(ord, company_name_normalized)``: all pairs of a block
+    are scored, then blocks are walked name by name in step."""
+    scored = _similarity("pairs", 85)
+    parts, final = scored.rsplit("\n      SELECT", 1)
+    return f"""cls AS (SELECT substr(trim(regexp_replace(company_name_normalized, '^(the|a|an)\\s+', '')), 1, 1) AS block, {_TOKENS} AS tokens,
+        min(ord) AS rep, count(*) AS members FROM {names} GROUP BY ALL),
+      pairs AS (SELECT x.rep AS i, y.rep AS j, x.tokens AS a, y.tokens AS b FROM cls x JOIN cls y ON x.block = y.block AND x.rep < y.rep), {parts},
+      edges AS MATERIALIZED (SELECT {final}),
+      nodes AS MATERIALIZED (SELECT block, rep, row_number() OVER (PARTITION BY block ORDER BY rep) AS k, coalesce(nb, []) AS nb
+        FROM cls LEFT JOIN (SELECT j, list(i) AS nb FROM edges WHERE score >= 90 GROUP BY j) e ON e.j = rep),
+      walk AS (SELECT block, 0::BIGINT AS k, []::BIGINT[] AS leaders FROM (SELECT DISTINCT block FROM cls)
+        UNION ALL SELECT w.block, n.k, CASE WHEN list_has_any(n.nb, w.leaders) THEN w.leaders ELSE list_append(w.leaders, n.rep) END
+        FROM walk w JOIN nodes n ON n.block = w.block AND n.k = w.k + 1),
+      leaders AS MATERIALIZED (SELECT unnest(l) AS rep FROM (SELECT arg_max(leaders, k) AS l FROM walk GROUP BY block)),
+      owner AS MATERIALIZED (SELECT j, min(i) AS i FROM edges WHERE score >= 90 AND i IN (SELECT rep FROM leaders) GROUP BY j),
+      review AS MATERIALIZED (SELECT e.i, e.j FROM edges e LEFT JOIN owner o ON o.j = e.j
+        WHERE e.score < 90 AND e.i IN (SELECT rep FROM leaders) AND (o.i IS NULL OR o.i > e.i))"""
+
+
+_OWNED = """SELECT n.ord, coalesce(o.i, c.rep) AS owner_ord FROM {names} n JOIN cls c ON c.tokens = {tokens}
+  AND c.block = substr(trim(regexp_replace(company_name_normalized, '^(the|a|an)\\s+', '')), 1, 1)
+  LEFT JOIN owner o ON o.j = c.rep WHERE coalesce(o.i, c.rep) <> n.ord"""
+_FLAGGED = "SELECT j AS ord, max(i) AS flagged_by FROM review WHERE j IN (SELECT rep FROM leaders) GROUP BY j"
+_PART_NAMES = "WITH RECURSIVE n AS (SELECT CAST(p_partkey AS BIGINT) AS ord, lower(p_name || ' ' || p_type) AS company_name_normalized FROM part)"
+_LEAD_NAMES = LEADS.replace("WITH", "WITH RECURSIVE", 1) + ", n AS (SELECT ord, company_name_normalized FROM prepared)"
+ORACLES["fuzzy_counters"] = f"""{_PART_NAMES}, {_greedy('n')} SELECT CAST((SELECT sum(members) FROM cls) - (SELECT count(*) FROM leaders) AS BIGINT) AS fuzzy_auto_merged,
+  CAST((SELECT coalesce(sum(members), 0) FROM review JOIN cls ON rep = j) AS BIGINT) AS fuzzy_flagged_review"""
+ORACLES["resolve_leaders"] = f"{_LEAD_NAMES}, {_greedy('n')} " + _OWNED.format(names="n", tokens=_TOKENS)
+ORACLES["flag_reviews"] = f"{_LEAD_NAMES}, {_greedy('n')} {_FLAGGED}"
+
 # --- enrichment
 _LEADS_SITES = f"WITH {RAW}, lead AS (SELECT lead_id, email, {_website('website')} AS website FROM admitted), sites AS ({_v('SITE_PAGES')})"
 _ALIVE = "(CASE WHEN status_head = 405 THEN status_get ELSE status_head END BETWEEN 200 AND 299)"
