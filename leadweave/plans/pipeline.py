@@ -23,12 +23,12 @@ _IDENTITY = ("pipeline_id",)
 class Stage:
     """A named ``DataFrame -> DataFrame`` step. ``counters`` are aggregates over its output,
     measured while the output is written; they may refer to ``_before``, the struct of the
-    row as it came in. ``late_counters`` is called after the stage for one-row DataFrames."""
+    row as it came in. ``late_counters`` is called with the input count after the stage."""
 
     name: str
     apply: Callable[[DataFrame], DataFrame]
     counters: list[Column] = field(default_factory=list)
-    late_counters: Callable[[], DataFrame] | None = None
+    late_counters: Callable[[int], dict] | None = None
 
 
 def clean_stage() -> Stage:
@@ -46,18 +46,30 @@ def dedup_stage(
     generic_emails: list[str] | None = None,
     **batching: int,
 ) -> Stage:
-    found = {}
+    done = {}
 
     def apply(df: DataFrame) -> DataFrame:
-        exact = cut_lineage(exact_passes(df, generic_emails))
-        survivors, found["leaders"] = dedup_fuzzy(
-            exact, auto, review, scorer, size_col="_fuzzy", **batching)
+        watch = Observation("exact passes")
+        counted = exact_passes(df, generic_emails).observe(
+            watch,
+            F.coalesce(F.sum("_email_absorbed"), F.lit(0)).alias("exact_email_matches"),
+            F.count(F.lit(1)).alias("left"),
+        )
+        exact = cut_lineage(counted)
+        survivors, leaders = dedup_fuzzy(exact, auto, review, scorer, size_col="_fuzzy", **batching)
+        done.update(exact=watch.get, leaders=leaders)
         return survivors
 
-    # a merged record may have absorbed others before; every survivor carries its own counts,
-    # so the exact counters come from the rows as they were before the fuzzy pass
-    def late() -> DataFrame:
-        return fuzzy_counters(found["leaders"], auto)
+    def late(count_in: int) -> dict:
+        exact, fuzzy = done["exact"], fuzzy_counters(done["leaders"], auto).first().asDict()
+        by_email = exact["exact_email_matches"]
+        counts = {
+            # what left in the exact passes, less what the e-mail pass took
+            "exact_phone_matches": count_in - exact["left"] - by_email,
+            "exact_email_matches": by_email,
+            **fuzzy,
+        }
+        return {**counts, "total_duplicates": sum(counts.values())}
 
     return Stage("deduplicator", apply, [], late)
 
@@ -83,12 +95,6 @@ def prepare(raw: DataFrame, id_col: str = "lead_id", **tables: DataFrame) -> Dat
     )
 
 
-def modified(columns: list[str], before: str = "_before") -> Column:
-    """A row counts as modified when any column differs from the row that came in; a column
-    the stage added counts once it holds a value."""
-    return F.struct(*columns) != F.col(before)
-
-
 def stage_stats(before: DataFrame, after: DataFrame, id_col: str = "pipeline_id") -> DataFrame:
     """count_in, count_out, count_removed, count_modified of any two states of a table."""
     old_cols = before.columns
@@ -166,7 +172,7 @@ def run_pipeline(
             row["count_removed"] = count_in - row["count_out"]
             row["details"] = counts
             if stage.late_counters:
-                row["details"] = {**counts, **stage.late_counters().first().asDict()}
+                row["details"] = {**counts, **stage.late_counters(count_in)}
             df, count_in = out, row["count_out"]
         except Exception as problem:  # noqa: BLE001 - any failure of a stage is reported, not raised
             row["error"] = str(problem)
