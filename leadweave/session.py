@@ -3,7 +3,9 @@
 import hashlib
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,7 +32,25 @@ def build_session(master: str | None = None, app: str = "leadweave", **conf) ->
         builder = builder.master(master)
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers (as ``--py-files`` would), once per
+    application, so that kernels can be unpickled wherever the job runs from."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="leadweave-package-")) / "leadweave.zip"
+        with zipfile.ZipFile(target, "w") as archive:
+            for source in sorted(root.rglob("*.py")):
+                archive.write(source, source.relative_to(root.parent))
+        spark.sparkContext.addPyFile(str(target))
+        _SHIPPED.add(app)
+    return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
