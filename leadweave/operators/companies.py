@@ -96,19 +96,23 @@ def check_edits(edits: DataFrame) -> None:
 def apply_edits(companies: DataFrame, edits: DataFrame, edited_at=None) -> DataFrame:
     """Apply ``edits(id, field, value)``, one row per changed field; a NULL value clears the
     field. Edited rows get a new ``updated_at``."""
-    by_id = edits.groupBy("id").agg(
-        F.map_from_entries(F.collect_set(F.struct("field", "value"))).alias("_edit"))
-    joined = companies.join(by_id, "id", "left")
     kinds = {f.name: f.dataType for f in companies.schema}
+    fields = [name for name in EDITABLE_FIELDS if name in kinds]
+    # plain aggregates, so that an id with any number of edit rows is folded on the map side;
+    # of several values for one field the greatest counts
+    by_id = edits.groupBy("id").agg(F.lit(True).alias("_edited"), *[
+        F.max(F.when(F.col("field") == name, F.struct(F.col("value").alias("v")))).alias(f"_edit_{name}")
+        for name in fields
+    ])
     changed = {
-        name: F.when(F.map_contains_key("_edit", name), F.col("_edit")[name].cast(kinds[name]))
+        name: F.when(F.col(f"_edit_{name}").isNotNull(), F.col(f"_edit_{name}.v").cast(kinds[name]))
         .otherwise(F.col(name))
-        for name in EDITABLE_FIELDS if name in kinds
+        for name in fields
     }
     if "updated_at" in kinds:
         now = F.current_timestamp().cast("timestamp_ntz") if edited_at is None else edited_at
-        changed["updated_at"] = F.when(F.col("_edit").isNotNull(), now).otherwise(F.col("updated_at"))
-    return joined.withColumns(changed).select(companies.columns)
+        changed["updated_at"] = F.when(F.col("_edited"), now).otherwise(F.col("updated_at"))
+    return companies.join(by_id, "id", "left").withColumns(changed).select(companies.columns)
 
 
 def quick_filter(df: DataFrame, text: str) -> DataFrame:

@@ -4,7 +4,7 @@ out. Reading the HTML is a per-page helper; merging, fallback and admission are
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadweave.functions import html as H
@@ -213,12 +213,8 @@ def selector_coverage(pages: DataFrame, configs: list[dict] = BUILT_IN) -> DataF
 
 
 def sample_listings(listings: DataFrame, n: int = 3) -> DataFrame:
-    """The first ``n`` listings of each source, as a report shows them. ``n`` smallest
-    positions are kept while aggregating, so no source is gathered in one task."""
-    place = F.struct("page_id", "idx", "fields_text")
-    rows = listings.withColumn("fields_text", F.to_json("fields"))
-    smallest = rows.groupBy("source", F.pmod(F.xxhash64("page_id"), F.lit(64)).alias("_part")).agg(
-        F.slice(F.array_sort(F.collect_list(place)), 1, n).alias("_s"))
-    return smallest.groupBy("source").agg(
-        F.slice(F.array_sort(F.flatten(F.collect_list("_s"))), 1, n).alias("_s")
-    ).select("source", F.posexplode("_s").alias("rank", "_r")).select("source", "rank", "_r.*")
+    """The first ``n`` listings of each source, as a report shows them. Spark applies the rank
+    limit on the map side, so at most ``n`` rows per source and partition are shuffled."""
+    place = Window.partitionBy("source").orderBy("page_id", "idx")
+    return listings.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= n) \
+        .select("source", "rank", "page_id", "idx", "fields")

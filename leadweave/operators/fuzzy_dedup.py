@@ -32,12 +32,15 @@ REVIEW = 85
 
 def name_classes(df: DataFrame, scorer: str = "token_set_ratio") -> DataFrame:
     """Distinct comparison tokens per block: (block, tokens, rep, members); ``rep`` is the
-    smallest ``ord``. Rows without a normalised name are left out."""
+    smallest ``ord``. Rows without a normalised name are left out. Equal names are counted
+    first, so that only distinct ones are cut into tokens."""
     name = F.col("company_name_normalized")
-    return df.select(
-        block_key(name).alias("block"), comparison_tokens(name, scorer).alias("tokens"), "ord"
-    ).filter((F.col("block").isNotNull()) & (F.size("tokens") > 0)).groupBy("block", "tokens").agg(
-        F.min("ord").alias("rep"), F.count(F.lit(1)).alias("members")
+    distinct = df.filter(name != "").groupBy(name).agg(
+        F.min("ord").alias("rep"), F.count(F.lit(1)).alias("members"))
+    return distinct.select(
+        block_key(name).alias("block"), comparison_tokens(name, scorer).alias("tokens"), "rep", "members"
+    ).filter(F.size("tokens") > 0).groupBy("block", "tokens").agg(
+        F.min("rep").alias("rep"), F.sum("members").alias("members")
     )
 
 
@@ -300,13 +303,15 @@ def flag_reviews(df: DataFrame, found: Leaders, auto: int = AUTO_MERGE) -> DataF
 
 def fuzzy_counters(found: Leaders, auto: int = AUTO_MERGE) -> DataFrame:
     """One row: fuzzy_auto_merged (records), fuzzy_flagged_review (pairs)."""
-    merged = found.classes.agg(F.coalesce(F.sum("members"), F.lit(0)).alias("records")).join(
-        found.leaders.agg(F.count(F.lit(1)).alias("leaders")))
-    flagged = review_pairs(found, auto).join(
-        found.classes.select(F.col("rep").alias("j"), "members"), "j"
-    ).agg(F.coalesce(F.sum("members"), F.lit(0)).alias("fuzzy_flagged_review"))
-    return merged.join(flagged).select(
-        (F.col("records") - F.col("leaders")).alias("fuzzy_auto_merged"), "fuzzy_flagged_review"
+    none = F.lit(0).cast("bigint")
+    records = found.classes.select(F.col("members").alias("merged"), none.alias("flagged"))
+    leaders = found.leaders.select(F.lit(-1).cast("bigint").alias("merged"), none.alias("flagged"))
+    members = found.classes.select(F.col("rep").alias("j"), "members")
+    flagged = review_pairs(found, auto).join(members, "j").select(
+        none.alias("merged"), F.col("members").alias("flagged"))
+    return records.unionByName(leaders).unionByName(flagged).agg(
+        F.coalesce(F.sum("merged"), none).alias("fuzzy_auto_merged"),
+        F.coalesce(F.sum("flagged"), none).alias("fuzzy_flagged_review"),
     )
 
 

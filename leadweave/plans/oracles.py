@@ -272,6 +272,9 @@ ORACLES["apply_edits"] = f"""{COMPANIES}, e AS (SELECT 'c' || lpad(CAST(s_suppke
   FROM companies c LEFT JOIN e ON c.id = e.id"""
 ORACLES["export_rows"] = f"""{COMPANIES} SELECT company_name, phone, email, website, address, city, state, zip, category, rating, review_count, source
   FROM companies WHERE task_id = 'task-yelp' AND is_duplicate_of IS NULL"""
+ORACLES["export_csv"] = ORACLES["export_json"] = ORACLES["export_rows"].replace("task-yelp", "task-bbb")
+ORACLES["export_log"] = f"{COMPANIES} SELECT task_id, 'csv' AS format, count(*) AS rows_exported FROM companies WHERE task_id = 'task-yellowpages' AND is_duplicate_of IS NULL GROUP BY task_id"
+ORACLES["read_raw_leads"] = f"WITH {RAW} SELECT company_name, phone, email, website, address, city, state, category, rating, review_count, source, source_url, scraped_at FROM raw_leads"
 ORACLES["list_tasks"] = f"WITH {_TASKS} SELECT * REPLACE (CAST(created_at AS VARCHAR) AS created_at) FROM tasks ORDER BY tasks.created_at DESC, id LIMIT 20 OFFSET 20"
 ORACLES["cancel_tasks"] = f"WITH {_TASKS} SELECT id, CASE WHEN source = 'yelp' AND status IN ('pending', 'running') THEN 'cancelled' ELSE status END AS status FROM tasks"
 ORACLES["reset_mode"] = f"""WITH {_TASKS} SELECT (SELECT count(*) FROM tasks WHERE mode = 'demo') AS deleted_tasks, (SELECT count(*) FROM tasks WHERE mode <> 'demo') AS tasks_left,

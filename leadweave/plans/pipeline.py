@@ -97,22 +97,19 @@ def prepare(raw: DataFrame, id_col: str = "lead_id", **tables: DataFrame) -> Dat
 
 def stage_stats(before: DataFrame, after: DataFrame, id_col: str = "pipeline_id") -> DataFrame:
     """count_in, count_out, count_removed, count_modified of any two states of a table."""
-    old_cols = before.columns
-    added = [c for c in after.columns if c not in old_cols]
-    kept = [c for c in old_cols if c in after.columns and c != id_col]
+    added = [c for c in after.columns if c not in before.columns]
+    kept = [c for c in before.columns if c in after.columns and c != id_col]
     old = before.select(id_col, F.struct(*kept).alias("_old"))
-    joined = after.join(old, id_col, "left")
-    same = F.struct(*kept).eqNullSafe(F.col("_old"))
+    new = after.select(id_col, F.struct(*kept).alias("_new"), F.struct(
+        F.lit(1).alias("_"), *added).alias("_added"))
+    same = F.col("_new").eqNullSafe(F.col("_old"))
     for c in added:
-        same = same & F.col(c).isNull()
-    counts = joined.agg(
-        F.count(F.lit(1)).alias("count_out"),
-        F.count_if(~same).alias("count_modified"),
-    )
-    return before.agg(F.count(F.lit(1)).alias("count_in")).join(counts).select(
-        "count_in", "count_out", (F.col("count_in") - F.col("count_out")).alias("count_removed"),
-        "count_modified",
-    )
+        same = same & F.col(f"_added.`{c}`").isNull()
+    return old.join(new, id_col, "full").agg(
+        F.count("_old").alias("count_in"),
+        F.count("_new").alias("count_out"),
+        F.count_if(F.col("_new").isNotNull() & ~same).alias("count_modified"),
+    ).withColumn("count_removed", F.col("count_in") - F.col("count_out"))
 
 
 @dataclass

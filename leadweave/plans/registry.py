@@ -1,8 +1,12 @@
 """Every operator as a query over the star-schema tables, by name."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from leadweave import schemas
 from leadweave.functions import contact, names, text, urls
 from leadweave.functions.similarity import comparison_tokens, score_pairs
 from leadweave.operators import companies as companies_op
@@ -11,7 +15,7 @@ from leadweave.operators import validation
 from leadweave.operators.admission import admit, with_pipeline_id
 from leadweave.operators.cleaning import clean_strings
 from leadweave.plans import pipeline, views
-from leadweave.session import stored_table
+from leadweave.session import ensure_checkpoint_dir, stored_table
 from leadweave.sources import configs, exports, leads as leads_io, pages as pages_io
 from leadweave.streaming import progress
 from leadweave.streaming.run import drain
@@ -24,6 +28,14 @@ def query(fn):
     return fn
 
 
+def _one_row(*counts: DataFrame) -> DataFrame:
+    """Several one-row frames as one row, without joining them."""
+    rows = counts[0]
+    for more in counts[1:]:
+        rows = rows.unionByName(more, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
+
+
 def _text(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("string") for c in cols})
 
@@ -207,8 +219,8 @@ def duplicate_map(spark, sf):
 def dedup_counters(spark, sf):
     by_phone = exact_dedup.dedup_exact(_prepared(spark, sf), "phone_normalized", "_phone")
     both = exact_dedup.dedup_exact(by_phone.drop("_phone"), "email", "_email")
-    return by_phone.agg(F.sum("_phone").alias("exact_phone_matches")).join(
-        both.agg(F.sum("_email").alias("exact_email_matches")))
+    return _one_row(by_phone.agg(F.sum("_phone").alias("exact_phone_matches")),
+                    both.agg(F.sum("_email").alias("exact_email_matches")))
 
 
 @query
@@ -427,8 +439,8 @@ def reset_mode(spark, sf):
         F.concat(F.lit("c"), F.col("o_orderkey").cast("string")).alias("id"),
         F.concat(F.lit("task-"), F.col("o_custkey").cast("string")).alias("task_id"))
     left, kept, removed = companies_op.reset_mode(table, rows, "demo")
-    return removed.join(left.agg(F.count(F.lit(1)).alias("tasks_left"))).join(
-        kept.agg(F.count(F.lit(1)).alias("companies_left")))
+    return _one_row(removed, left.agg(F.count(F.lit(1)).alias("tasks_left")),
+                    kept.agg(F.count(F.lit(1)).alias("companies_left")))
 
 
 @query
@@ -436,6 +448,45 @@ def export_rows(spark, sf):
     return exports.export_rows(_companies(spark, sf), "task-yelp")
 
 
+def _scratch(spark, name):
+    return f"{ensure_checkpoint_dir(spark)}/exports/{name}-{uuid.uuid4().hex}"
+
+
+_EXPORT_SCHEMA = T.StructType([schemas.COMPANY[c] for c in exports.EXPORT_COLUMNS])
+
+
+@query
+def export_csv(spark, sf):
+    """Written as CSV and read back."""
+    path = _scratch(spark, "csv")
+    exports.export_csv(exports.export_rows(_companies(spark, sf), "task-bbb"), path)
+    return spark.read.schema(_EXPORT_SCHEMA).option("header", True).option("escape", '"').csv(path)
+
+
+@query
+def export_json(spark, sf):
+    """Written as JSON Lines and read back."""
+    path = _scratch(spark, "json")
+    exports.export_json(exports.export_rows(_companies(spark, sf), "task-bbb"), path)
+    return spark.read.schema(_EXPORT_SCHEMA).json(path)
+
+
+@query
+def export_log(spark, sf):
+    table = _companies(spark, sf)
+    known = table.select(F.col("task_id").alias("id")).distinct()
+    log = exports.run_export(spark, known, table, "task-yellowpages", "csv", _scratch(spark, "log"))
+    return log.select("task_id", "format", "rows_exported")
+
+
+@query
+def read_raw_leads(spark, sf):
+    """Raw leads written as JSON and read back under the contract."""
+    path = _scratch(spark, "raw")
+    views.raw_leads(spark, sf).select(schemas.RAW_LEAD.fieldNames()).write.json(path)
+    return leads_io.read_raw_leads(spark, path, "json")
+
+
 # --- dashboards ----------------------------------------------------------------------------
 
 
@@ -516,7 +567,7 @@ def page_upsert(spark, sf):
 @query
 def page_purge(spark, sf):
     kept, dropped = pages_io.purge_pages(_snapshots(spark, sf)[1], "yelp")
-    return dropped.join(kept.agg(F.count(F.lit(1)).alias("kept")))
+    return _one_row(dropped, kept.agg(F.count(F.lit(1)).alias("kept")))
 
 
 PAGE_RULES = [{
