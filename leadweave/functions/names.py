@@ -15,6 +15,8 @@ ADDRESS_WORDS = {
     "Ct": "Court", "Rd": "Road", "Ste": "Suite", "Apt": "Apartment",
 }
 
+_WORD = r"[\p{L}\p{N}_]"
+
 # Leading articles ignored when names are put into blocks.
 LEADING_ARTICLE = r"^(the|a|an)\s+"
 
@@ -30,7 +32,9 @@ def standardize_address(col: Column) -> Column:
     """Whole-word street abbreviations spelled out; NULL for a missing address."""
     out = col
     for short, full in ADDRESS_WORDS.items():
-        out = F.regexp_replace(out, rf"(?iU)\b{short}\b", full)
+        # the literal comes first, so that the search skips quickly; then both word ends
+        whole = rf"(?iu){short}(?!{_WORD})(?<!{_WORD}{'.' * len(short)})"
+        out = F.regexp_replace(out, whole, full)
     return F.when(col != "", out)
 
 

@@ -25,13 +25,10 @@ _NEEDS_FULL_TABLE = (
     "&(?!(?:" + "|".join(name[1:] for name in NATIVE_ENTITIES) + r"|[\t\n\f <&;]|$))"
 )
 
-# Whitespace other than the plain blank: Unicode spaces and line ends plus the four ASCII
-# separators. The pattern matches only runs that have to change, so that the usual value
-# costs one scan.
-_ODD_SPACE = (
-    r"[\t-\r\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# Whitespace as Python sees it: Unicode spaces and line ends plus the four ASCII separators.
+_WHITESPACE = (
+    r"[ \t-\r\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 )
-_SPACE_RUN = rf" *{_ODD_SPACE}(?: |{_ODD_SPACE})*| {{2,}}"
 
 
 @F.pandas_udf(T.StringType())
@@ -62,7 +59,7 @@ def strip_invisible(col: Column) -> Column:
 
 
 def squash_whitespace(col: Column) -> Column:
-    return F.trim(F.regexp_replace(col, _SPACE_RUN, " "))
+    return F.trim(F.regexp_replace(col, _WHITESPACE, " "))
 
 
 # Anything but printable ASCII without "&", or two blanks in a row.
