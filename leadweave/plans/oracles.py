@@ -372,3 +372,18 @@ ORACLES["stop_rule"] = f"WITH {_CRAWL} SELECT * FROM visited"
 ORACLES["crawl_items"] = f"WITH {_CRAWL} SELECT crawl, page, idx FROM (SELECT *, unnest(range(n_items)) AS idx FROM visited WHERE fetched) WHERE items_before + idx < 60"
 ORACLES["crawl_summary"] = f"""WITH {_CRAWL} SELECT crawl, count(*) FILTER (WHERE fetched) AS pages_scraped, count(*) FILTER (WHERE NOT fetched) AS pages_skipped,
   CAST(least(sum(n_items), 60) AS BIGINT) AS items FROM visited GROUP BY crawl"""
+ORACLES["sample_listings"] = f"""WITH {_LD}, cards AS (SELECT source, page_id, unnest([0, 1]) AS idx FROM pg)
+  SELECT source, CAST(rank AS INTEGER) AS rank, page_id, CAST(idx AS INTEGER) AS idx FROM (
+    SELECT *, row_number() OVER (PARTITION BY source ORDER BY page_id, idx) AS rank FROM cards) WHERE rank <= 3"""
+_MARKS = {
+    ("(listing)", "html"): "<html lang=",
+    ("company_name", "article > h1::text"): "<article><h1>[^<]",
+    ("category", "nav li a::text"): '<li><a href="[^"]*">[^<]',
+    ("website", "nav li a::attr(href)"): '<li><a href="',
+    ("state", "html::attr(lang)"): "<html lang=",
+    ("address", "div.ad::text"): '<div class="ad">[^<]',
+}
+ORACLES["selector_coverage"] = " UNION ALL ".join(
+    f"""SELECT 'web' AS source, '{field}' AS field, '{css}' AS selector, count(*) AS pages,
+  CAST(sum(len(regexp_extract_all(html, '{mark}'))) AS BIGINT) AS matches, sum(len(regexp_extract_all(html, '{mark}'))) = 0 AS missing FROM pages"""
+    for (field, css), mark in _MARKS.items())
