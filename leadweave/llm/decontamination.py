@@ -174,7 +174,7 @@ class _Shard:
                         i for k in owner[bounds[p] : bounds[p + 1]] if (i := self.phrases.items[k]) is not None)
         covered = np.flatnonzero(np.cumsum(edges)[:-1] > 0)
         head = np.flatnonzero(run_starts(covered - np.arange(len(covered)), row[covered], word[covered] - np.arange(len(covered))))
-        for a, b in zip(head, np.append(head[1:], len(covered)), strict=True):
+        for a, b in zip(head, np.append(head, len(covered))[1:], strict=True):
             i, j = covered[a], covered[b - 1]
             spans.setdefault(int(row[i]), []).append((int(word[i]), int(word[j]) + 1, int(start[i]), int(end[j])))
         return spans, items

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadweave.llm import decontamination, simhash
+from leadweave.llm import decontamination, quality_attention, simhash, toxicity_segments
+from leadweave.llm.labelled import held_out
 
 QUERIES = {}
 ORACLES = {}
@@ -62,3 +63,21 @@ FROM doc LEFT JOIN word USING (r) LEFT JOIN ids USING (r)"""
 def op3_simhash(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.components(table(spark, sf, "documents").select("doc_id", "text"))
     return found.select("doc_id", simhash.hex_of(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity_segments.learn(docs, table(spark, sf, "labels"))
+    return toxicity_segments.score(docs, model).select(
+        "doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), F.col("toxicity.score").alias("score"),
+        (F.col("toxicity.score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op9_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = quality_attention.learn(docs, table(spark, sf, "labels"))
+    return quality_attention.score(docs, model).select(
+        "doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
