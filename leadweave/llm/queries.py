@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadweave.llm import decontamination, quality_attention, simhash, toxicity_segments
+from leadweave.llm import (
+    chat_repair, decontamination, host_reputation, line_dedup, mixing, quality_attention,
+    quality_rules, secret_forest, simhash, toxicity_segments)
 from leadweave.llm.labelled import held_out
 
 QUERIES = {}
@@ -81,3 +83,154 @@ def op9_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return quality_attention.score(docs, model).select(
         "doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+#: Shares of the words that the mix aims at, by language.
+TARGETS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
+
+
+def domain_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The domain (language) of the documents that somebody has labelled; of all others it is
+    taken as unknown."""
+    ids = labels.select("doc_id").distinct()
+    return docs.select("doc_id", F.col("lang").alias("domain")).join(ids, "doc_id")
+
+
+@query
+def op4_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    rates = mixing.mix(docs, domain_labels(docs, table(spark, sf, "labels")), TARGETS, keep=("doc_id", "source"))
+    return rates.drop("mark")
+
+
+@query
+def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
+    return line_dedup.judged_lines(docs).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+_LINES = """
+doc AS (SELECT row_number() OVER () AS r, doc_id, source, text FROM documents),
+line AS (SELECT r, source, l, p, trim(l, ' ' || chr(9) || chr(13)) AS t FROM (
+  SELECT r, source, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM doc))"""
+
+ORACLES["op7_line_dedup"] = f"""
+WITH {_LINES},
+page AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+common AS (
+  SELECT source, t FROM (SELECT DISTINCT r, source, t FROM line WHERE t <> '') d
+  GROUP BY source, t HAVING count(*) >= 5
+    AND count(*) > 0.1 * (SELECT pages FROM page WHERE page.source IS NOT DISTINCT FROM d.source)),
+judged AS (SELECT line.*, common.t IS NOT NULL AS out FROM line LEFT JOIN common
+  ON line.t = common.t AND line.source IS NOT DISTINCT FROM common.source),
+kept AS (SELECT r, count(*) AS n_lines, count_if(out) AS n_dropped,
+  coalesce(string_agg(l, chr(10) ORDER BY p) FILTER (WHERE NOT out), '') AS text FROM judged GROUP BY r)
+SELECT doc_id, CASE WHEN doc.text IS NULL THEN NULL ELSE kept.text END AS text,
+  coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped FROM doc LEFT JOIN kept USING (r)"""
+
+
+@query
+def op8_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf, "documents").select("doc_id", "source", "text"))
+
+
+ORACLES["op8_quality_rules"] = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text,
+    coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+fivegram AS (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM doc WHERE len(w) >= 5)),
+again AS (SELECT r, count(DISTINCT p) AS n FROM (
+  SELECT r, unnest(range(i, i + 5)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY r, g) AS c FROM fivegram) WHERE c > 1) GROUP BY r),
+line AS (SELECT r, source, l, regexp_extract_all(l, '[^\x20\x09-\x0D]+') AS lw FROM (
+  SELECT r, source, unnest(string_split(text, chr(10))) AS l FROM doc)),
+filled AS (SELECT r, source, l, len(lw) AS words,
+  translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM line WHERE len(lw) > 0),
+dup AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM filled GROUP BY r),
+host AS (SELECT source, count(*) AS docs FROM documents GROUP BY source),
+frequent AS (SELECT source, norm FROM (SELECT DISTINCT r, source, norm FROM filled) d GROUP BY source, norm
+  HAVING count(*) > 20 AND count(*) > 0.1 * (SELECT docs FROM host WHERE host.source IS NOT DISTINCT FROM d.source)),
+lost AS (SELECT r, sum(words) AS n FROM filled f WHERE EXISTS (
+  SELECT 1 FROM frequent q WHERE q.norm = f.norm AND q.source IS NOT DISTINCT FROM f.source) GROUP BY r),
+base AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    coalesce(dup.n, 0) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS lost_words
+  FROM doc LEFT JOIN dup USING (r) LEFT JOIN again USING (r) LEFT JOIN lost USING (r)),
+failed AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base)
+SELECT *, NOT base_failed AND n_words - lost_words >= 0.5 * n_words AND n_words - lost_words >= 10 AS kept FROM failed"""
+
+
+URL_RULES = [
+    host_reputation.Rule("com/", "allow"), host_reputation.Rule("example.com/en/", "block"),
+    host_reputation.Rule("www.example.com/en/", "allow"), host_reputation.Rule("net/es/", "block"), host_reputation.Rule("net/fr/", "block")]
+
+
+@query
+def op10_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Outcomes: a page is bad where the label of its number has quality 0."""
+    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("page_id"), (F.lit(1) - F.col("quality")).alias("bad"))
+    judged = host_reputation.filter_urls(table(spark, sf, "pages").select("page_id", "url"), URL_RULES, labels)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def _weight_sql(children: str) -> str:
+    return f"""(SELECT CASE WHEN coalesce(freedom, 0) = 0 OR pages <= freedom OR spread <= freedom THEN 10000.0
+  ELSE least(greatest((pages - freedom) / (spread - freedom) - 1, 1.0), 10000.0) END FROM (
+  SELECT sum(n * (bad * 1.0 / n - m) ** 2 / (m * (1 - m))) AS spread, sum(1 - n * 1.0 / n_of) AS freedom,
+    sum(n * (1 - n * 1.0 / n_of)) AS pages FROM (SELECT *, bad_of * 1.0 / n_of AS m FROM {children}) WHERE m BETWEEN 1e-9 AND 1 - 1e-9))"""
+
+
+def _rule_sql(then: str) -> str:
+    cases = []
+    for r in sorted(URL_RULES, key=lambda r: -len(r.text)):
+        of, slash, rest = r.text.partition("/")
+        cases.append(f"WHEN (host = '{of}' OR ends_with(host, '.{of}')) AND starts_with(path, '{slash}{rest}') THEN '{getattr(r, then)}'")
+    return "CASE " + " ".join(cases) + " END"
+
+
+ORACLES["op10_url_filter"] = f"""
+WITH page AS (SELECT page_id, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(u, '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM (SELECT page_id, coalesce(url, '') AS u FROM pages)),
+outcome AS (SELECT host, l.bad FROM page JOIN (
+  SELECT doc_id AS page_id, max(1 - quality) AS bad FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) l USING (page_id) WHERE host <> ''),
+named AS (SELECT host, string_split(host, '.') AS p FROM (SELECT DISTINCT host FROM page)),
+tail AS (SELECT host, p, CASE WHEN array_to_string(p[-2:], '.') IN ({", ".join(repr(x) for x in host_reputation.TWO_LABEL_SUFFIXES)}) THEN 2 ELSE 1 END AS k FROM named),
+place AS (SELECT host, array_to_string(p[-k:], '.') AS suffix, array_to_string(p[-(k + 1):], '.') AS domain FROM tail),
+h AS (SELECT host, domain, suffix, count(*) AS n, sum(bad) AS bad FROM outcome JOIN place USING (host) GROUP BY ALL),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
+s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL),
+g AS (SELECT coalesce(sum(n), 0) AS n, coalesce(sum(bad), 0) AS bad FROM s),
+cs AS (SELECT s.*, g.n AS n_of, g.bad AS bad_of FROM s, g),
+cd AS (SELECT d.*, s.n AS n_of, s.bad AS bad_of FROM d JOIN s USING (suffix)),
+ch AS (SELECT h.*, d.n AS n_of, d.bad AS bad_of FROM h JOIN d USING (domain)),
+w AS (SELECT {_weight_sql("cs")} AS ws, {_weight_sql("cd")} AS wd, {_weight_sql("ch")} AS wh, (g.bad + 0.5) / (g.n + 1.0) AS top FROM g),
+r AS (SELECT place.host, wh, coalesce(h.n, 0) AS n, (coalesce(h.bad, 0) + wh * (coalesce(d.bad, 0) + wd * (coalesce(s.bad, 0) + ws * top) / (coalesce(s.n, 0) + ws)) / (coalesce(d.n, 0) + wd)) / (coalesce(h.n, 0) + wh) AS rate
+  FROM place CROSS JOIN w LEFT JOIN s USING (suffix) LEFT JOIN d USING (domain) LEFT JOIN h USING (host))
+SELECT page_id, host, path, {_rule_sql("text")} AS rule, coalesce({_rule_sql("verdict")},
+  CASE WHEN rate - 1.645 * sqrt(rate * (1 - rate) / (n + wh + 1)) > 0.5 AND host <> '' THEN 'block' ELSE 'allow' END) AS verdict
+FROM page JOIN r USING (host)"""
+
+
+@query
+def op6_chat_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return chat_repair.repair_roles(table(spark, sf, "conversations"))
+
+
+def findings(features: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labelled findings. The tables hold none, so the candidates of labelled documents are
+    reviewed by rule: a quoted or assigned value beside a credential word is a finding, any
+    other candidate a false positive."""
+    reviewed = features.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+    beside = (F.col("credential_near") > 0) & ((F.col("quoted") > 0) | (F.col("assigned") > 0)) & (F.col("digits") > 0)
+    return reviewed.withColumn("label", beside.cast("int"))
+
+
+@query
+def op2_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The candidates are named by hash and first characters, not given away."""
+    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
+    judged = secret_forest.scan(docs, lambda found: findings(found, table(spark, sf, "labels")))
+    return judged.select(
+        "doc_id", "position", F.sha2("candidate", 256).alias("candidate_sha256"), F.left("candidate", F.lit(4)).alias("prefix"),
+        F.length("candidate").cast("long").alias("n_chars"), "probability", "is_secret")

@@ -1,0 +1,138 @@
+import random
+from itertools import product
+
+from leadweave.llm import chat_repair as C
+from leadweave.llm import host_reputation as H
+from leadweave.llm import secret_forest as S
+
+
+def plain_cost(roles):
+    """Least cost over all ways to insert, relabel and merge, by brute force."""
+    legal = {0: (0, 1), 1: (1,), 2: (2,), 3: (1,)}
+    runs = [((), 0)]
+    for depth in range(2):
+        runs += [(i + (x,), x + 1) for i, s in list(runs) if len(i) == depth for x in legal[s]]
+    def inserts(state):
+        out = [((), state)]
+        for a in legal[state]:
+            out.append(((a,), a + 1))
+            out += [((a, b), b + 1) for b in legal[a + 1]]
+        return out
+    best = {0: 0}
+    for r in roles:
+        new = {}
+        for s, c in best.items():
+            for ins, at in inserts(s):
+                for x in legal[at]:
+                    new[x + 1] = min(new.get(x + 1, 10**9), c + 2 * len(ins) + (0 if r in (x, 3) else 3))
+            if s:
+                new[s] = min(new.get(s, 10**9), c + 1 + (0 if r in (s - 1, 3) else 3))
+        best = new
+    return min(c + 2 * len(i) for s, c in best.items() for i, at in inserts(s) if at == 3 or (not s and not i))
+
+
+def legal(rendered):
+    roles = [x.split("\n", 1)[0] for x in rendered.split("<|im_start|>")[1:]]
+    rest = roles[1:] if roles[:1] == ["system"] else roles
+    return rest == ["user", "assistant"] * (len(rest) // 2) and rendered.count("<|im_end|>\n") == len(roles) and rest
+
+
+def test_costs_against_brute_force():
+    for n in range(1, 5):
+        for roles in product(range(4), repeat=n):
+            chosen, last = C.repair(list(roles))
+            assert sum(a.cost for a in chosen) + C.endings()[last][0] == plain_cost(roles)
+
+
+def conversations(seed, n):
+    rng = random.Random(seed)
+    rows = []
+    for conv in [*range(n), None]:
+        size = 400 if conv == 3 else rng.randrange(1, 9)
+        rows += [(conv, k, rng.choice(["user", "assistant", "system", "user", "assistant", "tool", None]), f"t{conv}-{k}") for k in range(size)]
+    return rows + [(5, None, "user", None), (5, 1, "user", "dup"), (5, 1, "user", "dup")]
+
+
+def test_split_conversations_are_solved_whole(spark):
+    rows = conversations(1, 30)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = C.repair_roles(df).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(got) == len(rows)
+    for conv in {r[0] for r in rows}:
+        def order(x):
+            return [(v is not None, v) for v in x]
+        given = sorted((r[1:] for r in rows if r[0] == conv), key=order)
+        mine = sorted((r for r in got if r.conv_id == conv), key=lambda r: order((r.turn, r.role)))
+        roles = [C.role_number(r) for _, r, _ in given]
+        chosen, last = C.repair(roles)
+        assert sum(r.cost for r in mine) == sum(a.cost for a in chosen) + C.endings()[last][0]
+        ties = len({(t, r) for t, r, _ in given}) < len(given)
+        if not ties:
+            assert legal("".join(r.fragment for r in mine)), conv
+            assert all((t or "") in r.fragment for (_, _, t), r in zip(given, mine, strict=True))
+
+
+def test_chat_odd_tables(spark):
+    schema = "conv_id long, turn long, role string, text string, cost string, part string"
+    assert C.repair_roles(spark.createDataFrame([], schema)).count() == 0
+    one = C.repair_roles(spark.createDataFrame([(1, 1, "assistant", "hi", "own", "own")], schema)).first()
+    assert one.fragment == "<|im_start|>user\n<|im_end|>\n<|im_start|>assistant\nhi<|im_end|>\n" and one.cost == 2
+
+
+RULES = [H.Rule("com/", "allow"), H.Rule("bad.com/x/", "block"), H.Rule("www.bad.com/x/", "allow")]
+
+
+def test_rules_and_hosts(spark):
+    urls = ["http://WWW.Bad.com/x/1?q#f", "https://bad.com/x/", "https://notbad.com/x/", "ftp://a.bad.com/y", "//no/scheme", None, "", "http://com",
+            "x://b.org?z=://c/d", "http://user@bad.com/x/"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    none = spark.createDataFrame([], "page_id long, bad int")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in H.filter_urls(df, RULES, none).collect()}
+    assert got == {
+        0: ("www.bad.com", "/x/1", "www.bad.com/x/", "allow"), 1: ("bad.com", "/x/", "bad.com/x/", "block"), 2: ("notbad.com", "/x/", "com/", "allow"),
+        3: ("a.bad.com", "/y", "com/", "allow"), 4: ("", "", None, "allow"), 5: ("", "", None, "allow"), 6: ("", "", None, "allow"),
+        7: ("com", "", None, "allow"), 8: ("b.org", "", None, "allow"), 9: ("user@bad.com", "/x/", "com/", "allow")}
+
+
+def test_reputation_shrinks(spark):
+    pages, outcomes = [], []
+    def add(host, n, bad):
+        for k in range(n):
+            outcomes.append((len(pages), int(k < bad)))
+            pages.append((len(pages), f"http://{host}/p{k}"))
+    add("spam.evil.net", 60, 58)
+    add("one.good.org", 1, 1)
+    for k in range(20):
+        add(f"h{k}.site{k % 4}.org", 30, 1)
+        add(f"h{k}.place{k % 4}.co.uk", 20, 1)
+    pages += [(10_000, "http://spam.evil.net/new"), (10_001, "http://new.evil.net/"), (10_002, None), (0, "http://spam.evil.net/again")]
+    outcomes += [(None, 1), (3, None), (0, 0)]
+    df = spark.createDataFrame(pages, "page_id long, url string").selectExpr("*", "'own' as host", "'own' as n", "'own' as bad")
+    got = H.filter_urls(df, [], spark.createDataFrame(outcomes, "page_id long, bad int"))
+    verdict = {r.page_id: r for r in got.collect()}
+    assert got.count() == len(pages)
+    assert verdict[10_000].verdict == "block" and verdict[60].verdict == "allow" and verdict[10_002].verdict == "allow"
+    assert verdict[60].rate < 0.9 and verdict[10_001].rate > verdict[60].rate
+    assert H.filter_urls(df.limit(0), [], spark.createDataFrame(outcomes, "page_id long, bad int")).count() == 0
+
+
+def test_secrets(spark, odd_docs, prose):
+    rng = random.Random(6)
+    def key():
+        return "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    docs = [(k, f'{prose(k, 40)}\ntoken = "{key()}" {prose(k, 9)}', "a") for k in range(40)]
+    docs += [(100 + k, f"{prose(k, 40)} sha256 {key()} commit internationalisations1 {prose(k, 5)}", "a") for k in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    words = S.dictionary(df)
+    features = S.described(S.candidates(df), words)
+    assert features.count() == 120 and features.filter("dictionary > 1 or dictionary is null").count() == 0
+    plain = {r.doc_id: r for r in S.candidates(df).filter("doc_id < 100").collect()}
+    assert all(len(r.candidate) == 40 and r.before == "=" and r.before2 == "token" for r in plain.values())
+    out = S.scan(df, lambda f: f.selectExpr("*", "cast(doc_id < 100 as int) as label").filter("doc_id % 2 = 0"))
+    assert out.filter("is_secret != (doc_id < 100)").count() == 0
+    for found in (odd_docs, odd_docs.limit(0)):
+        assert S.scan(found, lambda f: f.selectExpr("*", "1 as label")).count() == 0
