@@ -75,7 +75,7 @@ def _weight(children: DataFrame, of: str) -> float:
     """Pages a prior of this level is worth: from the excess of the children's spread around
     their parent's rate over binomial spread, between 1 and 10000."""
     both = F.col("bad") / F.col("n")
-    mean = F.col("bad_of") / F.col("n_of")
+    mean = F.try_divide(F.col("bad_of"), F.col("n_of"))
     row = children.filter(mean.between(1e-9, 1 - 1e-9)).agg(
         F.sum(F.col("n") * (both - mean) ** 2 / (mean * (1 - mean))).alias("spread"),
         F.sum(F.lit(1) - F.col("n") / F.col("n_of")).alias("freedom"),

@@ -96,7 +96,8 @@ def posteriors(docs: DataFrame, weights: list[list[float]], priors: list[float],
 
 def fitted_rate(members: DataFrame, goals: list[float], keep_all: bool = False, steps: int = STEPS, tolerance: float = TOLERANCE) -> Column:
     """The rate as an expression over p0, p1, ... With ``keep_all`` the token budget is as large
-    as it takes to need no domain less than once; else it is the present number of tokens."""
+    as it takes to need no domain less than once, and steps are projected to rates of 1 or more;
+    else it is the present number of tokens, and rates are 0 or more."""
     n = len(goals)
     p = [F.col(f"p{k}") for k in range(n)]
 
@@ -112,13 +113,15 @@ def fitted_rate(members: DataFrame, goals: list[float], keep_all: bool = False,
     goal = [g / sum(goals[j] for j in live) if sum(goals[j] for j in live) else 0 for g in goals]
     if keep_all:
         goal = [g * max(share[k] / goal[k] for k in live if goal[k] > 0) for g in goal]
-    rate, now = F.lit(1.0), share
+    least, rate, now = 1.0 if keep_all else 0.0, F.lit(1.0), share
+    off, before = max(abs(now[k] - goal[k]) for k in live), math.inf
     for _ in range(steps):
-        gap = {k: (now[k] - goal[k]) / share[k] for k in live}
-        if max(abs(now[k] - goal[k]) for k in live) <= tolerance:
+        if off <= tolerance or before - off <= 0.01 * tolerance:  # there, or as near as it gets
             break
-        rate = F.greatest(F.lit(0.0), rate - _total([p[k] * F.lit(gap[k]) for k in live]))
+        gap = {k: (now[k] - goal[k]) / share[k] for k in live}
+        rate = F.greatest(F.lit(least), rate - _total([p[k] * F.lit(gap[k]) for k in live]))
         now = [x / total for x in masses(rate)[1:]]
+        off, before = max(abs(now[k] - goal[k]) for k in live), off
     return rate
 
 
@@ -148,7 +151,8 @@ def apply_mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], t
     hash of the text, which rows with equal rates share."""
     rates = mix(docs, labelled, targets, text_col, **options)
     table = written(
-        rates.filter("copies > 0").select(F.col("doc_id").alias("_id"), "mark", "domain", "rate", "copies").dropDuplicates(["_id", "mark"]), "rates")
+        rates.filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_of"), "domain", "rate", "copies")
+        .dropDuplicates(["_id", "_of"]), "rates")
     given = docs.drop("domain", "rate", "copies").withColumn("_mark", F.xxhash64(text_col))
-    met = given.join(table, given["doc_id"].eqNullSafe(table["_id"]) & (given["_mark"] == table["mark"]))
-    return met.drop("_id", "_mark", "mark")
+    met = given.join(table, given["doc_id"].eqNullSafe(table["_id"]) & (given["_mark"] == table["_of"]))
+    return met.drop("_id", "_mark", "_of")

@@ -71,8 +71,8 @@ def fingerprint_arrays(texts: list[bytes], shingle: int = 3) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` with ``fingerprint`` (bigint, the same 64 bits)."""
+def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 3, keep: tuple[str, ...] = ("doc_id",), name: str = "fingerprint") -> DataFrame:
+    """The columns ``keep`` with the fingerprint in ``name`` (bigint, the same 64 bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,10 +80,10 @@ def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 3, keep
                 held = data.tobytes()
                 texts = [held[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 prints = fingerprint_arrays(texts, shingle).view(np.int64)
-                yield pa.record_batch([*rows.columns[:-1], pa.array(prints)], [*rows.schema.names[:-1], "fingerprint"])
+                yield pa.record_batch([*rows.columns[:-1], pa.array(prints)], [*rows.schema.names[:-1], name])
 
     given = docs.select(*keep, F.col(text_col).alias("_text"))
-    kept = docs.select(*keep).withColumn("fingerprint", F.lit(0).cast("long"))
+    kept = docs.select(*keep, F.lit(0).cast("long").alias(name))
     return given.mapInArrow(run, kept.schema)
 
 
@@ -254,31 +254,30 @@ def roots(links: DataFrame) -> DataFrame:
 
 
 def components(docs: DataFrame, text_col: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """doc_id, fingerprint (bigint), component_id (least doc_id reachable), one row per row."""
+    """doc_id, fingerprint (bigint), root (least fingerprint reachable), component_id (least
+    doc_id reachable), one row per row."""
     prints = written(fingerprints(docs, text_col, shingle), "fingerprints")
     nodes = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "nodes")
     linked = written(roots(near_links(nodes, max_bits)).withColumnRenamed("u", "fingerprint"), "roots")
     rooted = nodes.join(linked, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     least = written(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "components")
-    named = written(rooted.join(least, "root").select("fingerprint", "component_id"), "named")
-    return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    named = written(rooted.join(least, "root").select("fingerprint", "root", "component_id"), "named")
+    return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, text_col: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
     """``docs`` with the document of the least doc_id of each component, columns unchanged. Of
     rows that repeat this doc_id one stays; of a component without any doc_id, one row."""
-    judged = components(docs, text_col, shingle, max_bits)
-    kept = judged.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = written(kept.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("_n"), F.collect_set("fingerprint").alias("_prints")), "chosen")
-    ids = chosen.filter("doc_id is not null").select(F.col("doc_id").alias("_id"), "_n")
-    met = docs.join(ids, docs["doc_id"] == ids["_id"])
+    judged = written(components(docs, text_col, shingle, max_bits), "judged")
+    chosen = written(
+        judged.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n")), "chosen")
+    met = docs.join(chosen, docs["doc_id"] == chosen["_id"])
     single = met.filter("_n = 1").select(docs.columns)
     again = met.filter("_n > 1").select(docs.columns).dropDuplicates(["doc_id"])
-    without = chosen.filter("doc_id is null").select(F.explode("_prints").alias("fingerprint"))
-    if without.isEmpty():
+    nameless = written(
+        judged.filter("component_id is null").groupBy("root").agg(F.min("fingerprint").alias("_least")).select("_least"), "nameless")
+    if nameless.isEmpty():
         return single.unionByName(again)
-    nameless = docs.filter("doc_id is null")
-    printed = fingerprints(nameless, text_col, shingle, keep=tuple(docs.columns))
-    return single.unionByName(again).unionByName(
-        printed.join(without, "fingerprint").dropDuplicates(["fingerprint"]).select(docs.columns))
+    printed = fingerprints(docs.filter("doc_id is null"), text_col, shingle, tuple(docs.columns), "_print")
+    without = printed.join(nameless, printed["_print"] == nameless["_least"]).dropDuplicates(["_print"])
+    return single.unionByName(again).unionByName(without.select(docs.columns))

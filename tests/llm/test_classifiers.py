@@ -75,7 +75,7 @@ def test_attention_gradients():
 
     for name, grad in Q._gradients(model, x, first, y).items():
         at = tuple(rng.integers(0, s) for s in np.shape(grad))
-        kept = model.weights[name].copy()
+        kept = np.array(model.weights[name])
         sides = []
         for step in (1e-5, -1e-5):
             model.weights[name] = kept.copy()

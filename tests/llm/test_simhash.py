@@ -85,7 +85,7 @@ def test_query_and_stage_against_brute_force(spark, prose):
         return min((i for i in ids if i is not None), default=None)
     want = sorted(((d, f"{plain_fingerprint(t):016x}", first(least[comp[plain_fingerprint(t)]])) for d, t in rows), key=str)
     got = S.components(df)
-    got = got.select("doc_id", S.hex_of(got["fingerprint"]), "component_id").collect()
+    got = got.select("doc_id", S.hex_of(got["fingerprint"]).alias("f"), "component_id").collect()
     assert sorted(map(tuple, got), key=str) == want
     kept = [r.doc_id for r in S.one_of_each(df).collect()]
     assert sorted(kept, key=str) == sorted((first(ids) for ids in least.values()), key=str)
