@@ -36,16 +36,21 @@ _PHONE_CHARACTERS = r"^\+?[0-9A-Za-z\s\-.()/\[\]~*\u2010-\u2015]+$"
 
 # International digits that make a number. North American plan (calling code 1): area code
 # N-0..8-X, never N11, no 37X / 96X blocks (held back), not 555 (reserved), exchange N-X-X.
-# Other countries: calling code and total length only.
-_VALID_DIGITS = (
-    r"^(?:1(?!.11|37|96|555)[2-9][0-8][0-9][2-9][0-9]{6}|[2-9][0-9]{6,14})$"
+# Other countries: an assigned calling code and total length only.
+# Assigned three-digit country calling codes.
+LONG_CALLING_CODES = (
+    "21[12368]|22[0-9]|23[0-9]|24[0-9]|25[0-8]|26[0-9]|29[0179]|35[0-9]|37[0-8]|38[0-35-79]|42[013]|50[0-9]|59[0-9]|"
+    "67[02-9]|68[0-35-9]|69[0-2]|80[08]|85[02356]|87[0-358]|88[0-368]|96[0-8]|97[0-79]|99[2-68]"
 )
-
-# One- and two-digit country calling codes; every other code has three digits.
+# One- and two-digit country calling codes.
 SHORT_CALLING_CODES = (
     "1|7|20|27|30|31|32|33|34|36|39|40|41|43|44|45|46|47|48|49|51|52|53|54|55|56|57|58|"
     "60|61|62|63|64|65|66|81|82|84|86|90|91|92|93|94|95|98"
 )
+_VALID_DIGITS = (
+    r"^(?:1(?!.11|37|96|555)[2-9][0-8][0-9][2-9][0-9]{6}"
+    rf"|(?=[0-9]{{7,15}}$)(?:(?!1){SHORT_CALLING_CODES.join(('(?:', ')'))}|{LONG_CALLING_CODES})[0-9]+)$"
+)
 
 
 def phone_start(col: Column) -> Column:
@@ -60,7 +65,7 @@ def international_digits(start: Column) -> Column:
     dialled = F.regexp_replace(keyed, "[^0-9+]", "")
     return (
         F.when(dialled.startswith("+"), F.replace(dialled, F.lit("+"), F.lit("")))
-        .when(dialled.startswith("011"), F.substring(dialled, 4, 20))
+        .when(dialled.startswith("011"), F.regexp_replace(dialled, "^011", ""))
         .otherwise(F.concat(F.lit("1"), F.regexp_replace(dialled, "^1(?=[0-9]{10}$)", "")))
     )
 
@@ -70,7 +75,7 @@ def e164(start: Column, digits: Column) -> Column:
 
     North American numbers follow the numbering plan (see ``operators.validation`` for the
     check against a table of area codes in service). Numbers of other countries are checked
-    by calling code and total length only, which is approximate.
+    by assigned calling code and total length only, which is approximate.
     """
     usable = start.rlike(_PHONE_CHARACTERS) & digits.rlike(_VALID_DIGITS)
     return F.when(usable, F.concat(F.lit("+"), digits))

@@ -1,5 +1,5 @@
 """A small HTML reader for listing pages: a tag tree from the standard parser, and the CSS
-subset used by directory descriptions (tag, .class, #id, [attr], [attr=v], [attr*=v],
+subset used by directory descriptions (comma lists, tag, .class, #id, [attr], [attr=v], [attr*=v],
 [attr^=v], [attr$=v], descendant and child steps; ``::text`` or ``::attr(name)`` at the end).
 Runs inside ``mapInPandas``, one page at a time."""
 
@@ -71,6 +71,9 @@ _SIMPLE = re.compile(
     r"|\[(?P<attr>[\w-]+)(?:(?P<op>[*^$~]?=)(?P<q>['\"]?)(?P<val>.*?)(?P=q))?\]"
 )
 _STEP = re.compile(r"\s*(>)?\s*((?:[^\s>\[]|\[[^\]]*\])+)")
+_COMPOUND = re.compile(
+    r"(?:[a-zA-Z][\w-]*|\*|[.#][\w-]+|\[[\w-]+(?:[*^$~]?=(?:'[^']*'|\"[^\"]*\"|[^\]]*))?\])+")
+_COMMA = re.compile(r",(?![^\[]*\])")
 _ATTR_TESTS = {
     "=": lambda have, want: have == want, "*=": lambda have, want: want in have,
     "^=": lambda have, want: have.startswith(want), "$=": lambda have, want: have.endswith(want),
@@ -80,16 +83,26 @@ _ATTR_TESTS = {
 
 @lru_cache(maxsize=1024)
 def compile_selector(selector: str):
-    """-> ([(is_child_step, [test, ...]), ...], wanted) with wanted None, "text" or an
-    attribute name prefixed by "@"."""
+    """-> alternatives of a comma list, each ([(is_child_step, [test, ...]), ...], wanted) with
+    wanted None, "text" or an attribute name prefixed by "@". What is not understood is an error."""
+    return [_compile_one(part.strip()) for part in _COMMA.split(selector)]
+
+
+def _compile_one(selector: str):
     body, _, pseudo = selector.partition("::")
     wanted = None
     if pseudo == "text":
         wanted = "text"
-    elif pseudo.startswith("attr("):
+    elif pseudo.startswith("attr(") and pseudo.endswith(")"):
         wanted = "@" + pseudo[5:-1].strip()
+    elif pseudo:
+        raise ValueError(f"unsupported selector: {selector!r}")
     steps = []
+    if not body.strip() or _STEP.sub("", body).strip():
+        raise ValueError(f"unsupported selector: {selector!r}")
     for child, simple in _STEP.findall(body):
+        if not _COMPOUND.fullmatch(simple):
+            raise ValueError(f"unsupported selector: {selector!r}")
         tests = []
         for m in _SIMPLE.finditer(simple):
             if m["tag"]:
@@ -108,6 +121,9 @@ def compile_selector(selector: str):
     return steps, wanted
 
 
+_NOTHING = object()
+
+
 def _matches(element: Element, steps, last: int) -> bool:
     child, tests = steps[last]
     if element.tag == "#document" or not all(t(element) for t in tests):
@@ -126,9 +142,10 @@ def _matches(element: Element, steps, last: int) -> bool:
 
 def select(scope: Element, selector: str):
     """Matching elements in document order, or their texts / attribute values."""
-    steps, wanted = compile_selector(selector)
+    alternatives = compile_selector(selector)
     for element in scope.walk():
-        if not _matches(element, steps, len(steps) - 1):
+        wanted = next((w for steps, w in alternatives if _matches(element, steps, len(steps) - 1)), _NOTHING)
+        if wanted is _NOTHING:
             continue
         if wanted is None:
             yield element

@@ -36,19 +36,16 @@ def _html5_unescape(values: pd.Series) -> pd.Series:
     return values.map(html.unescape, na_action="ignore")
 
 
-def unescape_html(col: Column, full_table: bool = True) -> Column:
+def unescape_html(col: Column) -> Column:
     """Decode HTML entities once.
 
     Common entities are decoded by JVM ``replace``; only values holding any other entity
-    reach Python, all others travel as NULL. ``full_table=False`` leaves Python out of the
-    plan altogether, for inputs known to use just the common entities.
+    reach Python, all others travel as NULL.
     """
     native = col
     for entity, char in NATIVE_ENTITIES.items():
         native = F.replace(native, F.lit(entity), F.lit(char))
     native = F.when(col.contains("&"), native).otherwise(col)
-    if not full_table:
-        return native
     rare = F.when(col.contains("&") & col.rlike(_NEEDS_FULL_TABLE), col)
     return F.coalesce(_html5_unescape(rare), native)
 
@@ -66,15 +63,16 @@ def squash_whitespace(col: Column) -> Column:
 _NEEDS_CLEANING = "[^ -%'-~]|  "
 
 
-def clean_text(col: Column, full_table: bool = True) -> Column:
+def clean_text(col: Column) -> Column:
     """Decode entities, drop invisible characters, squash whitespace. Most values hold
     nothing to change; one scan finds that out and they are only trimmed."""
-    cleaned = squash_whitespace(strip_invisible(unescape_html(col, full_table)))
+    cleaned = squash_whitespace(strip_invisible(unescape_html(col)))
     return F.when(col.rlike(_NEEDS_CLEANING), cleaned).otherwise(F.trim(col))
 
 
-def slug(col: Column, max_length: int = 50) -> Column:
-    """Lower-case key part: runs of other characters become one hyphen, ends stripped."""
+def slug(col: Column) -> Column:
+    """Lower-case key part: runs of other characters become one hyphen, ends stripped. Never
+    cut, so that long texts stay apart as keys."""
     dashed = F.regexp_replace(F.lower(col), "[^a-z0-9-]", "-")
     squeezed = F.regexp_replace(dashed, "-+", "-")
-    return F.substring(F.regexp_replace(squeezed, "^-+|-+$", ""), 1, max_length)
+    return F.regexp_replace(squeezed, "^-+|-+$", "")

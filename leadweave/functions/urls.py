@@ -21,15 +21,22 @@ _CLOSED_V4 = (
     r"|^172\.(?:1[6-9]|2\d|3[01])\.|^192\.0\.0\.(?!(?:9|10)$)|^192\.0\.2\.|^192\.168\."
     r"|^198\.1[89]\.|^198\.51\.100\.|^203\.0\.113\."
 )
-# IPv6 prefixes that are not global (unspecified, loopback, mapped,
-# discard, protocol assignments, documentation, 6to4, unique local, link local).
+# IPv6 networks that are not global, in any spelling of their groups
+# (unspecified and loopback, mapped, 64:ff9b:1, discard, protocol assignments, documentation,
+# 6to4, unique local, link local).
 _CLOSED_V6 = (
-    r"^(::|::1|::ffff:.*|64:ff9b:1:.*|100::.*|2001:(0{0,4}|[01]?[0-9a-f]{1,2})?:.*|2001:db8:.*|"
-    r"2002:.*|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*)$"
+    r"(?i)^(?:[0:]*:0{0,3}[01]?$|(?:[0:]*::(?:0{1,4}:)*|(?:0{1,4}:){5})ffff:(?:[0-9a-f]{1,4}:[0-9a-f]{1,4}|[0-9.]+)$|0{0,2}64:ff9b:0{0,3}1:|0?100:(?::(?!(?:[0-9a-f]+:){4}[0-9a-f])|(?:0{1,4}:){3})"
+    r"|2001:(?:0{0,3}[0-9a-f]?|0{0,2}[0-9a-f]{2}|0?[01][0-9a-f]{2}):|2001:0?db8:|2002:|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:)"
 )
-
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _IPV4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
+# eight groups, or fewer around one "::"; the last two may be a dotted quad; a zone may follow
+_GROUP = "[0-9a-f]{1,4}"
+_TAIL = rf"(?:{_GROUP}:{_GROUP}|{_OCTET}(?:\.{_OCTET}){{3}})"
+_IPV6 = (
+    rf"(?i)^(?:(?:{_GROUP}:){{6}}{_TAIL}"
+    rf"|(?!(?!::)(?:[^:]*:){{8}}[^:]|::(?:[^:]*:){{7}}[^:])(?!.*::.*::)(?:{_GROUP}(?::{_GROUP})*)?::(?:(?:{_GROUP}:)*(?:{_GROUP}|{_TAIL}))?)(?:%.*)?$"
+)
 
 
 def form_encode(col: Column) -> Column:
@@ -119,7 +126,7 @@ def is_safe_url(col: Column) -> Column:
     reachable = (
         F.when(host == "localhost", False)
         .when(host.rlike(_IPV4), ~host.rlike(_CLOSED_V4))
-        .when(host.contains(":"), ~host.rlike(_CLOSED_V6))
+        .when(host.contains(":"), host.rlike(_IPV6) & ~host.rlike(_CLOSED_V6))
         .otherwise(True)
     )
     return scheme.isin("http", "https") & reachable

@@ -7,9 +7,7 @@ from pyspark.sql import types as T
 from leadweave.functions.text import clean_text
 
 
-def clean_strings(
-    df: DataFrame, skip: tuple[str, ...] = (), full_table: bool = True
-) -> DataFrame:
+def clean_strings(df: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
     """Clean every string column; other types, ``_`` columns and ``skip`` pass unchanged.
     One projection, so all columns share a single Arrow exchange at most."""
     out = []
@@ -17,6 +15,6 @@ def clean_strings(
         col = F.col(f"`{field.name}`")
         text = isinstance(field.dataType, T.StringType) and not field.name.startswith("_")
         if text and field.name not in skip:
-            col = clean_text(col, full_table).alias(field.name)
+            col = clean_text(col).alias(field.name)
         out.append(col)
     return df.select(out)

@@ -87,21 +87,32 @@ def public_view(df: DataFrame) -> DataFrame:
     return df.select(PUBLIC_COLUMNS)
 
 
-def check_edits(edits: DataFrame) -> None:
+def check_edits(edits: DataFrame, companies: DataFrame | None = None) -> None:
+    """Fields that may not be edited are an error; so are ids that ``companies`` lacks."""
     bad = edits.filter(~F.col("field").isin(*EDITABLE_FIELDS)).select("field").limit(1).collect()
     if bad:
         raise ValueError(f"field {bad[0][0]!r} is not editable")
+    if companies is not None:
+        lost = unknown_ids(edits, companies).limit(1).collect()
+        if lost:
+            raise LookupError(f"company not found: {lost[0][0]}")
+
+
+def unknown_ids(edits: DataFrame, companies: DataFrame) -> DataFrame:
+    return edits.select("id").distinct().join(companies.select("id"), "id", "left_anti")
 
 
 def apply_edits(companies: DataFrame, edits: DataFrame, edited_at=None) -> DataFrame:
-    """Apply ``edits(id, field, value)``, one row per changed field; a NULL value clears the
-    field. Edited rows get a new ``updated_at``."""
+    """Apply ``edits(id, field, value[, edit_no])``, one row per changed field; a NULL value
+    clears the field. Of several edits of one field the one with the greatest ``edit_no``
+    counts, without numbers the greatest value. Edited rows get a new ``updated_at``."""
+    check_edits(edits)
     kinds = {f.name: f.dataType for f in companies.schema}
     fields = [name for name in EDITABLE_FIELDS if name in kinds]
-    # plain aggregates, so that an id with any number of edit rows is folded on the map side;
-    # of several values for one field the greatest counts
+    number = F.col("edit_no") if "edit_no" in edits.columns else F.lit(0)
+    # plain aggregates, so that an id with any number of edit rows is folded on the map side
     by_id = edits.groupBy("id").agg(F.lit(True).alias("_edited"), *[
-        F.max(F.when(F.col("field") == name, F.struct(F.col("value").alias("v")))).alias(f"_edit_{name}")
+        F.max(F.when(F.col("field") == name, F.struct(number.alias("n"), F.col("value").alias("v")))).alias(f"_edit_{name}")
         for name in fields
     ])
     changed = {
@@ -137,8 +148,42 @@ def grid_view(
     return out.orderBy(*keys, F.col("id")) if keys else out
 
 
+def company_page_after(
+    df: DataFrame, sort_by: str, sort_order_name: str, last: tuple, page_size: int = 50,
+) -> DataFrame:
+    """The page after the row whose (sort value, id) is ``last``. No earlier page is gathered:
+    every partition hands over ``page_size`` rows at most, however deep the page."""
+    if sort_by not in SORT_FIELDS:
+        raise ValueError(f"cannot sort by {sort_by!r}; choose one of {SORT_FIELDS}")
+    if not 1 <= page_size <= 200:
+        raise ValueError("page_size is 1 to 200")
+    value, last_id = last
+    col, down = F.col(sort_by), sort_order_name == "desc"
+    same = col.isNull() if value is None else col == F.lit(value)
+    if value is None:  # NULLs rank above every value
+        beyond = col.isNotNull() if down else F.lit(False)
+    else:
+        beyond = col < F.lit(value) if down else (col > F.lit(value)) | col.isNull()
+    later = df.filter(F.coalesce(beyond, F.lit(False)) | (F.coalesce(same, F.lit(False)) & (F.col("id") > last_id)))
+    return later.orderBy(sort_order(sort_by, down), F.col("id").asc()).limit(page_size)
+
+
+def task_count(tasks: DataFrame) -> DataFrame:
+    return tasks.agg(F.count(F.lit(1)).alias("total"))
+
+
+def get_task(tasks: DataFrame, task_id: str) -> DataFrame:
+    """The one row with this id, its error included; an unknown id is an error."""
+    row = tasks.filter(F.col("id") == task_id)
+    if row.isEmpty():
+        raise LookupError(f"task not found: {task_id}")
+    return row
+
+
 def list_tasks(tasks: DataFrame, page: int = 1, page_size: int = 20) -> DataFrame:
-    """Newest tasks first, one page."""
+    """Newest tasks first, one page; ``task_count`` has the total."""
+    if page < 1 or not 1 <= page_size <= 200:
+        raise ValueError("page starts at 1; page_size is 1 to 200")
     return tasks.orderBy(F.col("created_at").desc(), F.col("id")).offset((page - 1) * page_size).limit(page_size)
 
 

@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadweave.session import salted_join
+
 _BUCKET = 1024
 
 
@@ -27,8 +29,7 @@ def visited_pages(pages: DataFrame, limit: int | None = None) -> DataFrame:
     empty = pages.filter(F.col("fetched") & (F.col("n_items") == 0)) \
         .groupBy("crawl").agg(F.min("page").alias("_stop"))
     items = pages.withColumn("n_items", F.when(F.col("fetched"), F.col("n_items")).otherwise(0))
-    seen = running_before(items, ["crawl"], "page", "n_items", "items_before") \
-        .join(empty, "crawl", "left") \
+    seen = salted_join(running_before(items, ["crawl"], "page", "n_items", "items_before"), empty, "crawl") \
         .filter(F.col("_stop").isNull() | (F.col("page") <= F.col("_stop"))).drop("_stop")
     return seen if limit is None else seen.filter(F.col("items_before") < limit)
 

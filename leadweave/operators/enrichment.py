@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadweave.functions.urls import is_safe_url
+from leadweave.session import salted_join
 
 # Where to look, what an address looks like, and which addresses to pass over.
 CONTACT_PATHS = ("/contact", "/about", "/contact-us")
@@ -69,12 +70,13 @@ def site_facts(site_pages: DataFrame) -> DataFrame:
         F.when(home, is_alive(F.col("status_head"), F.col("status_get"))).alias("alive"),
         F.when(~home & ok, first_contact_email(F.col("html"))).alias("email"),
         rank.alias("rank"),
+        F.col("url"),
         F.when(home & ok, social_map(F.col("html"))).alias("social"),
     )
     return reduced.groupBy("site").agg(
         F.coalesce(F.bool_or("alive"), F.lit(False)).alias("_alive"),
         F.expr("min_by(email, rank) FILTER (WHERE email IS NOT NULL)").alias("_email"),
-        F.expr("first(social, true)").alias("_social"),
+        F.expr("min_by(social, url) FILTER (WHERE social IS NOT NULL)").alias("_social"),
     )
 
 
@@ -82,9 +84,10 @@ def enrich(df: DataFrame, site_pages: DataFrame) -> DataFrame:
     """Add ``website_alive`` (NULL without a safe website), ``social_links``, and fill a
     missing ``email`` from the contact pages of live sites."""
     safe = F.coalesce((F.col("website") != "") & is_safe_url(F.col("website")), F.lit(False))
-    joined = df.withColumn("_site", F.when(safe, site_key(F.col("website")))).join(
-        site_facts(site_pages).withColumnRenamed("site", "_site"), "_site", "left"
-    ).withColumn("website_alive", F.when(F.col("_site").isNotNull(), F.coalesce("_alive", F.lit(False))))
+    sited = df.withColumn("_site", F.when(safe, site_key(F.col("website"))))
+    wanted = sited.select("_site").filter("_site IS NOT NULL").distinct()
+    asked = site_pages.withColumn("_site", site_key(F.col("url"))).join(wanted, "_site", "left_semi").drop("_site")
+    joined = salted_join(sited, site_facts(asked).withColumnRenamed("site", "_site"), "_site").withColumn("website_alive", F.when(F.col("_site").isNotNull(), F.coalesce("_alive", F.lit(False))))
     alive = F.coalesce("website_alive", F.lit(False))
     found = alive & F.coalesce(F.col("email") == "", F.lit(True)) & F.col("_email").isNotNull()
     return joined.withColumns({

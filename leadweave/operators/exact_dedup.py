@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadweave.session import salted_join
+
 # Columns that describe the survivor itself and are never filled from another row.
 _OWN = {"ord", "pipeline_id", "is_duplicate_of", "needs_review"}
 
@@ -62,14 +64,13 @@ def dedup_exact(
     df: DataFrame, key: str, size_col: str = "_absorbed", exclude: list[str] | None = None
 ) -> DataFrame:
     """Collapse rows sharing a non-empty ``key``; the most complete row survives, the first
-    in ``ord`` order on ties. Rows without a key pass through: each forms a group of its own,
-    so they spread over all partitions and the input is read once. ``exclude`` lists key
-    values (for instance generic mailboxes) that never link rows."""
+    in ``ord`` order on ties. Rows without a key pass by, neither grouped nor shuffled.
+    ``exclude`` lists key values (for instance generic mailboxes) that never link rows."""
     rank = F.struct(non_null_fields(df).alias("n"), (-F.col("ord")).alias("o"))
-    keyed = df.withColumn("_key", _key(key, exclude)) \
-        .withColumn("_alone", F.when(F.col("_key").isNull(), F.col("ord")))
-    merged = merge_groups(keyed, ["_key", "_alone"], rank, size_col)
-    return merged.select(*df.columns, size_col)
+    keyed = df.withColumn("_key", _key(key, exclude))
+    merged = merge_groups(keyed.filter("_key IS NOT NULL"), ["_key"], rank, size_col)
+    alone = keyed.filter("_key IS NULL").withColumn(size_col, F.lit(0).cast("bigint"))
+    return merged.select(*df.columns, size_col).unionByName(alone.select(*df.columns, size_col))
 
 
 def duplicate_map(df: DataFrame, key: str, exclude: list[str] | None = None) -> DataFrame:
@@ -82,6 +83,6 @@ def duplicate_map(df: DataFrame, key: str, exclude: list[str] | None = None) ->
         F.max_by("pipeline_id", F.struct("_n", -F.col("ord"))).alias("survivor_id"),
         F.count(F.lit(1)).alias("_size"),
     ).filter("_size > 1")
-    return slim.join(survivors, "_key").filter("pipeline_id <> survivor_id").select(
+    return salted_join(slim, survivors, "_key", "inner").filter("pipeline_id <> survivor_id").select(
         F.col("pipeline_id").alias("removed_id"), "survivor_id"
     )

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from leadweave.functions.names import block_key
 from leadweave.functions.similarity import comparison_tokens, score_pairs
 from leadweave.operators.exact_dedup import merge_groups
-from leadweave.session import cut_lineage
+from leadweave.session import cut_lineage, salted_join
 
 AUTO_MERGE = 90
 REVIEW = 85
@@ -50,6 +50,7 @@ def with_keys(
     """Classes with their join keys as two arrays, ``probe`` and ``index``."""
     return rank_tokens(classes).withColumns({
         "length": _length(F.col("tokens")),
+        "signature": _signature(F.col("tokens")),
         "probe": probe_keys(cutoff, scorer),
         "index": index_keys(cutoff, scorer),
     }).drop("rare_first")
@@ -57,9 +58,10 @@ def with_keys(
 
 def rank_tokens(classes: DataFrame) -> DataFrame:
     """Add ``rare_first``: the tokens of each class, rarest in its block first."""
-    tokens = classes.select("block", "rep", F.explode("tokens").alias("token"))
-    frequency = tokens.groupBy("block", "token").agg(F.count(F.lit(1)).alias("n"))
-    ranked = tokens.join(frequency, ["block", "token"]).groupBy("rep").agg(
+    tokens = classes.select(F.explode("tokens").alias("token"), "rep", "block").select(
+        "rep", "token", F.struct("block", "token").alias("_word"))
+    frequency = tokens.groupBy("_word").agg(F.count(F.lit(1)).alias("n"))
+    ranked = salted_join(tokens, frequency, "_word", "inner").groupBy("rep").agg(
         F.array_sort(F.collect_list(F.struct("n", "token"))).alias("ranked")
     )
     return classes.join(ranked, "rep").withColumn(
@@ -96,12 +98,21 @@ def _piece_sizes(cutoff: float) -> tuple[int, ...]:
 
 # Join keys are 64-bit hashes of (block, kind, text, band): a collision only adds a candidate
 # that the score rejects. The lowest bit tells containment keys (1) from edit keys (0).
-_CONTAINMENT = 1
+_EDIT, _CONTAINMENT, _CONTAINMENT_PAIR = 0, 1, 3
 
 
 def _keys(kind: int, texts: Column, band: Column) -> Column:
     return F.transform(texts, lambda t: F.shiftleft(
-        F.xxhash64(F.col("block"), F.lit(kind), t, band), 1).bitwiseOR(F.lit(kind).cast("bigint")))
+        F.xxhash64(F.col("block"), F.lit(kind), t, band), 1).bitwiseOR(F.lit(kind % 2).cast("bigint")))
+
+
+def _pair(a: Column, b: Column) -> Column:
+    return F.concat(F.least(a, b), F.lit("\u0001"), F.greatest(a, b))
+
+
+def _pairs_of(texts: Column) -> Column:
+    """Every unordered pair of a list of distinct texts."""
+    return F.flatten(F.transform(texts, lambda a: F.transform(F.filter(texts, lambda b: b > a), lambda b: _pair(a, b))))
 
 
 def probe_keys(cutoff: float, scorer: str) -> Column:
@@ -109,9 +120,11 @@ def probe_keys(cutoff: float, scorer: str) -> Column:
 
     Let r = cutoff/100. A pair of token sets reaches the cutoff in one of two ways.
 
-    *Containment*: one set lies in the other but for a rest so short that the
-    shared part is at least r/(2-r) of its length. Walking its tokens rarest first, once the
-    tokens not yet seen are too short for that share, one of those seen must be shared.
+    *Containment*: one set lies in the other but for a rest so short that the shared part is
+    at least r/(2-r) of its length. Walk its tokens rarest first. Once any one of those seen
+    and all not yet seen are too short for that share, two of those seen must be shared: the
+    pairs among them are the keys. Where a single token is long enough, the tokens are keys
+    themselves, up to where those not yet seen are too short.
 
     *Edits*: the texts differ by D insertions and deletions at most, with
     D <= 2(1-r) * length of the longer. Cut the longer into pieces inside its tokens; each
@@ -127,36 +140,56 @@ def probe_keys(cutoff: float, scorer: str) -> Column:
     for size in reversed(sizes):
         cut = _pieces(tokens, size, size)
         chosen = F.when(F.size(cut) >= needed, F.slice(cut, F.lit(1), needed)).otherwise(chosen)
-    pieces = F.array_distinct(chosen)
+    none = F.array().cast("array<string>")
     band = _length_band(length, cutoff)
-    keys = F.concat(_keys(0, pieces, band), _keys(0, pieces, band - 1))
+    pieces = F.array_distinct(chosen)
+    keys = F.concat(_keys(_EDIT, pieces, band), _keys(_EDIT, pieces, band - 1))
     if scorer == "token_set_ratio":
         must_share = length * r / (2 - r) - 1e-9
-        positions = F.sequence(F.lit(1), F.size(tokens))
+        count = F.size(tokens)
+        positions = F.sequence(F.lit(1), count)
         lead = F.filter(
             positions,
-            lambda i: (i == 1) | (_length(F.slice(tokens, i, F.size(tokens))) >= must_share),
+            lambda i: (i == 1) | (_length(F.slice(tokens, i, count)) >= must_share),
         )
         prefix = F.transform(lead, lambda i: F.element_at(tokens, i))
-        keys = F.concat(keys, _keys(_CONTAINMENT, prefix, F.lit(0)))
+
+        def one_is_too_short(i):
+            longest = F.array_max(F.transform(F.slice(tokens, 1, i), lambda t: F.length(t)))
+            rest = F.slice(tokens, i + 1, count)
+            return longest + F.size(rest) + F.aggregate(rest, F.lit(0), lambda n, t: n + F.length(t)) < must_share
+
+        enough = F.get(F.filter(positions, lambda i: (i >= 2) & one_is_too_short(i)), F.lit(0))
+        two = F.when(enough.isNotNull(), _pairs_of(F.slice(tokens, 1, F.coalesce(enough, F.lit(0))))).otherwise(none)
+        keys = F.concat(keys, _keys(_CONTAINMENT, F.when(enough.isNull(), prefix).otherwise(none), F.lit(0)),
+                        _keys(_CONTAINMENT_PAIR, two, F.lit(0)))
     return keys
 
 
 def index_keys(cutoff: float, scorer: str) -> Column:
-    """Every key a partner may probe for: all tokens, and all pieces in this length band."""
+    """Every key a partner may probe for: all tokens and pairs of tokens, and all pieces in
+    this length band."""
     tokens = F.col("tokens")
     grams = [_pieces(tokens, size, 1) for size in _piece_sizes(cutoff)]
     band = _length_band(_length(tokens), cutoff)
     texts = F.array_distinct(F.concat(*grams, F.array(F.lit("*"))))
-    keys = _keys(0, texts, band)
+    keys = _keys(_EDIT, texts, band)
     if scorer == "token_set_ratio":
-        keys = F.concat(keys, _keys(_CONTAINMENT, tokens, F.lit(0)))
+        keys = F.concat(keys, _keys(_CONTAINMENT, tokens, F.lit(0)), _keys(_CONTAINMENT_PAIR, _pairs_of(tokens), F.lit(0)))
     return keys
 
 
+def _signature(tokens: Column) -> Column:
+    """The characters of a name as bits; two that share a bit only make names look closer."""
+    places = F.array_distinct(F.transform(F.split(F.array_join(tokens, ""), ""), lambda c: F.ascii(c) % 64))
+    return F.aggregate(places, F.lit(0).cast("bigint"), lambda n, k: n.bitwiseOR(
+        F.call_function("shiftleft", F.lit(1).cast("bigint"), k)))
+
+
 def _keyed(classes: DataFrame, keys: str, name: str) -> DataFrame:
     return classes.select(
-        F.explode(keys).alias("key"), F.col("rep").alias(name), F.col("length").alias(f"{name}_length")
+        F.explode(keys).alias("key"), F.col("rep").alias(name), F.col("length").alias(f"{name}_length"),
+        F.col("signature").alias(f"{name}_signature"),
     )
 
 
@@ -168,12 +201,17 @@ def scored_pairs(
     folded before its texts are looked up and scored. Adaptive execution splits the
     partitions of hot keys."""
     contained = F.col("key").bitwiseAND(F.lit(1)) == _CONTAINMENT
+    r = cutoff / 100.0
     found = None
-    for i_keys, j_keys, longer, shorter in (
-        ("probe", "index", "i_length", "j_length"), ("index", "probe", "j_length", "i_length"),
-    ):
+    for i_keys, j_keys, prober, other in (("probe", "index", "i", "j"), ("index", "probe", "j", "i")):
+        length, mine, theirs = F.col(f"{prober}_length"), F.col(f"{prober}_signature"), F.col(f"{other}_signature")
+        # each edit brings or takes one character at most; what is not shared of a contained
+        # set is as long as the characters it alone has
+        near = (length >= F.col(f"{other}_length")) & (
+            F.bit_count(mine.bitwiseXOR(theirs)) <= F.floor(2 * (1 - r) * length + 1e-9))
+        within = F.bit_count(mine.bitwiseAND(F.bitwise_not(theirs))) <= length * (2 - 2 * r) / (2 - r) + 1
         hits = _keyed(earlier, i_keys, "i").join(_keyed(later, j_keys, "j"), "key").filter(
-            (F.col("i") < F.col("j")) & (contained | (F.col(longer) >= F.col(shorter)))
+            (F.col("i") < F.col("j")) & F.when(contained, within).otherwise(near)
         ).select("i", "j")
         found = hits if found is None else found.unionByName(hits)
     texts = [

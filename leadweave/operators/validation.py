@@ -14,6 +14,7 @@ from leadweave.functions.contact import (
 )
 from leadweave.functions.names import normalize_company_name, standardize_address
 from leadweave.functions.urls import clean_website
+from leadweave.session import salted_join
 
 
 def _given(name: str) -> Column:
@@ -33,7 +34,7 @@ def check_domain(df: DataFrame, mail_domains: DataFrame) -> DataFrame:
     """Treat addresses whose domain is not in ``mail_domains(domain)`` as invalid."""
     known = mail_domains.select(F.lower("domain").alias("_domain")).distinct() \
         .withColumn("_takes_mail", F.lit(True))
-    joined = df.withColumn("_domain", email_domain(F.col("email"))).join(known, "_domain", "left")
+    joined = salted_join(df.withColumn("_domain", email_domain(F.col("email"))), known, "_domain")
     failed = _given("email") & F.col("_takes_mail").isNull()
     return joined.withColumns({
         "email_validated": F.when(failed, F.lit(False)).otherwise(F.col("email_validated")),
@@ -47,7 +48,7 @@ def apply_mailbox_verdicts(df: DataFrame, verdicts: DataFrame) -> DataFrame:
     accepted = verdicts.filter("accepted").select("email").distinct() \
         .withColumn("_accepted", F.lit(True))
     rejected = F.col("email_validated") & F.col("_accepted").isNull()
-    return df.join(accepted, "email", "left").withColumn(
+    return salted_join(df, accepted, "email").withColumn(
         "email_validated", F.when(rejected, F.lit(False)).otherwise(F.col("email_validated"))
     ).select(df.columns)
 
@@ -55,8 +56,8 @@ def apply_mailbox_verdicts(df: DataFrame, verdicts: DataFrame) -> DataFrame:
 def normalize_phone(df: DataFrame, area_codes: DataFrame | None = None) -> DataFrame:
     """Add ``phone_normalized`` and ``phone_display``; the raw phone stays.
 
-    ``area_codes(area_code)`` narrows North American numbers to the codes in service. There
-    are at most 800 such codes, so that side is always small.
+    ``area_codes(area_code)`` narrows North American numbers to the codes in service. Only
+    texts that can be such a code are kept, at most 800, so that side is always small.
     """
     out = (
         df.withColumn("_start", F.when(_given("phone"), phone_start(F.col("phone"))))
@@ -65,7 +66,8 @@ def normalize_phone(df: DataFrame, area_codes: DataFrame | None = None) -> DataF
         .drop("_start", "_digits")
     )
     if area_codes is not None:
-        in_service = area_codes.select(F.col("area_code").alias("_area")).distinct() \
+        in_service = area_codes.filter(F.col("area_code").rlike("^[2-9][0-9]{2}$")) \
+            .select(F.col("area_code").alias("_area")).distinct() \
             .withColumn("_in_service", F.lit(True))
         out = out.withColumn("_area", area_code(F.col("phone_normalized"))) \
             .join(F.broadcast(in_service), "_area", "left") \

@@ -230,13 +230,15 @@ ORACLES["social_links"] = f"{_JOINED} SELECT lead_id, " + ", ".join(
 ORACLES["enrich_stats"] = f"""{_JOINED} SELECT count(website_alive) AS websites_checked, count(*) FILTER (WHERE website_alive) AS websites_alive,
   count(*) FILTER (WHERE website_alive AND coalesce(email, '') = '' AND found IS NOT NULL) AS emails_found,
   count(*) FILTER (WHERE website_alive AND (linkedin <> '' OR facebook <> '' OR twitter <> '')) AS social_links_found FROM j"""
-ORACLES["safe_urls"] = """SELECT page_id, site, CASE page_id % 6 WHEN 0 THEN true
+_V6 = """CASE page_id % 5 WHEN 1 THEN 'http://[0:0:0:0:0:0:0:1]/' WHEN 2 THEN 'http://[::0001]:80/'
+        WHEN 3 THEN concat('https://[2001:db', page_id % 10, '::', page_id % 97, ']/') WHEN 4 THEN 'http://[::ffff:1.2.3.4]/' ELSE url END"""
+ORACLES["safe_urls"] = """SELECT page_id, site, CASE page_id % 6 WHEN 0 THEN CASE page_id % 5 WHEN 0 THEN true WHEN 3 THEN page_id % 10 <> 8 ELSE false END
     WHEN 1 THEN NOT (a IN (0, 10, 127) OR a >= 240 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 198 AND b IN (18, 19)))
     WHEN 5 THEN NOT (a BETWEEN 16 AND 31) ELSE false END AS safe
-  FROM (SELECT page_id, page_id % 256 AS a, page_id * 7 % 256 AS b, CASE page_id % 6 WHEN 0 THEN url
+  FROM (SELECT page_id, page_id % 256 AS a, page_id * 7 % 256 AS b, CASE page_id % 6 WHEN 0 THEN {v6}
       WHEN 1 THEN concat('http://', page_id % 256, '.', page_id * 7 % 256, '.1.', page_id % 250)
       WHEN 2 THEN concat('http://192.168.', page_id % 256, '.1/x') WHEN 3 THEN 'http://localhost:8080/'
-      WHEN 4 THEN concat('ftp://', page_id, '.example.com') ELSE concat('https://172.', page_id % 256, '.0.1:443/a') END AS site FROM pages)"""
+      WHEN 4 THEN concat('ftp://', page_id, '.example.com') ELSE concat('https://172.', page_id % 256, '.0.1:443/a') END AS site FROM pages)""".replace("{v6}", _V6)
 
 # --- pipeline counters
 _CHANGED = " OR ".join(f"a.{c} IS DISTINCT FROM b.{c}" for c in TEXT_COLUMNS)
@@ -267,14 +269,21 @@ _GRID = "lower(concat_ws(chr(10), company_name, phone_display, email, website, c
 ORACLES["quick_filter"] = f"{COMPANIES} SELECT {_SHOWN} FROM companies WHERE contains({_GRID}, 'red') AND contains({_GRID}, 'asia') AND contains({_GRID}, '4')"
 ORACLES["grid_view"] = f"{COMPANIES} SELECT {_SHOWN} FROM companies WHERE contains(lower(company_name), 'gizmo') AND contains(lower(state), 'eur')"
 ORACLES["apply_edits"] = f"""{COMPANIES}, e AS (SELECT 'c' || lpad(CAST(s_suppkey * 3 AS VARCHAR), 12, '0') AS id, s_suppkey AS k, s_nationkey AS n FROM supplier)
-  SELECT c.id, CASE WHEN e.id IS NOT NULL THEN concat('City ', n) ELSE city END AS city, CASE WHEN k % 2 = 0 THEN NULL ELSE email END AS email,
+  SELECT c.id, CASE WHEN k % 7 = 0 THEN NULL WHEN e.id IS NOT NULL THEN concat('City ', n) ELSE city END AS city, CASE WHEN k % 2 = 0 THEN NULL ELSE email END AS email,
     CASE WHEN k % 5 = 0 THEN true ELSE needs_review END AS needs_review, CASE WHEN e.id IS NOT NULL THEN '2026-12-01 00:00:00' END AS updated_at
   FROM companies c LEFT JOIN e ON c.id = e.id"""
+ORACLES["unknown_edit_ids"] = f"""{COMPANIES} SELECT 'c' || lpad(CAST(s_suppkey * 3 AS VARCHAR), 12, '0') AS id FROM supplier
+  WHERE 'c' || lpad(CAST(s_suppkey * 3 AS VARCHAR), 12, '0') NOT IN (SELECT id FROM companies)"""
+ORACLES["company_page_after"] = ORACLES["company_page"]
 ORACLES["export_rows"] = f"""{COMPANIES} SELECT company_name, phone, email, website, address, city, state, zip, category, rating, review_count, source
   FROM companies WHERE task_id = 'task-yelp' AND is_duplicate_of IS NULL"""
 ORACLES["export_csv"] = ORACLES["export_json"] = ORACLES["export_rows"].replace("task-yelp", "task-bbb")
 ORACLES["export_log"] = f"{COMPANIES} SELECT task_id, 'csv' AS format, count(*) AS rows_exported FROM companies WHERE task_id = 'task-yellowpages' AND is_duplicate_of IS NULL GROUP BY task_id"
 ORACLES["read_raw_leads"] = f"WITH {RAW} SELECT company_name, phone, email, website, address, city, state, category, rating, review_count, source, source_url, scraped_at FROM raw_leads"
+ORACLES["read_raw_leads_csv"] = ORACLES["read_raw_leads"].replace(" rating,", " CAST(NULL AS VARCHAR) AS rating,").replace(" scraped_at FROM", " CAST(NULL AS VARCHAR) AS scraped_at FROM")
+ORACLES["read_raw_leads_parquet"] = ORACLES["read_raw_leads"].replace(" city,", " CAST(NULL AS VARCHAR) AS city,")
+ORACLES["task_count"] = f"WITH {_TASKS} SELECT count(*) AS total FROM tasks"
+ORACLES["task_by_id"] = f"WITH {_TASKS} SELECT id, source, status, total_scraped FROM tasks WHERE id = 'task-7'"
 ORACLES["list_tasks"] = f"WITH {_TASKS} SELECT * REPLACE (CAST(created_at AS VARCHAR) AS created_at) FROM tasks ORDER BY tasks.created_at DESC, id LIMIT 20 OFFSET 20"
 ORACLES["cancel_tasks"] = f"WITH {_TASKS} SELECT id, CASE WHEN source = 'yelp' AND status IN ('pending', 'running') THEN 'cancelled' ELSE status END AS status FROM tasks"
 ORACLES["reset_mode"] = f"""WITH {_TASKS} SELECT (SELECT count(*) FROM tasks WHERE mode = 'demo') AS deleted_tasks, (SELECT count(*) FROM tasks WHERE mode <> 'demo') AS tasks_left,
@@ -309,11 +318,50 @@ for _name in ("latest_progress", "until_terminal", "stage_changes"):
 ORACLES["clean_leads_stream"] = """SELECT c_custkey, c_name || ' & Sons LLC' AS company_name, c_mktsegment || '@mail.example.com' AS email, true AS email_validated,
   lower(c_name) || ' & sons' AS company_name_normalized FROM customer"""
 
+# --- the whole chain: both exact passes, the fuzzy pass merged by owner, enrichment
+
+_SITES = f"sites AS ({_v('SITE_PAGES')})"
+_FIRST = {c: f"arg_min({c}, ord) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in ("email", "phone_normalized", "website")}
+_LONGEST = "arg_max(company_name, length(company_name) * 1000000000::BIGINT - ord)"
+_OWN_NAME = "arg_min(company_name, ord)"
+ORACLES["process_leads"] = f"""{LEADS.replace("WITH", "WITH RECURSIVE", 1)}, {BY_PHONE}, {BY_BOTH},
+n AS (SELECT ord, company_name_normalized FROM by_both WHERE company_name_normalized <> ''), {_greedy('n')},
+owned AS ({_OWNED.format(names="n", tokens=_TOKENS)}), flagged AS ({_FLAGGED}),
+grouped AS (SELECT b.*, coalesce(owner_ord, b.ord) AS g FROM by_both b LEFT JOIN owned o ON o.ord = b.ord),
+merged AS (SELECT min(ord) AS ord, {", ".join(_FIRST.values())},
+  CASE WHEN length({_LONGEST}) > length({_OWN_NAME}) THEN {_LONGEST} ELSE {_OWN_NAME} END AS company_name FROM grouped GROUP BY g),
+{_SITES}, {_FACTS},
+j AS (SELECT merged.*, found, CASE WHEN website <> '' THEN coalesce(alive, false) END AS website_alive,
+  flagged_by IS NOT NULL AS needs_review FROM merged LEFT JOIN facts ON rtrim(website, '/') = url LEFT JOIN flagged USING (ord))
+SELECT company_name, CASE WHEN website_alive AND coalesce(email, '') = '' AND found IS NOT NULL THEN found ELSE email END AS email,
+  phone_normalized, website, website_alive, needs_review FROM j"""
+
+# --- the chain's own stage table
+
+_CHAIN = f"""{LEADS}, {_SITES}, s AS (
+  SELECT 1 AS step, 'html_cleaner' AS stage UNION ALL SELECT 2, 'field_validator' UNION ALL SELECT 3, 'enricher'),
+n AS (SELECT count(*) AS n FROM admitted)"""
+ORACLES["chain_stage_table"] = f"""{_CHAIN}, {_FACTS},
+j AS (SELECT p.*, found, CASE WHEN website <> '' THEN coalesce(alive, false) END AS website_alive FROM prepared p LEFT JOIN facts ON rtrim(website, '/') = url),
+v AS (SELECT count(*) FILTER (WHERE c.email <> '' AND p.email IS NOT NULL) AS good, count(*) FILTER (WHERE c.email <> '' AND p.email IS NULL) AS bad,
+  count(*) FILTER (WHERE c.phone <> '' AND phone_normalized IS NOT NULL) AS phones FROM cleaned c JOIN prepared p ON p.ord = c.lead_id),
+e AS (SELECT count(*) FILTER (WHERE website_alive) AS alive, count(*) FILTER (WHERE website_alive AND coalesce(email, '') = '' AND found IS NOT NULL) AS mails FROM j)
+SELECT 'task-1' AS task_id, CAST(step AS INTEGER) AS step, stage, n AS count_in, n AS count_out, CAST(0 AS BIGINT) AS count_removed, true AS timed,
+  CAST(NULL AS VARCHAR) AS error, CASE step WHEN 2 THEN good END AS emails_validated, CASE step WHEN 2 THEN bad END AS emails_invalid,
+  CASE step WHEN 2 THEN phones END AS phones_normalized, CASE step WHEN 3 THEN alive END AS websites_alive, CASE step WHEN 3 THEN mails END AS emails_found
+FROM s, n, v, e"""
+ORACLES["chain_totals"] = f"{_CHAIN} SELECT 'task-1' AS task_id, n AS total_scraped, n AS total_cleaned, n AS total_deduped FROM n"
+ORACLES["chain_history"] = f"{_CHAIN} SELECT CAST(step AS INTEGER) AS step, stage, n AS count_out FROM s, n"
+ORACLES["chain_funnel"] = f"""{_CHAIN} SELECT stage, n AS count_out, CASE WHEN step > 1 THEN CAST(0 AS BIGINT) END AS diff,
+  CASE WHEN step > 1 THEN 'green' END AS colour FROM s, n"""
+ORACLES["chain_failure"] = f"""{_CHAIN} SELECT CAST(3 AS INTEGER) AS step, 'halver' AS stage, n AS count_in, n AS count_out,
+  CAST(0 AS BIGINT) AS count_removed, CAST(0 AS BIGINT) AS count_modified, 'no counters today' AS error, n AS rows_left FROM n"""
+
 # --- pages and crawls
 
 
 def _slug(col: str) -> str:
-    return f"substr(regexp_replace(regexp_replace(regexp_replace(lower({col}), '[^a-z0-9-]', '-', 'g'), '-+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 50)"
+    return f"regexp_replace(regexp_replace(regexp_replace(lower({col}), '[^a-z0-9-]', '-', 'g'), '-+', '-', 'g'), '^-+|-+$', '', 'g')"
 
 
 ORACLES["slug"] = f"SELECT page_id, {_slug('url')} AS slug FROM pages"

@@ -3,9 +3,11 @@
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leadweave import schemas
 from leadweave.operators.admission import admit, with_pipeline_id
@@ -22,13 +24,14 @@ _IDENTITY = ("pipeline_id",)
 @dataclass
 class Stage:
     """A named ``DataFrame -> DataFrame`` step. ``counters`` are aggregates over its output,
-    measured while the output is written; they may refer to ``_before``, the struct of the
-    row as it came in. ``late_counters`` is called with the input count after the stage."""
+    measured while the output is written; they may refer to ``_before``, a struct of the input
+    columns in ``remembers``. ``late_counters`` is called with the input count after the stage."""
 
     name: str
     apply: Callable[[DataFrame], DataFrame]
     counters: list[Column] = field(default_factory=list)
     late_counters: Callable[[int], dict] | None = None
+    remembers: tuple[str, ...] = ()
 
 
 def clean_stage() -> Stage:
@@ -36,7 +39,8 @@ def clean_stage() -> Stage:
 
 
 def validate_stage(**tables: DataFrame) -> Stage:
-    return Stage("field_validator", lambda df: validate_fields(df, **tables), validator_counters())
+    return Stage("field_validator", lambda df: validate_fields(df, **tables), validator_counters(),
+                 remembers=("email", "phone", "website"))
 
 
 def dedup_stage(
@@ -81,7 +85,7 @@ def exact_passes(df: DataFrame, generic_emails: list[str] | None = None) -> Data
 
 
 def enrich_stage(site_pages: DataFrame) -> Stage:
-    return Stage("enricher", lambda df: enrich(df, site_pages), enrich_counters())
+    return Stage("enricher", lambda df: enrich(df, site_pages), enrich_counters(), remembers=("email",))
 
 
 def prepare(raw: DataFrame, id_col: str = "lead_id", **tables: DataFrame) -> DataFrame:
@@ -124,13 +128,23 @@ class PipelineRun:
             [tuple(r.get(n) for n in names) for r in rows], schemas.STAGE_STATS)
 
 
+def _mark(df: DataFrame, name: str) -> Column:
+    """A value as eight bytes; maps have no hash of their own."""
+    kind = df.schema[name].dataType
+    return F.xxhash64(F.to_json(F.col(name)) if isinstance(kind, T.MapType) else F.col(f"`{name}`"))
+
+
 def _run_stage(df: DataFrame, stage: Stage) -> tuple[DataFrame, dict]:
+    """What a row was before the stage travels as a hash per column, not as a second copy."""
     given = df.columns
-    out = stage.apply(df.withColumn("_before", F.struct(*given)))
+    marked = df.withColumn("_marks", F.array(*[_mark(df, c) for c in given]))
+    if stage.remembers:
+        marked = marked.withColumn("_before", F.struct(*stage.remembers))
+    out = stage.apply(marked)
     kept = [c for c in out.columns if not c.startswith("_")]
     same = F.lit(True)
     for c in kept:
-        same = same & (F.col(c).eqNullSafe(F.col(f"_before.`{c}`")) if c in given else F.col(c).isNull())
+        same = same & (_mark(out, c) == F.col("_marks")[given.index(c)] if c in given else F.col(c).isNull())
     watch = Observation(stage.name)
     measured = out.observe(
         watch,
@@ -159,18 +173,18 @@ def run_pipeline(
         if count_in is None:
             count_in = df.count()
         started = time.time()
-        row = {"stage": stage.name, "count_in": count_in, "count_out": count_in,
+        row = {"step": len(stats) + 1, "stage": stage.name,
+               "created_at": datetime.now(timezone.utc).replace(tzinfo=None), "count_in": count_in, "count_out": count_in,
                "count_removed": 0, "count_modified": 0, "details": {}, "error": None}
         stats.append(row)
         try:
             out, counts = _run_stage(df, stage)
-            row["count_out"] = counts.pop("count_out")
-            row["count_modified"] = counts.pop("count_modified")
-            row["count_removed"] = count_in - row["count_out"]
-            row["details"] = counts
+            count_out, modified = counts.pop("count_out"), counts.pop("count_modified")
             if stage.late_counters:
-                row["details"] = {**counts, **stage.late_counters(count_in)}
-            df, count_in = out, row["count_out"]
+                counts = {**counts, **stage.late_counters(count_in)}
+            # only a stage that succeeded in every part changes the row and the data
+            row.update(count_out=count_out, count_modified=modified, count_removed=count_in - count_out, details=counts)
+            df, count_in = out, count_out
         except Exception as problem:  # noqa: BLE001 - any failure of a stage is reported, not raised
             row["error"] = str(problem)
         row["duration_ms"] = int((time.time() - started) * 1000)
@@ -181,11 +195,12 @@ def run_pipeline(
 
 def process_batch(
     raw: DataFrame, key_cols: list[str], ord_col: str, site_pages: DataFrame | None = None,
-    skip: tuple[str, ...] = (), **dedup_options,
+    skip: tuple[str, ...] = (), tables: dict[str, DataFrame] | None = None, **dedup_options,
 ) -> PipelineRun:
-    """The standard chain over a raw lead table."""
+    """The standard chain over a raw lead table. ``tables`` go to the validator: area_codes,
+    mail_domains, verdicts."""
     leads = admit(raw).transform(with_pipeline_id, key_cols).withColumn("ord", F.col(ord_col).cast("bigint"))
-    stages = [clean_stage(), validate_stage(), dedup_stage(**dedup_options)]
+    stages = [clean_stage(), validate_stage(**(tables or {})), dedup_stage(**dedup_options)]
     if site_pages is not None:
         stages.append(enrich_stage(site_pages))
     return run_pipeline(leads, stages, skip)

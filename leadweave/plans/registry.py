@@ -282,7 +282,8 @@ def process_leads(spark, sf):
 @query
 def safe_urls(spark, sf):
     views.load_tables(spark, sf, "pages")
-    host = F.expr("""CASE page_id % 6 WHEN 0 THEN url
+    host = F.expr("""CASE page_id % 6 WHEN 0 THEN CASE page_id % 5 WHEN 1 THEN 'http://[0:0:0:0:0:0:0:1]/' WHEN 2 THEN 'http://[::0001]:80/'
+        WHEN 3 THEN concat('https://[2001:db', page_id % 10, '::', page_id % 97, ']/') WHEN 4 THEN 'http://[::ffff:1.2.3.4]/' ELSE url END
       WHEN 1 THEN concat('http://', page_id % 256, '.', page_id * 7 % 256, '.1.', page_id % 250)
       WHEN 2 THEN concat('http://192.168.', page_id % 256, '.1/x') WHEN 3 THEN 'http://localhost:8080/'
       WHEN 4 THEN concat('ftp://', page_id, '.example.com') ELSE concat('https://172.', page_id % 256, '.0.1:443/a') END""")
@@ -339,6 +340,49 @@ def stage_history(spark, sf):
     return _text(pipeline.stage_history(views.stage_stats(spark, sf), "task-7"), "created_at")
 
 
+def _chain(spark, sf, *more: pipeline.Stage) -> pipeline.PipelineRun:
+    """The row stages and enrichment over raw leads, with their own stage table."""
+    lead = admit(views.raw_leads(spark, sf)).withColumns({
+        "ord": F.col("lead_id"), "pipeline_id": F.col("lead_id").cast("string")}).drop("lead_id")
+    stages = [pipeline.clean_stage(), pipeline.validate_stage(), *more, pipeline.enrich_stage(views.site_pages(spark, sf))]
+    return pipeline.run_pipeline(lead, stages)
+
+
+@query
+def chain_stage_table(spark, sf):
+    """Counters the chain itself wrote."""
+    table = _chain(spark, sf).stats_frame(spark, "task-1")
+    shown = ["emails_validated", "emails_invalid", "phones_normalized", "websites_alive", "emails_found"]
+    return table.select("task_id", "step", "stage", "count_in", "count_out", "count_removed", F.col("created_at").isNotNull().alias("timed"),
+                        "error", *[F.col("details")[c].alias(c) for c in shown])
+
+
+@query
+def chain_totals(spark, sf):
+    return pipeline.task_totals(_chain(spark, sf).stats_frame(spark, "task-1"))
+
+
+@query
+def chain_history(spark, sf):
+    return pipeline.stage_history(_chain(spark, sf).stats_frame(spark, "task-1"), "task-1").select("step", "stage", "count_out")
+
+
+@query
+def chain_funnel(spark, sf):
+    return dashboard.stage_funnel(_chain(spark, sf).stats_frame(spark, "task-1")).select("stage", "count_out", "diff", "colour")
+
+
+@query
+def chain_failure(spark, sf):
+    """A stage that fails after half its work: its row has the error, the data stay, the run ends."""
+    def fail(_):
+        raise ValueError("no counters today")
+    broken = pipeline.Stage("halver", lambda df: df.filter("ord % 2 = 0"), late_counters=fail)
+    run = _chain(spark, sf, broken)
+    table = run.stats_frame(spark, "task-1").select("step", "stage", "count_in", "count_out", "count_removed", "count_modified", "error")
+    return table.filter("stage = 'halver'").withColumn("rows_left", F.lit(run.leads.count()))
+
+
 # --- company table -------------------------------------------------------------------------
 
 _SHOWN = ["id", "company_name", "email", "city", "rating", "source"]
@@ -381,6 +425,16 @@ def company_page_ascending(spark, sf):
     return companies_op.company_page(found, "city", "asc", page=2, page_size=100).select(_SHOWN)
 
 
+@query
+def company_page_after(spark, sf):
+    """The third page once more, from the last row of the second."""
+    found = companies_op.search_companies(_companies(spark, sf))
+    last = companies_op.company_page(found, "rating", "desc", page=2, page_size=200).select("rating", "id").tail(1)
+    if not last:
+        return found.limit(0).select(_SHOWN)
+    return companies_op.company_page_after(found, "rating", "desc", tuple(last[0]), page_size=200).select(_SHOWN)
+
+
 @query
 def company_by_id(spark, sf):
     return companies_op.get_company(_companies(spark, sf), "c000000000012").select(_SHOWN)
@@ -408,15 +462,21 @@ def grid_view(spark, sf):
 def _edits(spark, sf):
     views.load_tables(spark, sf, "supplier")
     return spark.sql("""
-      SELECT concat('c', lpad(CAST(s_suppkey * 3 AS STRING), 12, '0')) AS id, 'city' AS field, concat('City ', s_nationkey) AS value FROM supplier
-      UNION ALL SELECT concat('c', lpad(CAST(s_suppkey * 3 AS STRING), 12, '0')), 'email', CAST(NULL AS STRING) FROM supplier WHERE s_suppkey % 2 = 0
-      UNION ALL SELECT concat('c', lpad(CAST(s_suppkey * 3 AS STRING), 12, '0')), 'needs_review', 'true' FROM supplier WHERE s_suppkey % 5 = 0""")
+      SELECT concat('c', lpad(CAST(s_suppkey * 3 AS STRING), 12, '0')) AS id, 'city' AS field, concat('City ', s_nationkey) AS value, 2 AS edit_no FROM supplier
+      UNION ALL SELECT concat('c', lpad(CAST(s_suppkey * 3 AS STRING), 12, '0')), 'city', 'Zwischenstand', 1 FROM supplier
+      UNION ALL SELECT concat('c', lpad(CAST(s_suppkey * 3 AS STRING), 12, '0')), 'city', CAST(NULL AS STRING), 3 FROM supplier WHERE s_suppkey % 7 = 0
+      UNION ALL SELECT concat('c', lpad(CAST(s_suppkey * 3 AS STRING), 12, '0')), 'email', CAST(NULL AS STRING), 1 FROM supplier WHERE s_suppkey % 2 = 0
+      UNION ALL SELECT concat('c', lpad(CAST(s_suppkey * 3 AS STRING), 12, '0')), 'needs_review', 'true', 1 FROM supplier WHERE s_suppkey % 5 = 0""")
+
+
+@query
+def unknown_edit_ids(spark, sf):
+    return companies_op.unknown_ids(_edits(spark, sf), _companies(spark, sf))
 
 
 @query
 def apply_edits(spark, sf):
     table, edits = _companies(spark, sf), _edits(spark, sf)
-    companies_op.check_edits(edits)
     out = companies_op.apply_edits(table, edits, F.lit("2026-12-01").cast("timestamp_ntz"))
     return _text(out.select("id", "city", "email", "needs_review", "updated_at"), "updated_at")
 
@@ -426,6 +486,16 @@ def list_tasks(spark, sf):
     return _text(companies_op.list_tasks(views.tasks(spark, sf), 2, 20), "created_at")
 
 
+@query
+def task_count(spark, sf):
+    return companies_op.task_count(views.tasks(spark, sf))
+
+
+@query
+def task_by_id(spark, sf):
+    return companies_op.get_task(views.tasks(spark, sf), "task-7").select("id", "source", "status", "total_scraped")
+
+
 @query
 def cancel_tasks(spark, sf):
     table = views.tasks(spark, sf)
@@ -487,6 +557,23 @@ def read_raw_leads(spark, sf):
     return leads_io.read_raw_leads(spark, path, "json")
 
 
+@query
+def read_raw_leads_csv(spark, sf):
+    """Columns in another order, two of them missing."""
+    path = _scratch(spark, "raw-csv")
+    given = [c for c in reversed(schemas.RAW_LEAD.fieldNames()) if c not in ("rating", "scraped_at")]
+    views.raw_leads(spark, sf).select(given).write.option("header", True).option("escape", '"').csv(path)
+    return leads_io.read_raw_leads(spark, path, "csv")
+
+
+@query
+def read_raw_leads_parquet(spark, sf):
+    path = _scratch(spark, "raw-parquet")
+    given = [c for c in reversed(schemas.RAW_LEAD.fieldNames()) if c != "city"]
+    views.raw_leads(spark, sf).select(given).write.parquet(path)
+    return leads_io.read_raw_leads(spark, path, "parquet")
+
+
 # --- dashboards ----------------------------------------------------------------------------
 
 

@@ -7,16 +7,13 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from leadweave.plans.pipeline import prepare
-from leadweave.session import spread, stored_table
+from leadweave.session import stored_table
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
 ).split()
 
-# Tables whose rows carry per-row work; small files of these are spread over the cores.
-DRIVING = ("orders", "pages", "documents")
-
 RAW_LEADS = """
 SELECT CAST(o.o_orderkey AS BIGINT) AS lead_id,
   CASE WHEN o.o_orderkey % 97 = 0 THEN NULL
@@ -131,7 +128,7 @@ FROM (SELECT *, EACH('', '/contact', '/about', '/contact-us') AS path FROM pages
 # Search requests and stored result pages: one request per nation and supplier.
 PAGE_REQUESTS = """
 SELECT CASE CAST(s_suppkey % 4 AS INT) WHEN 0 THEN 'yellowpages' WHEN 1 THEN 'yelp' WHEN 2 THEN 'bbb' ELSE 'clutch' END AS source,
-  concat(s_name, ' & Sons') AS query, concat('New  ', n_name, ', NY') AS location,
+  concat('All the plumbing and heating companies near the river, no. ', s_name, ' & Sons') AS query, concat('New  ', n_name, ', NY') AS location,
   CAST(s_suppkey % 3 AS INT) AS page
 FROM supplier JOIN nation ON s_nationkey = n_nationkey
 """
@@ -155,8 +152,7 @@ def for_engine(sql: str, engine: str = "spark") -> str:
 def load_tables(spark: SparkSession, sf_dir: str, *names: str) -> None:
     """Register parquet tables as temporary views."""
     for name in names or TABLES:
-        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        (spread(table) if name in DRIVING else table).createOrReplaceTempView(name)
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
 
 
 def raw_leads(spark: SparkSession, sf_dir: str) -> DataFrame:

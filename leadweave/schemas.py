@@ -41,7 +41,7 @@ TASK = _struct(
 )
 
 STAGE_STATS = _struct(
-    "task_id string, stage string, count_in bigint, count_out bigint, count_removed bigint, "
+    "task_id string, step int, stage string, count_in bigint, count_out bigint, count_removed bigint, "
     "count_modified bigint, duration_ms bigint, details counts, error string, "
     "created_at timestamp_ntz"
 )

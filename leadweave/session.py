@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(master: str | None = None, app: str = "leadweave", **conf) -> SparkSession:
@@ -93,8 +94,12 @@ def stored_table(
     return spark.read.parquet(_STORED[key])
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Let a scan of a few small files use all cores. A scan that already has as many
-    partitions as there are cores, the case on large tables, is left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+def salted_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", salts: int = 16) -> DataFrame:
+    """Join a side whose keys may be hot to one of a row per key. The big side's rows of a key
+    are dealt to ``salts`` partitions, the small side is repeated once for each; rows without
+    a key match nothing and are dealt out evenly."""
+    row = F.monotonically_increasing_id()
+    salt = F.when(F.col(key).isNull(), -1 - F.pmod(row, F.lit(65536))).otherwise(F.pmod(row, F.lit(salts)))
+    many = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    return big.withColumn("_salt", salt).join(many, ["_salt", key], how).drop("_salt")

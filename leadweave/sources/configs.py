@@ -1,6 +1,7 @@
 """Directory descriptions: how a source is searched and where its fields sit on a page."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The five built-in directories.
@@ -115,6 +116,14 @@ def get_config(name: str, configs: list[dict] = BUILT_IN) -> dict:
     raise ValueError(f"unknown source {name!r}; known: {sorted(c['name'] for c in configs)}")
 
 
+def check_sources(df: DataFrame, configs: list[dict] = BUILT_IN) -> None:
+    """Rows of a source without a description are an error, not left out."""
+    known = [c["name"] for c in configs]
+    strange = df.filter(~F.coalesce(F.col("source").isin(*known), F.lit(False))).select("source").limit(1).collect()
+    if strange:
+        get_config(strange[0][0], configs)
+
+
 def search_configs(spark: SparkSession, configs: list[dict] = BUILT_IN) -> DataFrame:
     """The search side of the descriptions as a small table (one row per source)."""
     rows = []

@@ -7,13 +7,16 @@ from leadweave import schemas
 
 
 def read_raw_leads(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Raw leads under the declared contract: no inference, missing fields are NULL."""
-    reader = spark.read.schema(schemas.RAW_LEAD)
-    if fmt == "csv":
-        reader = reader.option("header", True).option("enforceSchema", False)
+    """Raw leads under the declared contract: no inference, missing fields are NULL. Columns
+    of a CSV table are found by the names in its header, in any order."""
     if fmt not in ("parquet", "json", "csv"):
         raise ValueError(f"unsupported format {fmt!r}")
-    return reader.format(fmt).load(path)
+    if fmt != "csv":
+        return spark.read.schema(schemas.RAW_LEAD).format(fmt).load(path)
+    text = spark.read.option("header", True).option("escape", '"').csv(path)
+    return text.select(*[
+        (F.col(f"`{f.name}`") if f.name in text.columns else F.lit(None)).try_cast(f.dataType).alias(f.name)
+        for f in schemas.RAW_LEAD])
 
 
 def valid_raw_leads(df: DataFrame) -> DataFrame:

@@ -44,8 +44,9 @@ def build_url() -> Column:
 
 def build_frontier(requests: DataFrame, configs: DataFrame) -> DataFrame:
     """One row per (source, query, location, page) with its URL. Scrolled sources have a
-    single address. The configuration table has a row per source; its size is known to the
-    planner, which joins it without a shuffle."""
+    single address. Requests of sources without a description have no rows: refuse them first
+    with ``configs.check_sources``. The configuration table has a row per source; its size is
+    known to the planner, which joins it without a shuffle."""
     last = F.when(F.col("page_type") == "scroll", 0).otherwise(F.col("max_pages") - 1)
     return (
         requests.join(configs, "source")

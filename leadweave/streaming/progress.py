@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadweave import schemas
+from leadweave.session import salted_join
 
 # Message types that end a task.
 TERMINAL_TYPES = ("task_completed", "task_failed")
@@ -35,7 +36,7 @@ def until_terminal_batch(events: DataFrame) -> DataFrame:
     end of each task, so no task's messages are gathered or sorted."""
     ends = events.filter(F.col("type").isin(*TERMINAL_TYPES)) \
         .groupBy("channel").agg(F.min("event_seq").alias("_end"))
-    return events.join(ends, "channel", "left").filter(
+    return salted_join(events, ends, "channel").filter(
         F.col("_end").isNull() | (F.col("event_seq") <= F.col("_end"))).drop("_end")
 
 
