@@ -271,7 +271,8 @@ def one_of_each(docs: DataFrame, text_col: str = "text", shingle: int = 3, max_b
     judged = written(components(docs, text_col, shingle, max_bits), "judged")
     chosen = written(
         judged.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n")), "chosen")
-    met = docs.join(chosen, docs["doc_id"] == chosen["_id"])
+    # texts are met by id in one way at every size: merged, never against a broadcast of ids
+    met = docs.join(chosen.hint("merge"), docs["doc_id"] == chosen["_id"])
     single = met.filter("_n = 1").select(docs.columns)
     again = met.filter("_n > 1").select(docs.columns).dropDuplicates(["doc_id"])
     nameless = written(
