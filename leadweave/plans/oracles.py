@@ -280,8 +280,15 @@ ORACLES["export_rows"] = f"""{COMPANIES} SELECT company_name, phone, email, webs
 ORACLES["export_csv"] = ORACLES["export_json"] = ORACLES["export_rows"].replace("task-yelp", "task-bbb")
 ORACLES["export_log"] = f"{COMPANIES} SELECT task_id, 'csv' AS format, count(*) AS rows_exported FROM companies WHERE task_id = 'task-yellowpages' AND is_duplicate_of IS NULL GROUP BY task_id"
 ORACLES["read_raw_leads"] = f"WITH {RAW} SELECT company_name, phone, email, website, address, city, state, category, rating, review_count, source, source_url, scraped_at FROM raw_leads"
-ORACLES["read_raw_leads_csv"] = ORACLES["read_raw_leads"].replace(" rating,", " CAST(NULL AS VARCHAR) AS rating,").replace(" scraped_at FROM", " CAST(NULL AS VARCHAR) AS scraped_at FROM")
-ORACLES["read_raw_leads_parquet"] = ORACLES["read_raw_leads"].replace(" city,", " CAST(NULL AS VARCHAR) AS city,")
+def _raw_without(*missing: str) -> str:
+    head, _, shown = ORACLES["read_raw_leads"].rpartition(" SELECT ")
+    for c in missing:
+        shown = shown.replace(f" {c},", f" CAST(NULL AS VARCHAR) AS {c},").replace(f" {c} FROM", f" CAST(NULL AS VARCHAR) AS {c} FROM")
+    return f"{head} SELECT {shown}"
+
+
+ORACLES["read_raw_leads_csv"] = _raw_without("rating", "scraped_at")
+ORACLES["read_raw_leads_parquet"] = _raw_without("city")
 ORACLES["task_count"] = f"WITH {_TASKS} SELECT count(*) AS total FROM tasks"
 ORACLES["task_by_id"] = f"WITH {_TASKS} SELECT id, source, status, total_scraped FROM tasks WHERE id = 'task-7'"
 ORACLES["list_tasks"] = f"WITH {_TASKS} SELECT * REPLACE (CAST(created_at AS VARCHAR) AS created_at) FROM tasks ORDER BY tasks.created_at DESC, id LIMIT 20 OFFSET 20"

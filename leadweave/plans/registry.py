@@ -380,7 +380,7 @@ def chain_failure(spark, sf):
     broken = pipeline.Stage("halver", lambda df: df.filter("ord % 2 = 0"), late_counters=fail)
     run = _chain(spark, sf, broken)
     table = run.stats_frame(spark, "task-1").select("step", "stage", "count_in", "count_out", "count_removed", "count_modified", "error")
-    return table.filter("stage = 'halver'").withColumn("rows_left", F.lit(run.leads.count()))
+    return table.filter("stage = 'halver'").withColumn("rows_left", F.lit(run.leads.count()).cast("bigint"))
 
 
 # --- company table -------------------------------------------------------------------------
