@@ -106,6 +106,7 @@ def scored(features: DataFrame, findings: DataFrame, limit: int = LIMIT, trees:
     forest = RandomForestClassifier(
         featuresCol="_features", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed, probabilityCol="_probability",
         rawPredictionCol="_raw", predictionCol="_prediction").fit(vectors.transform(sample.withColumn("label", F.col("label").cast("double"))))
+    forest = forest.copy()  # without the training summary, which would take the session along to the tasks
     out = forest.transform(vectors.transform(features)).withColumn("probability", vector_to_array("_probability")[1])
     return out.drop("_features", "_raw", "_probability", "_prediction").withColumn("is_secret", F.col("probability") >= 0.5)
 

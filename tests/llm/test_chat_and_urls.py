@@ -1,6 +1,9 @@
 import random
 from itertools import product
 
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
+
 from leadweave.llm import chat_repair as C
 from leadweave.llm import host_reputation as H
 from leadweave.llm import secret_forest as S
@@ -132,6 +135,8 @@ def test_secrets(spark, odd_docs, prose):
     assert features.count() == 120 and features.filter("dictionary > 1 or dictionary is null").count() == 0
     plain = {r.doc_id: r for r in S.candidates(df).filter("doc_id < 100").collect()}
     assert all(len(r.candidate) == 40 and r.before == "=" and r.before2 == "token" for r in plain.values())
+    watch = Observation("any")  # a session that has observed something cannot travel to tasks
+    spark.range(3).observe(watch, F.count(F.lit(1)).alias("n")).collect()
     out = S.scan(df, lambda f: f.selectExpr("*", "cast(doc_id < 100 as int) as label").filter("doc_id % 2 = 0"))
     assert out.filter("is_secret != (doc_id < 100)").count() == 0
     for found in (odd_docs, odd_docs.limit(0)):
