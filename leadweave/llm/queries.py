@@ -232,5 +232,5 @@ def op2_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "source", "text")
     judged = secret_forest.scan(docs, lambda found: findings(found, table(spark, sf, "labels")))
     return judged.select(
-        "doc_id", "position", F.sha2("candidate", 256).alias("candidate_sha256"), F.left("candidate", F.lit(4)).alias("prefix"),
+        "doc_id", "position", "run", F.sha2("candidate", 256).alias("candidate_sha256"), F.left("candidate", F.lit(4)).alias("prefix"),
         F.length("candidate").cast("long").alias("n_chars"), "probability", "is_secret")

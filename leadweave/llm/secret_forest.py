@@ -13,7 +13,7 @@ Words are looked at in place; only those long enough become rows. The dictionary
 equality of words, never broadcast unless it is small.
 
 Defined results: NULL and empty texts have no candidates. A candidate at several places is
-judged at each. Labelled findings of one class only, or none, leave a constant probability.
+judged at each, and every run of a word by itself. Labelled findings of one class only, or none, leave a constant probability.
 NULL paths are ordinary ones. Other columns are not read."""
 
 from __future__ import annotations
@@ -45,7 +45,8 @@ def _share(text: Column, pattern: str) -> Column:
 
 
 def candidates(docs: DataFrame, text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """doc_id, path, position (of the word), candidate, quoted, before2, before, after."""
+    """doc_id, path, position (of the word), run (its number in the word), candidate, quoted,
+    before2, before, after."""
     given = docs.select("doc_id", F.col(path_col).cast("string").alias("path"), F.split(text_col, r"\s+").alias("w"))
     near = F.transform("w", lambda x, i: F.when(
         (F.octet_length(x) >= LEAST) & x.rlike(_CANDIDATE),
@@ -53,11 +54,10 @@ def candidates(docs: DataFrame, text_col: str = "text", path_col: str = "source"
             i.alias("position"), x.alias("word"), F.get("w", i - 2).alias("before2"),
             F.get("w", i - 1).alias("before"), F.get("w", i + 1).alias("after"))))
     met = given.select("doc_id", "path", F.inline(F.filter(near, lambda x: x.isNotNull())))
-    found = F.regexp_extract("word", _CANDIDATE, 0)
-    return met.select(
-        "doc_id", "path", "position", found.alias("candidate"), F.col("word").rlike("[\"'`]").cast("int").alias("quoted"),
-        "before2", "before", "after",
-    ).filter(F.col("candidate").rlike(r"[0-9+/=_\-]") | (F.length("candidate") >= LONG))
+    runs = met.select(
+        "doc_id", "path", "position", F.posexplode(F.regexp_extract_all("word", F.lit(_CANDIDATE), F.lit(0))).alias("run", "candidate"),
+        F.col("word").rlike("[\"'`]").cast("int").alias("quoted"), "before2", "before", "after")
+    return runs.filter(F.col("candidate").rlike(r"[0-9+/=_\-]") | (F.length("candidate") >= LONG))
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", least_docs: int = 5) -> DataFrame:
@@ -76,7 +76,7 @@ def described(found: DataFrame, words: DataFrame) -> DataFrame:
     covered = written(runs.join(words, "word").groupBy("candidate").agg(F.sum(F.length("word")).alias("_covered")), "covered")
     around = F.concat_ws(" ", "before2", "before", "after")
     return found.join(covered, "candidate", "left").select(
-        "doc_id", "path", "position", "candidate",
+        "doc_id", "path", "position", "run", "candidate",
         F.length(text).cast("double").alias("length"),
         (F.regexp_count(text, F.lit(r"[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]+")) / F.length(text)).alias("class_changes"),
         (F.regexp_count(text, F.lit(r"(?i)[aeiou]+|[^aeiou]+")) / F.length(text)).alias("vowel_changes"),
@@ -112,7 +112,7 @@ def scored(features: DataFrame, findings: DataFrame, limit: int = LIMIT, trees:
 
 
 def scan(docs: DataFrame, findings_of, text_col: str = "text", path_col: str = "source", **options) -> DataFrame:
-    """doc_id, position, candidate, FEATURES, probability, is_secret of every candidate.
+    """doc_id, position, run, candidate, FEATURES, probability, is_secret of every candidate.
     ``findings_of`` gets the described candidates and returns the labelled findings."""
     features = written(described(candidates(docs, text_col, path_col), dictionary(docs, text_col)), "candidates")
     return scored(features, findings_of(features), **options)
