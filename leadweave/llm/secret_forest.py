@@ -5,7 +5,8 @@ Candidates are runs of at least ``LEAST`` characters of key alphabets in the wor
 length, changes between character classes and between vowels and consonants, shares of digits,
 capitals and distinct characters, the share of it covered by words of the corpus dictionary
 (words of letters in at least ``least_docs`` documents, counted over all documents), its path,
-and the words before and after it. A random forest, fitted on a bounded number of labelled
+the words before and after it, and the parts of its own word before and after it (names, = or :).
+In name=value the value is a candidate of its own if it is long enough. A random forest, fitted on a bounded number of labelled
 findings (``limit`` of each class, a parameter), gives the probability that it is a secret.
 
 DataFrame functions and the DataFrame-based forest of Spark only: no Python on the executors.
@@ -30,6 +31,9 @@ LEAST = 16
 LONG = 24
 LIMIT = 10_000
 _CANDIDATE = rf"[A-Za-z0-9+/=_\-]{{{LEAST},}}"
+#: name=value is split before a value that is long enough to be a candidate of its own.
+_VALUE = rf"(?<==)(?=[A-Za-z0-9+/_\-][A-Za-z0-9+/=_\-]{{{LEAST - 1}}})"
+_ASSIGNS = r"[=:]>?\s*[\\\"'`(\[{]*$"
 #: Words beside secrets, words beside other identifiers, paths of samples.
 CREDENTIAL = r"(?i)token|secret|passw|pwd|api[_-]?key|access[_-]?key|private|credential|auth|bearer"
 IDENTIFIER = r"(?i)sha-?\d*|md5|commit|digest|checksum|uuid|guid|hash|revision|build"
@@ -46,7 +50,8 @@ def _share(text: Column, pattern: str) -> Column:
 
 def candidates(docs: DataFrame, text_col: str = "text", path_col: str = "source") -> DataFrame:
     """doc_id, path, position (of the word), run (its number in the word), candidate, quoted,
-    before2, before, after."""
+    before2, before, after (words beside it, as far as no other run stands between), own_before,
+    own_after, own_name (parts of its own word), assigned."""
     given = docs.select("doc_id", F.col(path_col).cast("string").alias("path"), F.split(text_col, r"\s+").alias("w"))
     near = F.transform("w", lambda x, i: F.when(
         (F.octet_length(x) >= LEAST) & x.rlike(_CANDIDATE),
@@ -54,9 +59,23 @@ def candidates(docs: DataFrame, text_col: str = "text", path_col: str = "source"
             i.alias("position"), x.alias("word"), F.get("w", i - 2).alias("before2"),
             F.get("w", i - 1).alias("before"), F.get("w", i + 1).alias("after"))))
     met = given.select("doc_id", "path", F.inline(F.filter(near, lambda x: x.isNotNull())))
-    runs = met.select(
-        "doc_id", "path", "position", F.posexplode(F.regexp_extract_all("word", F.lit(_CANDIDATE), F.lit(0))).alias("run", "candidate"),
-        F.col("word").rlike("[\"'`]").cast("int").alias("quoted"), "before2", "before", "after")
+    word = F.regexp_replace("word", _VALUE, " ")  # words hold no blanks of their own
+    cut = met.select(
+        "doc_id", "path", "position", "before2", "before", "after",
+        F.regexp_extract_all(word, F.lit(_CANDIDATE), F.lit(0)).alias("runs"), F.split(word, _CANDIDATE, -1).alias("gaps"))
+    left = lambda i: F.concat(F.coalesce(F.get("runs", i - 1), F.lit("")), F.get("gaps", i))
+    each = F.transform("runs", lambda x, i: F.struct(
+        i.alias("run"), x.alias("candidate"),
+        F.concat(F.get("gaps", i), F.get("gaps", i + 1)).rlike("[\"'`]").cast("int").alias("quoted"),
+        F.when(i == 0, F.col("before2")).alias("before2"), F.when(i <= 1, F.col("before")).alias("before"),
+        F.when(i == F.size("runs") - 1, F.col("after")).alias("after"),
+        # the last two names before it in its word, and what follows in its own entry
+        F.array_join(F.slice(F.concat(F.array(F.lit(""), F.lit("")), F.regexp_extract_all(left(i), F.lit(r"[^\s,;:=&\"'`(){}\[\]]+"), F.lit(0))), -2, 2), " ").alias("own_before"),
+        F.regexp_extract(F.get("gaps", i + 1), r"^[^,;&{}\[\]]*", 0).alias("own_after"),
+        ((~x.startswith("//") & left(i).rlike(_ASSIGNS)) | x.rlike("^[^=]+=+[^=]")
+         | ((i == 0) & F.coalesce(F.col("before").rlike("[=:]$"), F.lit(False)))).cast("int").alias("assigned"),
+        F.regexp_extract(x, "^([^=]+)=+[^=]", 1).alias("own_name")))
+    runs = cut.select("doc_id", "path", "position", F.inline(each))
     return runs.filter(F.col("candidate").rlike(r"[0-9+/=_\-]") | (F.length("candidate") >= LONG))
 
 
@@ -74,7 +93,7 @@ def described(found: DataFrame, words: DataFrame) -> DataFrame:
     runs = found.select("candidate").distinct().select("candidate", F.explode(
         F.regexp_extract_all(F.lower("candidate"), F.lit(r"[a-z]{3,}"), F.lit(0))).alias("word"))
     covered = written(runs.join(words, "word").groupBy("candidate").agg(F.sum(F.length("word")).alias("_covered")), "covered")
-    around = F.concat_ws(" ", "before2", "before", "after")
+    around = F.concat_ws(" ", "before2", "before", "own_before", "own_name", "own_after", "after")
     return found.join(covered, "candidate", "left").select(
         "doc_id", "path", "position", "run", "candidate",
         F.length(text).cast("double").alias("length"),
@@ -87,7 +106,7 @@ def described(found: DataFrame, words: DataFrame) -> DataFrame:
         F.coalesce(F.col("path").rlike(SAMPLE_PATH), F.lit(False)).cast("double").alias("sample_path"),
         around.rlike(CREDENTIAL).cast("double").alias("credential_near"),
         around.rlike(IDENTIFIER).cast("double").alias("identifier_near"),
-        F.coalesce(F.col("before").rlike("[=:]$"), F.lit(False)).cast("double").alias("assigned"),
+        F.col("assigned").cast("double").alias("assigned"),
         F.col("quoted").cast("double").alias("quoted"))
 
 
