@@ -10,10 +10,15 @@ steps on the weighted least squares
 with t_i the words of a document, T all words and s_d the domain's present share. In the metric
 of the words, the step r_i <- max(0, r_i - sum_d p_id (m_d - w_d) / s_d) has a curvature of at
 most 1, so the full step is safe, and where posteriors are sharp it lands at once. The gradient
-is one number per domain, an aggregate over all documents; nothing else reaches the driver. Steps
-end when every share is within ``tolerance`` of its target, or hardly moves any more. The
-residuals so far are literals of the rate's expression, which is evaluated over the written
-table of posteriors.
+is one number per domain, an aggregate over all documents; nothing else reaches the driver. After
+``PLAIN`` steps, or once they hardly bring the shares nearer, Newton steps follow on the dual of
+
+    min  sum_i t_i (r_i - 1)^2 / 2T + sum_d (m_d - w_d)^2 / (2 SOFT s_d),   r_i = max(least, 1 - sum_d p_id l_d)
+
+which has one unknown l_d per domain, and asks for domains x domains numbers a pass. They end at
+its gradient's norm: targets within reach are met to ``tolerance``, others as nearly as rates
+can. Shares that stay off their targets are named in a warning. The residuals or unknowns are literals
+of the rate's expression, which is evaluated over the written table of posteriors.
 
 DataFrame functions only. Counting explodes words in place and sums them up per row before the
 only shuffle, of one row per document.
@@ -27,8 +32,10 @@ an error. An empty table gives an empty result."""
 from __future__ import annotations
 
 import math
+import warnings
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +44,8 @@ from leadweave.llm.common import written
 BUCKETS = 4096
 LIMIT = 20_000
 STEPS = 60
+PLAIN = 15
+SOFT = 1e-7
 TOLERANCE = 1e-4
 
 
@@ -95,6 +104,27 @@ def posteriors(docs: DataFrame, weights: list[list[float]], priors: list[float],
     return shifted.select(*keep, "mark", "n_words", *[(F.col(f"e{k}") / every).alias(f"p{k}") for k in range(len(logits))])
 
 
+def newton(evaluate, start: np.ndarray, goal: np.ndarray, share: np.ndarray, steps: int, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """Unknowns of the dual and the shares they give. ``evaluate`` gives value, shares and
+    curvature of the dual without its SOFT part, one pass each, of which ``steps`` are made at most."""
+    def at(x: np.ndarray) -> tuple:
+        value, now, curve = evaluate(x)
+        return value + x @ goal + SOFT / 2 * (share * x) @ x, now - goal - SOFT * share * x, curve + np.diag(SOFT * share), now
+
+    x, damping = start, 1e-6
+    value, slope, curve, now = at(x)
+    for _ in range(steps - 1):
+        if np.abs(slope).max() <= tolerance / 2:
+            break
+        step = np.linalg.solve(curve + damping * np.diag(share), slope)
+        tried = at(x + step)
+        if tried[0] <= value - 1e-4 * (slope @ step) + 1e-12 * abs(value):
+            x, (value, slope, curve, now), damping = x + step, tried, damping / 30
+        else:
+            damping = max(damping, 1e-9) * 30
+    return x, now
+
+
 def fitted_rate(members: DataFrame, goals: list[float], keep_all: bool = False, steps: int = STEPS, tolerance: float = TOLERANCE) -> Column:
     """The rate as an expression over p0, p1, ... With ``keep_all`` the token budget is as large
     as it takes to need no domain less than once, and steps are projected to rates of 1 or more;
@@ -124,13 +154,36 @@ def fitted_rate(members: DataFrame, goals: list[float], keep_all: bool = False,
             F.lit(least), r - _total([p[k] * g[k] for k in live])))
 
     off, before = max((abs(now[k] - goal[k]) for k in live), default=0.0), math.inf
-    for _ in range(steps):
+    for _ in range(min(steps, PLAIN)):
         if off <= tolerance or off > 0.98 * before:  # there, or hardly nearer than a step before
             break
         gaps.append([(now[k] - goal[k]) / share[k] if k in live else 0.0 for k in range(n)])
         now = [x / total for x in masses(rate())[1:]]
         off, before = max(abs(now[k] - goal[k]) for k in live), off
-    return rate()
+    if off <= tolerance or len(gaps) == steps:
+        return rate()
+
+    def free(x: np.ndarray) -> Column:
+        return F.lit(1.0) - _total([p[k] * F.lit(float(v)) for k, v in zip(live, x, strict=True)])
+
+    def evaluate(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        t, r, u = F.col("n_words"), F.col("_r"), F.col("_u")
+        pairs = [(i, j) for i in range(len(live)) for j in range(i + 1)]
+        row = members.withColumn("_u", free(x)).withColumn("_r", F.greatest(F.lit(least), "_u")).agg(
+            F.sum(-t * ((r - 1) * (r - 1) / 2 + (1 - u) * r)), *[F.sum(t * r * p[k]) for k in live],
+            *[F.sum(F.when(u > least, t * p[live[i]] * p[live[j]]).otherwise(0.0)) for i, j in pairs]).first()
+        row = [float(x or 0) / total for x in row]
+        curve = np.zeros((len(live), len(live)))
+        for (i, j), v in zip(pairs, row[1 + len(live):], strict=True):
+            curve[i, j] = curve[j, i] = v
+        return row[0], np.array(row[1 : 1 + len(live)]), curve
+
+    aim = np.array([goal[k] for k in live])
+    x, now = newton(evaluate, np.sum([[g[k] for k in live] for g in gaps], axis=0), aim, np.array([share[k] for k in live]), steps, tolerance)
+    if np.abs(now - aim).max() > tolerance:
+        missed = {k: (round(float(v), 5), round(float(g), 5)) for k, v, g in zip(live, now, aim, strict=True)}
+        warnings.warn(f"targets are not met: expected share and target by number of the domain {missed}", stacklevel=2)
+    return F.greatest(F.lit(least), free(x))
 
 
 def mix(

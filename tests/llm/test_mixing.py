@@ -68,3 +68,20 @@ def test_odd_rows(spark, odd_docs):
     assert M.mix(odd_docs.limit(0), labels_of(docs), goals).count() == 0
     with pytest.raises(ValueError):
         M.mix(docs, labels_of(docs), {"en": 0})
+
+
+@pytest.mark.parametrize("concentration", [6, 10, 30])
+def test_soft_domains_meet_reachable_targets(spark, concentration):
+    p = np.random.default_rng(1).dirichlet(np.full(4, concentration), 2000)
+    rows = [(10, *map(float, x)) for x in p]
+    members = spark.createDataFrame(rows, "n_words long, p0 double, p1 double, p2 double, p3 double").coalesce(1).cache()
+    goal = [0.4, 0.2, 0.2, 0.2] if concentration < 30 else [0.3, 0.25, 0.25, 0.2]
+    rate = np.array([r[0] for r in members.select(M.fitted_rate(members, goal)).collect()])
+    assert rate.min() >= 0 and np.abs((rate[:, None] * p).mean(0) - goal).max() <= 2e-4
+
+
+def test_targets_out_of_reach_are_named(spark):
+    members = spark.createDataFrame([(10, 0.6, 0.4), (10, 0.4, 0.6), (20, 0.5, 0.5)], "n_words long, p0 double, p1 double")
+    with pytest.warns(UserWarning, match="not met"):
+        rate = [r[0] for r in members.select(M.fitted_rate(members, [0.9, 0.1])).collect()]
+    assert rate[0] > 1 and rate[1] == 0  # the nearest that rates can come
