@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadweave.llm import (
-    chat_repair, decontamination, host_reputation, line_dedup, mixing, quality_attention,
-    quality_rules, secret_forest, simhash, toxicity_segments)
+    chat_repair, decontamination, filter_audit, host_reputation, line_dedup, mixing, paragraph_sketch,
+    pivot_codes, quality_attention, quality_rules, secret_forest, simhash, toxicity_segments)
 from leadweave.llm.labelled import held_out
 
 QUERIES = {}
@@ -234,3 +234,90 @@ def op2_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select(
         "doc_id", "position", "run", F.sha2("candidate", 256).alias("candidate_sha256"), F.left("candidate", F.lit(4)).alias("prefix"),
         F.length("candidate").cast("long").alias("n_chars"), "probability", "is_secret")
+
+
+@query
+def op11_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    found = pivot_codes.compress(table(spark, sf, "embeddings").select("vec_id", "embedding", "label"))
+    return pivot_codes.with_error_by(found, "label").select(
+        F.col("given.vec_id").alias("vec_id"), pivot_codes.code_of(F.col("codes")).alias("code"), "error", "label_error",
+        F.lit(found.sha256).alias("codebooks_sha256"))
+
+
+def _vector_rounds() -> str:
+    """The rounds of op11 as common table expressions: codebook b0, assignments a0, b1, ..."""
+    parts = []
+    for k in range(5):
+        parts.append(f"""
+d{k} AS (SELECT v.r, v.p, b.e, sum((v.x - b.x) * (v.x - b.x)) AS d FROM v JOIN b{k} b ON v.p = b.p AND v.i = b.i GROUP BY ALL),
+a{k} AS (SELECT r, p, arg_min(e, d * 256 + e) AS e, min(d) AS d FROM d{k} GROUP BY r, p)""")
+        if k < 4:
+            parts.append(f"""
+n{k} AS (SELECT p, e, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM v JOIN a{k} USING (r, p) GROUP BY ALL),
+b{k + 1} AS (SELECT b.p, b.e, b.i, coalesce((s - ((s % n) + n) % n) // n, b.x) AS x FROM b{k} b LEFT JOIN n{k} USING (p, e, i))""")
+    return ",".join(parts)
+
+
+ORACLES["op11_vector_codes"] = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+v AS MATERIALIZED (SELECT r, (j - 1) // w AS p, (j - 1) % w AS i, CAST(floor(1024 * CAST(embedding[j] AS DOUBLE)) AS BIGINT) AS x
+  FROM (SELECT r, embedding, len(embedding) // 4 AS w, unnest(range(1, len(embedding) + 1)) AS j FROM kept)),
+b0 AS (SELECT p, r - 1 AS e, i, x FROM v WHERE r <= 256),{_vector_rounds()},
+book AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, i)) AS h FROM b4),
+coded AS (SELECT r, string_agg(printf('%02x', CAST(e AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a4 GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM coded JOIN kept USING (r), book"""
+
+
+@query
+def op12_paragraph_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    """Against its edited text and the next document's, by what the sketches give up."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    text, following = F.col("given.text"), F.col("following")
+    versions = paragraph_sketch.with_next(docs).select(F.col("given.doc_id").alias("doc_id"), text.alias("text"), following.alias("next")).select(
+        "doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), "text",
+        paragraph_sketch.edited(F.col("text"), F.col("next")).alias("edited"), "next")
+    hashed = versions.withColumn("edited_sha256", F.sha2("edited", 256))
+    found = paragraph_sketch.compare(hashed, "text", ["edited", "next"])
+    return found.select(
+        "given.*", F.col("print0").alias("fingerprint"), F.col("print1").alias("edited_fingerprint"),
+        F.col("against1.likeness").alias("near_edited"), F.col("against2.likeness").alias("near_next"))
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    return filter_audit.audit(docs, table(spark, sf, "labels"))
+
+
+ORACLES["op13_filter_audit"] = r"""
+WITH doc AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+word AS (SELECT *, coalesce(regexp_extract_all(t, '[^\x20\x09-\x0D]+'), []) AS w FROM doc),
+mark AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+fails AS (
+  SELECT part, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic,
+    (CASE WHEN len(w) < 200 THEN 'A' ELSE '' END) ||
+    (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END) ||
+    (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' ELSE '' END) ||
+    (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END) ||
+    (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END) AS f
+  FROM word LEFT JOIN mark USING (doc_id)),
+tab AS (SELECT part, f, good, toxic, count(*) AS n FROM fails GROUP BY ALL),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letter a, letter b, letter c, letter d, letter e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+step AS (SELECT o, k AS step, substr(o, k, 1) AS x, substr(o, 1, k - 1) AS before FROM orders, (SELECT unnest(range(1, 6)) AS k)),
+judged AS (
+  SELECT part, o, step, x, n, good, toxic, contains(f, x) AS hits, f = x AS alone,
+    before <> '' AND regexp_matches(f, '[' || before || 'x]') AS gone FROM tab, step),
+counted AS (
+  SELECT part, o AS filter_order, step, x, sum(n) FILTER (WHERE NOT gone AND NOT hits) AS kept, sum(n) FILTER (WHERE hits AND NOT gone) AS removed,
+    sum(n) FILTER (WHERE hits AND gone) AS redundant, sum(n) FILTER (WHERE alone) AS unique_fails,
+    sum(n) FILTER (WHERE hits AND NOT gone AND good) AS good_lost, sum(n) FILTER (WHERE hits AND NOT gone AND toxic) AS toxic_lost
+  FROM judged GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+  coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost,
+  coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM counted"""
