@@ -8,11 +8,12 @@ turns may be added. The repaired sequence is rendered as fragments, one per inpu
 concatenation in order is the conversation.
 
 A row changes costs by a 4 x 4 table that depends on its role only, and (min, +) products of
-such tables are associative, so a conversation of any length is split: rows are range-
-partitioned by (conv_id, turn, role, text) into written parts, the first and the last
-conversation of every part are summed up as one table each, and the driver, with two small
-rows per part, fixes the states at which conversations cross from part to part. Parts are then
-solved on their own. No task holds more than a part.
+such tables are associative, so a conversation of any length is split: rows get a written
+number and are range-partitioned by (conv_id, turn, role, text, number) into written parts, so
+that rows alike in all but the number are split too. The first and the last conversation of
+every part are summed up as one table each, and the driver, with two small rows per part, fixes
+the states at which conversations cross from part to part. Parts are then solved on their own,
+conversation by conversation: a task holds what a part has of one conversation.
 
 Costs: merging 1, an inserted turn 2, relabelling 3, merging into another role 1 + 3; a role
 that is none of the three (NULL included) costs nothing to relabel. Of equal costs the first in
@@ -162,21 +163,35 @@ _OPEN, _CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
 def _stretches(batches: Iterator[pa.RecordBatch], columns: list[str]):
-    """(part, conversation) with its rows, over batch borders. One part is held at most."""
+    """(part, conversation, is it the part's first, its last, rows), over batch borders. The rows
+    of two conversations are held at a time."""
 
     def rows():
         for batch in batches:
             yield from zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
 
-    for part, of_part in groupby(rows(), key=lambda r: r[0]):
-        yield part, [(key, list(turns)) for key, turns in groupby(of_part, key=lambda r: r[1])]
+    before = None
+    for (part, key), turns in groupby(rows(), key=lambda r: r[:2]):
+        now = (part, key, before is None or before[0] != part, list(turns))
+        if before:
+            yield *before[:3], now[2], before[3]
+        before = now
+    if before:
+        yield *before[:3], True, before[3]
 
 
 def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, conversations in _stretches(batches, ["part", "conv_id", "role"]):
-        tables = [[x for row in summary([role_number(t[2]) for t in conversations[k][1]]) for x in row] for k in (0, -1)]
+    found = {}
+    for part, conv, is_first, is_last, turns in _stretches(batches, ["part", "conv_id", "role"]):
+        if not (is_first or is_last):
+            continue
+        table = [x for row in summary([role_number(t[2]) for t in turns]) for x in row]
+        if is_first:
+            found = {"part": part, "first": _key(conv), "head": table}
+        if not is_last:
+            continue
         yield pa.RecordBatch.from_pylist(
-            [{"part": part, "first": _key(conversations[0][0]), "last": _key(conversations[-1][0]), "head": tables[0], "tail": tables[1]}],
+            [{**found, "last": _key(conv), "tail": table}],
             schema=pa.schema([("part", pa.int32()), ("first", pa.string()), ("last", pa.string()), ("head", pa.list_(pa.int64())), ("tail", pa.list_(pa.int64()))]))
 
 
@@ -190,32 +205,34 @@ def _solve(borders: dict[int, tuple[int, int | None]], conv_type: pa.DataType, t
         ("inserted_before", pa.list_(pa.string())), ("inserted_after", pa.list_(pa.string())), ("cost", pa.int32()), ("fragment", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, conversations in _stretches(batches, ["part", "conv_id", "turn", "role", "text"]):
+        out = []
+        for part, conv, is_first, is_last, turns in _stretches(batches, ["part", "conv_id", "turn", "role", "text"]):
             entry, leave = borders[part]
-            out = []
-            for k, (conv, turns) in enumerate(conversations):
-                state = entry if k == 0 else 0
-                goal = leave if k == len(conversations) - 1 else None
-                chosen, last = repair([role_number(t[3]) for t in turns], state, goal)
-                for (_, _, turn, role, text), action in zip(turns, chosen, strict=True):
-                    text = text or ""
-                    opened = "" if state == 0 else _CLOSE
-                    if action.kind == "merge":
-                        fragment = "\n\n" + text
-                    else:
-                        empty = "".join(f"{_OPEN}{ROLES[i]}\n{_CLOSE}" for i in action.inserted)
-                        fragment = f"{opened}{empty}{_OPEN}{ROLES[action.role]}\n{text}"
-                    out.append({
-                        "conv_id": conv, "turn": turn, "role": role, "action": action.kind, "new_role": ROLES[action.role],
-                        "inserted_before": [ROLES[i] for i in action.inserted], "inserted_after": [], "cost": action.cost, "fragment": fragment})
-                    state = action.role + 1
-                if goal is None:
-                    cost, added = endings()[last]
-                    out[-1]["inserted_after"] = [ROLES[i] for i in added]
-                    out[-1]["cost"] += cost
-                    out[-1]["fragment"] += _CLOSE + "".join(f"{_OPEN}{ROLES[i]}\n{_CLOSE}" for i in added)
-            for k in range(0, len(out), 4096):
-                yield pa.RecordBatch.from_pylist(out[k : k + 4096], schema=schema)
+            state = entry if is_first else 0
+            goal = leave if is_last else None
+            chosen, last = repair([role_number(t[3]) for t in turns], state, goal)
+            for (_, _, turn, role, text), action in zip(turns, chosen, strict=True):
+                text = text or ""
+                opened = "" if state == 0 else _CLOSE
+                if action.kind == "merge":
+                    fragment = "\n\n" + text
+                else:
+                    empty = "".join(f"{_OPEN}{ROLES[i]}\n{_CLOSE}" for i in action.inserted)
+                    fragment = f"{opened}{empty}{_OPEN}{ROLES[action.role]}\n{text}"
+                out.append({
+                    "conv_id": conv, "turn": turn, "role": role, "action": action.kind, "new_role": ROLES[action.role],
+                    "inserted_before": [ROLES[i] for i in action.inserted], "inserted_after": [], "cost": action.cost, "fragment": fragment})
+                state = action.role + 1
+            if goal is None:
+                cost, added = endings()[last]
+                out[-1]["inserted_after"] = [ROLES[i] for i in added]
+                out[-1]["cost"] += cost
+                out[-1]["fragment"] += _CLOSE + "".join(f"{_OPEN}{ROLES[i]}\n{_CLOSE}" for i in added)
+            if len(out) >= 4096:
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     return run
 
@@ -224,9 +241,11 @@ def repair_roles(conversations: DataFrame) -> DataFrame:
     """conv_id, turn, role, action (keep, relabel, merge), new_role, inserted_before and
     inserted_after (roles of empty turns), cost, fragment: one row per row."""
     order = ["conv_id", "turn", "role", "text"]
-    ranged = conversations.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    key = [*order, "number"]
+    numbered = written(conversations.select(*order, F.monotonically_increasing_id().alias("number")), "numbered-turns")
+    ranged = numbered.repartitionByRange(*key).sortWithinPartitions(*key)
     parts = written(ranged.withColumn("part", F.spark_partition_id()), "turns")
-    dealt = parts.repartition("part").sortWithinPartitions("part", *order)
+    dealt = parts.repartition("part").sortWithinPartitions("part", *key)
     tables = dealt.select("part", "conv_id", "role").mapInArrow(
         _summarise, "part int, first string, last string, head array<long>, tail array<long>").collect()  # two rows' worth a part
     square = lambda x: [x[4 * k : 4 * k + 4] for k in _STATES]

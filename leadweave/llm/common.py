@@ -11,7 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from leadweave.session import ensure_checkpoint_dir
 
@@ -25,6 +26,25 @@ ALPHANUMERIC = np.zeros(256, bool)
 ALPHANUMERIC[48:58] = ALPHANUMERIC[65:91] = ALPHANUMERIC[97:123] = ALPHANUMERIC[128:] = True
 
 
+def packed(df: DataFrame) -> Column:
+    """The whole row as one struct, so that no column of its own can clash with a working one."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def unpacked(columns: list[str], replaced: dict[str, Column] | None = None, given: str = "given") -> list[Column]:
+    """The columns of a packed row under their names and in their order, some of them replaced."""
+    replaced = replaced or {}
+    return [replaced.get(c, F.col(given).getField(c)).alias(c) for c in columns]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or ``name`` with underscores, so that it is none of the columns' (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back: lineage ends here, and a
     join that follows plans its own exchange over the table, which adaptive execution can split."""

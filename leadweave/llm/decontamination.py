@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadweave.llm.common import ALPHANUMERIC, run_starts, span_hashes, text_pieces, word_spans
+from leadweave.llm.common import ALPHANUMERIC, free_name, run_starts, span_hashes, text_pieces, word_spans
 from leadweave.llm.fm_index import FMIndex
 
 WINDOW = 13
@@ -261,6 +261,6 @@ def cut_spans(text: Column, spans: Column) -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """``docs`` without contaminated rows; its columns are unchanged."""
-    name = "_overlap_of_benchmark"
+    name = free_name(docs, "overlap_of_benchmark")
     judged = overlaps(docs, benchmark, text_col, name, **options)
     return judged.filter(~is_contaminated(F.col(name))).select(docs.columns)

@@ -30,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadweave.llm.common import written
+from leadweave.llm.common import packed, unpacked, written
 
 #: Second-level suffixes under which names are registered.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "co.nz", "co.za", "com.br", "co.in", "co.kr", "com.cn", "com.mx", "com.tr")
@@ -125,13 +125,16 @@ def reputations(hosts: DataFrame, outcomes: DataFrame, sd: float = 1.645, two_la
 def filter_urls(
     pages: DataFrame, rules: list[Rule], outcomes: DataFrame, url_col: str = "url", id_col: str = "page_id", threshold: float = 0.5, **options,
 ) -> DataFrame:
-    """``pages`` with host, path, rule, rate, lower, verdict. ``outcomes``: ``id_col`` and bad."""
-    given = with_host(pages.drop("host", "path", "rule", "rate", "lower", "verdict"), url_col)
-    worst = outcomes.filter(F.col(id_col).isNotNull() & F.col("bad").isNotNull()).groupBy(id_col).agg(F.max("bad").alias("bad"))
-    labelled = given.filter("host <> ''").select(id_col, "host").join(worst, id_col).select("host", "bad")
+    """``pages`` with host, path, rule, rate, lower, verdict in place of columns of these names.
+    ``outcomes``: ``id_col`` and bad."""
+    new = ["host", "path", "rate", "lower", "rule", "verdict"]
+    given = with_host(pages.select(packed(pages).alias("given"), F.col(url_col).alias("url"), F.col(id_col).alias("id")), "url").drop("url")
+    worst = outcomes.filter(F.col(id_col).isNotNull() & F.col("bad").isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max("bad").alias("bad"))
+    labelled = given.filter("host <> ''").select("id", "host").join(worst, "id").select("host", "bad")
     known = written(reputations(given, labelled, **options), "reputations").withColumnRenamed("host", "_host")
     rule, verdict = rule_of(rules, F.col("host"), F.col("path"))
     out = given.join(known, given["host"] == known["_host"]).drop("_host")
     return out.withColumns({
         "rule": rule,
-        "verdict": F.coalesce(verdict, F.when((F.col("lower") > threshold) & (F.col("host") != ""), "block").otherwise("allow"))})
+        "verdict": F.coalesce(verdict, F.when((F.col("lower") > threshold) & (F.col("host") != ""), "block").otherwise("allow"))}).select(
+        *unpacked([c for c in pages.columns if c not in new]), *new)

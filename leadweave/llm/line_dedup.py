@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadweave.llm.common import written
+from leadweave.llm.common import packed, unpacked, written
 
 RATIO = 0.1
 LEAST_PAGES = 5
@@ -48,19 +48,27 @@ def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text
 
 
 def judged_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", **limits) -> DataFrame:
-    """``docs`` with boilerplate lines dropped from the text, and n_lines, n_dropped (long)."""
+    """``docs`` with boilerplate lines dropped from the text, and n_lines, n_dropped (long); columns
+    of these two names are replaced."""
+    new = {"n_lines", "n_dropped"}
+    return _judged(docs, host_col, text_col, **limits).select(
+        *unpacked([c for c in docs.columns if c not in new], {text_col: F.col("text")}), *sorted(new, reverse=True))
+
+
+def _judged(docs: DataFrame, host_col: str, text_col: str, **limits) -> DataFrame:
+    """given (the packed row), text without boilerplate lines, n_lines, n_dropped."""
     found = written(boilerplate(docs, host_col, text_col, **limits), "boilerplate")
-    text, lines = F.col(text_col), _lines(F.col(text_col))
+    lines = _lines(F.col("old"))
     kept = F.filter(lines, lambda x: ~F.array_contains(F.col("_lines"), F.xxhash64(_trimmed(x))) | (_trimmed(x) == ""))
-    met = docs.drop("n_lines", "n_dropped").join(found, docs[host_col].eqNullSafe(found["_host"]), "left")
-    has = F.col("_lines").isNotNull() & text.isNotNull()
-    out = met.withColumn("_kept", F.when(has, kept)).withColumns({
-        "n_lines": F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long"),
-        "n_dropped": F.when(has, F.size(lines) - F.size("_kept")).otherwise(0).cast("long"),
-        text_col: F.when(has, F.array_join("_kept", "\n")).otherwise(text)})
-    return out.drop("_host", "_lines", "_kept")
+    rows = docs.select(packed(docs).alias("given"), F.col(host_col).alias("host"), F.col(text_col).alias("old"))
+    met = rows.join(found, F.col("host").eqNullSafe(F.col("_host")), "left")
+    has = F.col("_lines").isNotNull() & F.col("old").isNotNull()
+    return met.withColumn("kept", F.when(has, kept)).select(
+        "given", F.when(has, F.array_join("kept", "\n")).otherwise(F.col("old")).alias("text"),
+        F.when(F.col("old").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.when(has, F.size(lines) - F.size("kept")).otherwise(0).cast("long").alias("n_dropped"))
 
 
 def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", **limits) -> DataFrame:
     """``docs`` without boilerplate lines; the same rows and columns."""
-    return judged_lines(docs.select(*docs.columns), host_col, text_col, **limits).select(docs.columns)
+    return _judged(docs, host_col, text_col, **limits).select(unpacked(docs.columns, {text_col: F.col("text")}))

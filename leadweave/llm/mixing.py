@@ -39,7 +39,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadweave.llm.common import written
+from leadweave.llm.common import packed, unpacked, written
 
 BUCKETS = 4096
 LIMIT = 20_000
@@ -47,6 +47,7 @@ STEPS = 60
 PLAIN = 15
 SOFT = 1e-7
 TOLERANCE = 1e-4
+RESULT = ("mark", "n_words", "domain", "posterior", "rate", "copies")
 
 
 def _words(text: Column) -> Column:
@@ -89,19 +90,22 @@ def word_weights(docs: DataFrame, labelled: DataFrame, domains: list[str], text_
 
 
 def posteriors(docs: DataFrame, weights: list[list[float]], priors: list[float], text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, mark (hash of the text), n_words, and p0, p1, ...: one row per row."""
+    """given (struct of ``keep``), mark (hash of the text), n_words, and p0, p1, ...: one row per
+    row."""
     word = F.col("_w")
     full = word.isNotNull() & (word != "")
-    given = docs.select(*keep, F.xxhash64(text_col).alias("mark"), F.monotonically_increasing_id().alias("_row"), _words(F.col(text_col)).alias("_words"))
-    exploded = given.select(*keep, "mark", "_row", F.explode_outer("_words").alias("_w")).withColumn("_b", F.when(full, _bucket(word)))
-    scored = exploded.groupBy("_row", *keep, "mark").agg(
+    given = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("given"), F.xxhash64(text_col).alias("mark"),
+        F.monotonically_increasing_id().alias("_row"), _words(F.col(text_col)).alias("_words"))
+    exploded = given.select("given", "mark", "_row", F.explode_outer("_words").alias("_w")).withColumn("_b", F.when(full, _bucket(word)))
+    scored = exploded.groupBy("_row", "given", "mark").agg(
         F.count("_b").alias("n_words"),
         *[F.coalesce(F.sum(F.get(_table_of(w), F.col("_b"))), F.lit(0.0)).alias(f"l{k}") for k, w in enumerate(weights)])
     logits = [F.col(f"l{k}") + F.lit(p) for k, p in enumerate(priors)]
     top = F.greatest(*logits) if len(logits) > 1 else logits[0]
     shifted = scored.withColumns({f"e{k}": F.exp(x - top) for k, x in enumerate(logits)})
     every = _total([F.col(f"e{k}") for k in range(len(logits))])
-    return shifted.select(*keep, "mark", "n_words", *[(F.col(f"e{k}") / every).alias(f"p{k}") for k in range(len(logits))])
+    return shifted.select("given", "mark", "n_words", *[(F.col(f"e{k}") / every).alias(f"p{k}") for k in range(len(logits))])
 
 
 def newton(evaluate, start: np.ndarray, goal: np.ndarray, share: np.ndarray, steps: int, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
@@ -191,7 +195,14 @@ def mix(
     keep_all: bool = False, limit: int = LIMIT,
 ) -> DataFrame:
     """``keep``, mark, n_words, domain (likeliest), posterior (of it), rate, copies: the rate
-    rounded down or up by a hash of id and text, so that copies match it on average."""
+    rounded down or up by a hash of id and text, so that copies match it on average. These
+    names replace equal ones of ``keep``."""
+    return _rated(docs, labelled, targets, text_col, keep, keep_all, limit).select(
+        *unpacked([c for c in keep if c not in RESULT]), *RESULT)
+
+
+def _rated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], text_col: str, keep: tuple[str, ...], keep_all: bool, limit: int) -> DataFrame:
+    """given (struct of ``keep``) and RESULT."""
     domains = sorted(targets)
     if not domains or min(targets.values()) < 0 or sum(targets.values()) <= 0:
         raise ValueError("targets are weights of domains, not all of them zero")
@@ -201,19 +212,20 @@ def mix(
     p = [F.col(f"p{k}") for k in range(len(domains))]
     best = F.greatest(*p) if len(p) > 1 else p[0]
     domain = reduce(lambda rest, k: F.when(p[k] == best, domains[k]).otherwise(rest), reversed(range(len(p))), F.lit(None))
-    u = F.pmod(F.xxhash64(*keep, "mark"), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    u = F.pmod(F.xxhash64(*[F.col("given").getField(c) for c in keep], "mark"), F.lit(1_000_003)) / F.lit(1_000_003.0)
     return members.withColumn("rate", F.round(rate, 9)).select(
-        *keep, "mark", "n_words", domain.alias("domain"), best.alias("posterior"), "rate",
+        "given", "mark", "n_words", domain.alias("domain"), best.alias("posterior"), "rate",
         (F.floor("rate") + F.when(u < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long").alias("copies"))
 
 
-def apply_mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with domain, rate and copies; rows of no copy leave. Rates are met by id and
-    hash of the text, which rows with equal rates share."""
-    rates = mix(docs, labelled, targets, text_col, **options)
+def apply_mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], text_col: str = "text", keep_all: bool = False, limit: int = LIMIT) -> DataFrame:
+    """``docs`` with domain, rate and copies in place of columns of these names; rows of no copy
+    leave. Rates are met by id and hash of the text, which rows with equal rates share."""
+    rates = _rated(docs, labelled, targets, text_col, ("doc_id",), keep_all, limit)
     table = written(
-        rates.filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_of"), "domain", "rate", "copies")
-        .dropDuplicates(["_id", "_of"]), "rates")
-    given = docs.drop("domain", "rate", "copies").withColumn("_mark", F.xxhash64(text_col))
-    met = given.join(table, given["doc_id"].eqNullSafe(table["_id"]) & (given["_mark"] == table["_of"]))
-    return met.drop("_id", "_mark", "_of")
+        rates.filter("copies > 0").select(F.col("given.doc_id").alias("of"), "mark", "domain", "rate", "copies")
+        .dropDuplicates(["of", "mark"]), "rates")
+    new = ["domain", "rate", "copies"]
+    given = docs.select(packed(docs).alias("given"), F.col("doc_id").alias("own"), F.xxhash64(text_col).alias("own_mark"))
+    met = given.join(table, F.col("own").eqNullSafe(F.col("of")) & (F.col("own_mark") == F.col("mark")))
+    return met.select(*unpacked([c for c in docs.columns if c not in new]), *new)

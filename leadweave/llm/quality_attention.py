@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadweave.llm.common import WHITESPACE, row_sums, span_hashes, text_pieces, word_spans
+from leadweave.llm.common import WHITESPACE, free_name, row_sums, span_hashes, text_pieces, word_spans
 from leadweave.llm.labelled import training_sample
 
 PASSAGE = 48
@@ -182,12 +182,12 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds:
             for rows, data, bounds in text_pieces(batch, "text"):
                 x, first = passages(data, bounds)
                 yield pa.record_batch({
-                    "doc_id": rows.column("doc_id"), "label": rows.column("label"),
+                    "label": rows.column("label"),
                     "bag": pa.array([x[a:b].tobytes() if b - a <= LONGEST else None for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())})
 
     sample = training_sample(docs, labels, label_col, folds, which, limit, text_col)
-    got = sample.mapInArrow(describe, "doc_id long, label int, bag binary").filter("bag is not null").toPandas()
-    got = got.sort_values(["doc_id", "label", "bag"])  # the order of arrival must not matter
+    got = sample.mapInArrow(describe, "label int, bag binary").filter("bag is not null").toPandas()
+    got = got.sort_values(["bag", "label"])  # the order of arrival must not matter
     bags = [np.frombuffer(b, np.float32).reshape(-1, FEATURES) for b in got["bag"]]
     return fit(bags, got["label"].to_numpy(np.float64))
 
@@ -208,6 +208,6 @@ def score(docs: DataFrame, model: AttentionModel, text_col: str = "text", name:
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, text_col: str = "text", **options) -> DataFrame:
     """``docs`` scored at ``least`` or more; columns unchanged."""
-    name = "_quality_score"
+    name = free_name(docs, "quality_score")
     model = learn(docs, labels, text_col=text_col, **options)
     return score(docs, model, text_col, name).filter(F.col(name) >= least).select(docs.columns)

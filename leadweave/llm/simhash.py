@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadweave.llm.common import run_starts, text_pieces, written
+from leadweave.llm.common import packed, run_starts, text_pieces, unpacked, written
 
 CELL = 1024
 REFERENCES = 8
@@ -266,19 +266,24 @@ def components(docs: DataFrame, text_col: str = "text", shingle: int = 3, max_bi
 
 
 def one_of_each(docs: DataFrame, text_col: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """``docs`` with the document of the least doc_id of each component, columns unchanged. Of
-    rows that repeat this doc_id one stays; of a component without any doc_id, one row."""
+    """``docs`` with one row of each component, columns unchanged: a row of the least doc_id
+    and, of rows that repeat it there, one of the least fingerprint; of a component without any
+    doc_id, a row of its least fingerprint."""
     judged = written(components(docs, text_col, shingle, max_bits), "judged")
-    chosen = written(
-        judged.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n")), "chosen")
+    chosen = judged.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", F.col("doc_id").alias("id")).agg(
+        F.min("fingerprint").alias("print"))
+    # an id that one row in all bears names its row; others are told apart by their fingerprint
+    repeated = written(judged.filter("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(
+        F.count(F.lit(1)).alias("n")).filter("n > 1").select("id"), "repeated-ids")
+    given = docs.select(packed(docs).alias("given"), F.col("doc_id").alias("own"), F.col(text_col).alias("body"))
+    alone = written(chosen.filter("id is not null").join(repeated, "id", "left_anti").select("id"), "chosen")
     # texts are met by id in one way at every size: merged, never against a broadcast of ids
-    met = docs.join(chosen.hint("merge"), docs["doc_id"] == chosen["_id"])
-    single = met.filter("_n = 1").select(docs.columns)
-    again = met.filter("_n > 1").select(docs.columns).dropDuplicates(["doc_id"])
-    nameless = written(
-        judged.filter("component_id is null").groupBy("root").agg(F.min("fingerprint").alias("_least")).select("_least"), "nameless")
-    if nameless.isEmpty():
-        return single.unionByName(again)
-    printed = fingerprints(docs.filter("doc_id is null"), text_col, shingle, tuple(docs.columns), "_print")
-    without = printed.join(nameless, printed["_print"] == nameless["_least"]).dropDuplicates(["_print"])
-    return single.unionByName(again).unionByName(without.select(docs.columns))
+    single = given.select("given", "own").join(alone.hint("merge"), F.col("own") == F.col("id")).select(unpacked(docs.columns))
+    several = written(chosen.join(repeated, "id", "left_semi").unionByName(chosen.filter("id is null")).select("id", "print"), "told-apart")
+    if several.isEmpty():
+        return single
+    ids = several.select("id").distinct()
+    again = given.join(ids, F.col("own").eqNullSafe(F.col("id")), "left_semi")
+    printed = fingerprints(again, "body", shingle, ("given", "own"), "own_print")
+    met = printed.join(several, F.col("own").eqNullSafe(F.col("id")) & (F.col("own_print") == F.col("print")))
+    return single.unionByName(met.dropDuplicates(["id", "print"]).select(unpacked(docs.columns)))

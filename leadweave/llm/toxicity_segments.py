@@ -13,7 +13,10 @@ scores of clean text, K is fitted to the number of segments seen there, and a se
 S in n words has evidence lambda S - ln(K n), the negative log of its expected count. Segments
 of positive evidence are significant; their evidence is summed, and a logistic curve over this
 sum, the best segment and the share of words in significant segments gives the probability.
-The curve is fitted on ``limit`` labelled documents (a parameter), the counts on all.
+The counts are taken over all labelled documents outside the fold; calibration and curve are
+fitted on ``limit`` of them (a parameter). What reaches the driver is a count for each bucket, a
+histogram of segment scores in steps of a hundredth of their logarithm, and three numbers for
+each document of the sample.
 
 Defined results: texts without words have no segment and score by the curve at zero evidence.
 Without labelled rows of both classes every score is the smoothed share of label 1. Repeated
@@ -21,6 +24,7 @@ and NULL ids are scored by row; a column of the result's name is replaced."""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadweave.llm.common import ALPHANUMERIC, run_starts, span_hashes, text_pieces, word_spans
-from leadweave.llm.labelled import training_sample
+from leadweave.llm.labelled import training_rows, training_sample
 
 BUCKETS = 1 << 18
 LIMIT = 20_000
@@ -126,6 +130,12 @@ class SegmentModel:
         return (float(sum(x[0] for x in strong)), float(max((self.rate * x[2] for x in segments), default=0.0)),
                 sum(x[2] - x[1] for x in strong) / max(n_words, 1), [x[1:] for x in strong])
 
+    def known(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list]]:
+        """Of every row evidence, best, share (rows, 3), words, and significant segments."""
+        n, found = self.segments(data, bounds)
+        each = [self.evidence(int(k), s) for k, s in zip(n, found, strict=True)]
+        return np.array([x[:3] for x in each]).reshape(-1, 3), n, [x[3] for x in each]
+
     def probability(self, evidence: np.ndarray, best: np.ndarray, share: np.ndarray) -> np.ndarray:
         if self.curve is None:
             return np.full(len(evidence), self.prior)
@@ -179,9 +189,9 @@ def _counts(sample: DataFrame) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = 5, which: int = 0, limit: int = LIMIT, text_col: str = "text") -> SegmentModel:
-    """Two passes over the labelled sample: counts by bucket, then segments for the calibration."""
-    sample = training_sample(docs, labels, label_col, folds, which, limit, text_col)
-    counts = _counts(sample).toPandas()
+    """Counts by bucket over all labelled rows; then two passes over a sample of them: how high
+    segments of clean text score, and what evidence each document gives at that."""
+    counts = _counts(training_rows(docs, labels, label_col, folds, which, text_col)).toPandas()
     totals = counts[counts["bucket"] < 0]
     counts = counts[counts["bucket"] >= 0]
     n_toxic, n_clean = int(totals["toxic"].sum()), int(totals["clean"].sum())
@@ -193,30 +203,49 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: i
         return model
     share = by_bucket[2] / max(by_bucket[2].sum(), 1)
     model.rate = tail_rate(model.scores.astype(np.float64), share)
+    sample = training_sample(docs, labels, label_col, folds, which, limit, text_col)
+    usual = _usual_scores(sample, model).toPandas().sort_values("step")
+    words = int(usual.loc[usual["step"] == _WORDS, "n"].sum())
+    usual = usual[usual["step"] != _WORDS]
+    if len(usual):
+        # K from how often clean text reaches about the median score of its segments
+        reaching = usual["n"].to_numpy()[::-1].cumsum()[::-1]
+        middle = int(np.flatnonzero(2 * reaching >= reaching[0])[-1])
+        model.log_k = float(np.log(reaching[middle] / max(words, 1)) + model.rate * np.exp(usual["step"].iloc[middle] / 100))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, bounds in text_pieces(batch, "text"):
-                n, found = model.segments(data, bounds)
-                yield pa.record_batch({
-                    "label": rows.column("label"), "n": pa.array(n),
-                    "first": pa.array([[x[0] for x in s] for s in found], pa.list_(pa.int32())),
-                    "end": pa.array([[x[1] for x in s] for s in found], pa.list_(pa.int32())),
-                    "worth": pa.array([[x[2] for x in s] for s in found], pa.list_(pa.float64()))})
-
-    got = sample.mapInArrow(run, "label int, n long, first array<int>, end array<int>, worth array<double>").toPandas()
-    segments = [list(zip(a, b, s, strict=True)) for a, b, s in zip(got["first"], got["end"], got["worth"], strict=True)]
-    y, n = got["label"].to_numpy(np.float64), got["n"].to_numpy()
-    usual = np.array([s for k, found in enumerate(segments) if not y[k] for _, _, s in found])
-    if len(usual):
-        # K from how often clean text reaches the median score of its segments
-        level = float(np.median(usual))
-        model.log_k = float(np.log((usual >= level).sum() / max(n[y == 0].sum(), 1)) + model.rate * level)
-    known = np.array([model.evidence(int(k), s)[:3] for k, s in zip(n, segments, strict=True)])
-    model.curve = _logistic(_curve_inputs(*known.T), y)
+                known = model.known(data, bounds)[0]
+                yield pa.record_batch({"label": rows.column("label"), **{f"k{i}": pa.array(known[:, i]) for i in range(3)}})
+
+    got = sample.mapInArrow(run, "label int, k0 double, k1 double, k2 double").toPandas().sort_values(["label", "k0", "k1", "k2"])
+    model.curve = _logistic(_curve_inputs(*got[["k0", "k1", "k2"]].to_numpy().T), got["label"].to_numpy(np.float64))
     return model
 
 
+_WORDS = -(1 << 30)
+
+
+def _usual_scores(sample: DataFrame, model: SegmentModel) -> DataFrame:
+    """step, n: how many segments of clean text score exp(step / 100) up to the next step; the
+    step _WORDS counts its words. Each task adds up its own rows first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            for rows, data, bounds in text_pieces(batch, "text"):
+                clean = rows.column("label").to_numpy() == 0
+                n, found = model.segments(data, bounds)
+                seen[_WORDS] += int(n[clean].sum())
+                worth = np.array([x[2] for k in np.flatnonzero(clean) for x in found[k]])
+                steps, times = np.unique(np.floor(100 * np.log(np.maximum(worth, 1e-6))).astype(np.int64), return_counts=True)
+                seen.update(dict(zip(steps.tolist(), times.tolist(), strict=True)))
+        yield pa.record_batch([pa.array(list(seen.keys()), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["step", "n"])
+
+    return sample.mapInArrow(run, "step long, n long").groupBy("step").agg(F.sum("n").alias("n"))
+
+
 def score(docs: DataFrame, model: SegmentModel, text_col: str = "text", name: str = "toxicity") -> DataFrame:
     """``docs`` with a struct ``name``: score, evidence, best, share, n_words and the
     significant segments in words [first_word, end_word)."""
@@ -230,13 +259,11 @@ def score(docs: DataFrame, model: SegmentModel, text_col: str = "text", name: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, bounds in text_pieces(batch, text_col):
-                n, found = model.segments(data, bounds)
-                known = [model.evidence(int(k), s) for k, s in zip(n, found, strict=True)]
-                numbers = np.array([x[:3] for x in known]).reshape(-1, 3)
+                numbers, n, found = model.known(data, bounds)
                 values = [
                     {"score": p, "evidence": e, "best": b, "share": s, "n_words": k,
                      "segments": [{"first_word": a, "end_word": z, "score": v} for a, z, v in strong]}
-                    for p, (e, b, s, strong), k in zip(model.probability(*numbers.T).tolist(), known, n.tolist(), strict=True)]
+                    for p, (e, b, s), strong, k in zip(model.probability(*numbers.T).tolist(), numbers.tolist(), found, n.tolist(), strict=True)]
                 yield rows.set_column(rows.schema.get_field_index(name), pa.field(name, arrow), pa.array(values, arrow))
 
     return out.mapInArrow(run, out.schema)
