@@ -8,19 +8,20 @@ How this stays exact without comparing all pairs of a block:
 
 * Names with the same comparison tokens score alike against everything, so only distinct
   token lists are compared, each standing for its first record.
-* Candidates come from equi-joins on lossless keys (see ``probe_keys`` / ``index_keys``).
+* Candidates come from equi-joins on lossless keys, which become more special as the names of
+  a block become more (see ``functions.name_keys``).
 * Distinct names are settled in growing ``ord`` prefixes. A prefix depends on nothing after
   it, so its leaders are final; they meet the rest once, and whatever they absorb is gone
   before the next prefix. Pairs between two absorbed names, the bulk of a large cluster,
   are therefore never formed.
 """
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadweave.functions.name_keys import GROUP, NameKeys
 from leadweave.functions.names import block_key
 from leadweave.functions.similarity import comparison_tokens, score_pairs
 from leadweave.operators.exact_dedup import merge_groups
@@ -45,138 +46,116 @@ def name_classes(df: DataFrame, scorer: str = "token_set_ratio") -> DataFrame:
 
 
 def with_keys(
-    classes: DataFrame, cutoff: float = REVIEW, scorer: str = "token_set_ratio"
+    classes: DataFrame, cutoff: float = REVIEW, scorer: str = "token_set_ratio", whole: bool | None = None
 ) -> DataFrame:
-    """Classes with their join keys as two arrays, ``probe`` and ``index``."""
-    return rank_tokens(classes).withColumns({
-        "length": _length(F.col("tokens")),
+    """Classes with their length, signatures and join keys, the arrays ``probe`` and ``index``:
+    of two names that reach the cutoff, the longer has a probe among the other's index keys.
+    Groups of equal block and length band are compared as a whole if ``whole``, by keys if not,
+    or by what is measured to cost less (None); the pairs are the same."""
+    keys = NameKeys(float(cutoff), scorer)
+    sized = cut_lineage(classes.select("rep", "block", "tokens", "members", _length_band(keys).alias("band")))
+    given = None if whole is None else sized.groupBy("block", "band").agg(F.count(F.lit(1)).alias("n")).withColumn("whole", F.lit(whole))
+    groups = cut_lineage(name_groups(sized, given))
+    if whole is False:
+        known = measured(sized, F.lit(True))
+    elif groups.filter("not whole").isEmpty():
+        known = measured(sized, F.lit(False))
+    else:
+        # a first measure of what keys would cost: a few hundred names of each group meet each other
+        every = F.greatest(F.floor(F.col("n") / SAMPLE), F.lit(1))
+        some = _grouped(sized, groups).filter(~F.col("whole") & (F.pmod(F.xxhash64("rep"), every) == 0))
+        counts = cut_lineage(_counts(_parts(sized, F.lit(True))))
+        tried = some.join(measured(some, F.lit(True), counts), "rep").drop("n").mapInPandas(keys.run, _KEYED)
+        tried = cut_lineage(tried.join(some.select("rep", "band"), "rep"))
+        met = tried.select(F.explode("probe").alias("key"), F.col("rep").alias("i")).join(
+            tried.select(F.explode("index").alias("key"), F.col("rep").alias("j")), "key").filter("i <> j")
+        spent = met.groupBy(F.col("i").alias("rep")).agg(F.count(F.lit(1)).alias("hits")).join(
+            tried.select("rep", "block", "band"), "rep").groupBy("block", "band").agg(F.sum("hits").alias("hits"))
+        asked = tried.groupBy("block", "band").agg(F.count(F.lit(1)).alias("names_asked"))
+        cost = asked.join(spent, ["block", "band"], "left").select(
+            "block", "band", (F.coalesce("hits", F.lit(0)) / F.col("names_asked") / F.col("names_asked")).alias("share"))
+        dear = groups.join(cost, ["block", "band"], "left").select(
+            "block", "band", "n", (F.col("whole") | F.coalesce(F.col("share") * F.col("n") > F.col("n") + F.col("n_below"), F.lit(False))).alias("whole"))
+        groups = cut_lineage(name_groups(sized, dear))
+        wanted = _grouped(sized, groups)
+        known = measured(wanted, ~(F.col("whole") & F.col("whole_above")), counts)
+    return _grouped(sized, groups).drop("n").join(known, "rep").mapInPandas(keys.run, _KEYED).withColumns({
+        "length": F.length(F.array_join("tokens", " ")),
         "signature": _signature(F.col("tokens")),
-        "probe": probe_keys(cutoff, scorer),
-        "index": index_keys(cutoff, scorer),
-    }).drop("rare_first")
-
-
-def rank_tokens(classes: DataFrame) -> DataFrame:
-    """Add ``rare_first``: the tokens of each class, rarest in its block first."""
-    tokens = classes.select(F.explode("tokens").alias("token"), "rep", "block").select(
-        "rep", "token", F.struct("block", "token").alias("_word"))
-    frequency = tokens.groupBy("_word").agg(F.count(F.lit(1)).alias("n"))
-    ranked = salted_join(tokens, frequency, "_word", "inner").groupBy("rep").agg(
-        F.array_sort(F.collect_list(F.struct("n", "token"))).alias("ranked")
-    )
-    return classes.join(ranked, "rep").withColumn(
-        "rare_first", F.transform("ranked", lambda t: t["token"])
-    ).drop("ranked")
-
+        "doubles": _doubles(F.col("tokens")),
+    })
 
-def _length(tokens: Column) -> Column:
-    return F.length(F.array_join(tokens, " "))
 
+#: Groups of so few names are compared as a whole; a cell of a group holds about so many names;
+#: so many names of a group are tried to see what its keys cost.
+FEW, CELL, SAMPLE = 256, 1024, 256
+_KEYED = "rep bigint, block string, tokens array<string>, members bigint, probe array<bigint>, index array<bigint>"
 
-def _pieces(tokens: Column, size: int, step: int) -> Column:
-    """Pieces of ``size`` characters of every token, a blank standing for its start."""
-    def cut(token):
-        padded = F.concat(F.lit(" "), token)
-        starts = F.sequence(F.lit(1), F.length(padded) - size + 1, F.lit(step))
-        return F.when(
-            F.length(padded) >= size,
-            F.transform(starts, lambda i: F.substring(padded, i, F.lit(size))),
-        ).otherwise(F.array().cast("array<string>"))
 
-    return F.flatten(F.transform(tokens, cut))
+def _length_band(keys: NameKeys) -> Column:
+    length = F.greatest(F.length(F.array_join("tokens", " ")), F.lit(1)).cast("double")
+    return F.floor(F.log(length) / keys.log_factor).cast("int")
 
 
-def _length_band(length: Column, cutoff: float) -> Column:
-    # lengths of a matching pair differ at most by this factor, so bands differ by at most 1
-    factor = (200.0 - cutoff) / cutoff * 1.0001
-    return F.floor(F.log(F.greatest(length, F.lit(1)).cast("double")) / math.log(factor)).cast("int")
+def name_groups(sized: DataFrame, judged: DataFrame | None = None) -> DataFrame:
+    """(block, band, n, n_below, whole, whole_above, cells, cells_below, names), one row per
+    group: how many names it and the band below hold, whether it is compared as a whole, and how
+    many names its block holds. ``judged``: (block, band, n, whole) where that is known."""
+    if judged is None:
+        judged = sized.groupBy("block", "band").agg(F.count(F.lit(1)).alias("n")).withColumn("whole", F.lit(None).cast("boolean"))
+    here = judged
+    below = here.select("block", (F.col("band") + 1).alias("band"), F.col("n").alias("n_below"))
+    found = here.join(below, ["block", "band"], "left").withColumns({
+        "n_below": F.coalesce("n_below", F.lit(0)), "cells": F.ceil(F.col("n") / CELL)})
+    found = found.withColumns({
+        "whole": F.coalesce("whole", F.col("n") + F.col("n_below") <= FEW), "cells_below": F.ceil(F.col("n_below") / CELL)})
+    above = found.select("block", (F.col("band") - 1).alias("band"), F.col("whole").alias("whole_above"))
+    names = found.groupBy("block").agg(F.sum("n").alias("names"))
+    return found.join(above, ["block", "band"], "left").join(names, "block").withColumn(
+        "whole_above", F.coalesce("whole_above", F.lit(True)))
 
 
-def _piece_sizes(cutoff: float) -> tuple[int, ...]:
-    return (3, 2) if cutoff >= 85 else (3, 2, 1)
+def _grouped(sized: DataFrame, groups: DataFrame) -> DataFrame:
+    """Names with what is known of their group, and their own cell in it."""
+    small = groups.select(F.struct("block", "band").alias("_group"), "n", *[c for c in GROUP if c not in ("cell", "band")])
+    cell = F.pmod(F.xxhash64("rep", F.lit(1)), F.greatest(F.col("cells"), F.lit(1)))
+    return salted_join(sized.withColumn("_group", F.struct("block", "band")), small, "_group", "inner").withColumn("cell", cell).drop("_group")
 
 
-# Join keys are 64-bit hashes of (block, kind, text, band): a collision only adds a candidate
-# that the score rejects. The lowest bit tells containment keys (1) from edit keys (0).
-_EDIT, _CONTAINMENT, _CONTAINMENT_PAIR = 0, 1, 3
-
-
-def _keys(kind: int, texts: Column, band: Column) -> Column:
-    return F.transform(texts, lambda t: F.shiftleft(
-        F.xxhash64(F.col("block"), F.lit(kind), t, band), 1).bitwiseOR(F.lit(kind % 2).cast("bigint")))
-
-
-def _pair(a: Column, b: Column) -> Column:
-    return F.concat(F.least(a, b), F.lit("\u0001"), F.greatest(a, b))
-
-
-def _pairs_of(texts: Column) -> Column:
-    """Every unordered pair of a list of distinct texts."""
-    return F.flatten(F.transform(texts, lambda a: F.transform(F.filter(texts, lambda b: b > a), lambda b: _pair(a, b))))
-
-
-def probe_keys(cutoff: float, scorer: str) -> Column:
-    """Keys of which at least one is among the ``index_keys`` of every matching partner.
+def _parts(sized: DataFrame, with_pieces: Column) -> DataFrame:
+    """(rep, _part): the tokens (kind 1) and pieces (2) of every name, each once."""
+    tokens = F.col("tokens")
+    none = F.array().cast("array<string>")
+    pieces = F.when(with_pieces, F.array_distinct(F.concat(*[_pieces(tokens, size) for size in (3, 2)]))).otherwise(none)
+    parts = F.concat(
+        F.transform(F.array_distinct(tokens), lambda t: F.struct(F.lit(1).alias("kind"), t.alias("text"))),
+        F.transform(pieces, lambda t: F.struct(F.lit(2).alias("kind"), t.alias("text"))))
+    return sized.select("rep", "block", F.inline(parts)).select("rep", F.struct("block", "kind", "text").alias("_part"))
 
-    Let r = cutoff/100. A pair of token sets reaches the cutoff in one of two ways.
 
-    *Containment*: one set lies in the other but for a rest so short that the shared part is
-    at least r/(2-r) of its length. Walk its tokens rarest first. Once any one of those seen
-    and all not yet seen are too short for that share, two of those seen must be shared: the
-    pairs among them are the keys. Where a single token is long enough, the tokens are keys
-    themselves, up to where those not yet seen are too short.
+def _counts(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
 
-    *Edits*: the texts differ by D insertions and deletions at most, with
-    D <= 2(1-r) * length of the longer. Cut the longer into pieces inside its tokens; each
-    edit spoils one piece at most, so of D+1 pieces one survives inside a token of the
-    shorter. Pieces are taken from the rarest tokens first and are as long as the name
-    allows. The shorter is in the same length band or the one below.
-    """
-    r = cutoff / 100.0
-    tokens, length = F.col("rare_first"), _length(F.col("tokens"))
-    sizes = _piece_sizes(cutoff)
-    needed = F.floor(2 * (1 - r) * length + 1e-9).cast("int") + 1
-    chosen = F.array(F.lit("*"))
-    for size in reversed(sizes):
-        cut = _pieces(tokens, size, size)
-        chosen = F.when(F.size(cut) >= needed, F.slice(cut, F.lit(1), needed)).otherwise(chosen)
-    none = F.array().cast("array<string>")
-    band = _length_band(length, cutoff)
-    pieces = F.array_distinct(chosen)
-    keys = F.concat(_keys(_EDIT, pieces, band), _keys(_EDIT, pieces, band - 1))
-    if scorer == "token_set_ratio":
-        must_share = length * r / (2 - r) - 1e-9
-        count = F.size(tokens)
-        positions = F.sequence(F.lit(1), count)
-        lead = F.filter(
-            positions,
-            lambda i: (i == 1) | (_length(F.slice(tokens, i, count)) >= must_share),
-        )
-        prefix = F.transform(lead, lambda i: F.element_at(tokens, i))
 
-        def one_is_too_short(i):
-            longest = F.array_max(F.transform(F.slice(tokens, 1, i), lambda t: F.length(t)))
-            rest = F.slice(tokens, i + 1, count)
-            return longest + F.size(rest) + F.aggregate(rest, F.lit(0), lambda n, t: n + F.length(t)) < must_share
+def measured(sized: DataFrame, with_pieces: Column, counts: DataFrame | None = None) -> DataFrame:
+    """(rep, known): how many names of its block hold each of a name's tokens and, where asked
+    for, pieces."""
+    held = _parts(sized, with_pieces)
+    return salted_join(held, _counts(held) if counts is None else counts, "_part", "inner").groupBy("rep").agg(
+        F.collect_list(F.struct("_part.kind", "_part.text", "n")).alias("known"))
 
-        enough = F.get(F.filter(positions, lambda i: (i >= 2) & one_is_too_short(i)), F.lit(0))
-        two = F.when(enough.isNotNull(), _pairs_of(F.slice(tokens, 1, F.coalesce(enough, F.lit(0))))).otherwise(none)
-        keys = F.concat(keys, _keys(_CONTAINMENT, F.when(enough.isNull(), prefix).otherwise(none), F.lit(0)),
-                        _keys(_CONTAINMENT_PAIR, two, F.lit(0)))
-    return keys
 
+def _pieces(tokens: Column, size: int) -> Column:
+    """Pieces of ``size`` characters of every token, a blank standing for its start."""
+    def cut(token):
+        padded = F.concat(F.lit(" "), token)
+        starts = F.sequence(F.lit(1), F.length(padded) - size + 1)
+        return F.when(
+            F.length(padded) >= size,
+            F.transform(starts, lambda i: F.substring(padded, i, F.lit(size))),
+        ).otherwise(F.array().cast("array<string>"))
 
-def index_keys(cutoff: float, scorer: str) -> Column:
-    """Every key a partner may probe for: all tokens and pairs of tokens, and all pieces in
-    this length band."""
-    tokens = F.col("tokens")
-    grams = [_pieces(tokens, size, 1) for size in _piece_sizes(cutoff)]
-    band = _length_band(_length(tokens), cutoff)
-    texts = F.array_distinct(F.concat(*grams, F.array(F.lit("*"))))
-    keys = _keys(_EDIT, texts, band)
-    if scorer == "token_set_ratio":
-        keys = F.concat(keys, _keys(_CONTAINMENT, tokens, F.lit(0)), _keys(_CONTAINMENT_PAIR, _pairs_of(tokens), F.lit(0)))
-    return keys
+    return F.flatten(F.transform(tokens, cut))
 
 
 def _signature(tokens: Column) -> Column:
@@ -186,29 +165,37 @@ def _signature(tokens: Column) -> Column:
         F.call_function("shiftleft", F.lit(1).cast("bigint"), k)))
 
 
+def _doubles(tokens: Column) -> Column:
+    """The characters that a name holds twice or more, as bits."""
+    letters = F.array_sort(F.split(F.array_join(tokens, ""), ""))
+    again = F.filter(letters, lambda c, i: (i > 0) & (F.get(letters, i - 1) == c))
+    places = F.array_distinct(F.transform(again, lambda c: F.ascii(c) % 64))
+    return F.aggregate(places, F.lit(0).cast("bigint"), lambda n, k: n.bitwiseOR(
+        F.call_function("shiftleft", F.lit(1).cast("bigint"), k)))
+
+
 def _keyed(classes: DataFrame, keys: str, name: str) -> DataFrame:
-    return classes.select(
-        F.explode(keys).alias("key"), F.col("rep").alias(name), F.col("length").alias(f"{name}_length"),
-        F.col("signature").alias(f"{name}_signature"),
-    )
+    return classes.select(F.explode(keys).alias("key"), F.col("rep").alias(name), *[
+        F.col(c).alias(f"{name}_{c}") for c in ("length", "signature", "doubles")])
 
 
 def scored_pairs(
     earlier: DataFrame, later: DataFrame, cutoff: float = REVIEW, scorer: str = "token_set_ratio"
 ) -> DataFrame:
     """(i, j, score) with i < j for all pairs reaching ``cutoff`` between two sets of classes
-    with keys. The key joins carry ids and lengths only; a pair met under several keys is
-    folded before its texts are looked up and scored. Adaptive execution splits the
+    with keys. The key joins carry ids, lengths and signatures only; a pair met under several
+    keys is folded before its texts are looked up and scored. Adaptive execution splits the
     partitions of hot keys."""
-    contained = F.col("key").bitwiseAND(F.lit(1)) == _CONTAINMENT
+    contained = F.col("key").bitwiseAND(F.lit(1)) == 1
     r = cutoff / 100.0
     found = None
     for i_keys, j_keys, prober, other in (("probe", "index", "i", "j"), ("index", "probe", "j", "i")):
         length, mine, theirs = F.col(f"{prober}_length"), F.col(f"{prober}_signature"), F.col(f"{other}_signature")
-        # each edit brings or takes one character at most; what is not shared of a contained
-        # set is as long as the characters it alone has
-        near = (length >= F.col(f"{other}_length")) & (
-            F.bit_count(mine.bitwiseXOR(theirs)) <= F.floor(2 * (1 - r) * length + 1e-9))
+        # each edit brings or takes one character, so it changes one bit at most of those that say
+        # which characters are there once and twice; what is not shared of a contained set is as
+        # long as the characters it alone has
+        changed = F.bit_count(mine.bitwiseXOR(theirs)) + F.bit_count(F.col("i_doubles").bitwiseXOR(F.col("j_doubles")))
+        near = (length >= F.col(f"{other}_length")) & (changed <= F.floor(2 * (1 - r) * length + 1e-9))
         within = F.bit_count(mine.bitwiseAND(F.bitwise_not(theirs))) <= length * (2 - 2 * r) / (2 - r) + 1
         hits = _keyed(earlier, i_keys, "i").join(_keyed(later, j_keys, "j"), "key").filter(
             (F.col("i") < F.col("j")) & F.when(contained, within).otherwise(near)
@@ -223,11 +210,11 @@ def scored_pairs(
 
 
 def candidate_pairs(
-    df: DataFrame, cutoff: float = REVIEW, scorer: str = "token_set_ratio"
+    df: DataFrame, cutoff: float = REVIEW, scorer: str = "token_set_ratio", whole: bool | None = None
 ) -> DataFrame:
     """All scored pairs of distinct names of a lead table, for review tools. Deduplication
     itself only forms pairs with leaders (``resolve_leaders``)."""
-    classes = cut_lineage(with_keys(name_classes(df, scorer), cutoff, scorer))
+    classes = cut_lineage(with_keys(name_classes(df, scorer), cutoff, scorer, whole))
     return scored_pairs(classes, classes, cutoff, scorer)
 
 

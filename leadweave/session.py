@@ -7,7 +7,7 @@ import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -95,11 +95,22 @@ def stored_table(
 
 
 
+_ROW_NAMES = ("ord", "pipeline_id", "event_seq", "rep")
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of what names a row; of the whole row where nothing does. It stays with the row when
+    a lost task is run again, however its rows arrive then."""
+    named = [c for c in _ROW_NAMES if c in df.columns][:1]
+    plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(*[F.col(f"`{c}`") for c in named or plain])
+
+
 def salted_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", salts: int = 16) -> DataFrame:
     """Join a side whose keys may be hot to one of a row per key. The big side's rows of a key
-    are dealt to ``salts`` partitions, the small side is repeated once for each; rows without
-    a key match nothing and are dealt out evenly."""
-    row = F.monotonically_increasing_id()
+    are dealt to ``salts`` partitions by ``row_hash``, the small side is repeated once for each;
+    rows without a key match nothing and are dealt out evenly."""
+    row = row_hash(big)
     salt = F.when(F.col(key).isNull(), -1 - F.pmod(row, F.lit(65536))).otherwise(F.pmod(row, F.lit(salts)))
     many = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     return big.withColumn("_salt", salt).join(many, ["_salt", key], how).drop("_salt")

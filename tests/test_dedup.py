@@ -1,8 +1,11 @@
 import random
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 
+from leadweave.functions import name_keys
 from leadweave.functions.similarity import _common_length
 from leadweave.operators import exact_dedup, fuzzy_dedup
 from leadweave.plans.pipeline import exact_passes
@@ -157,7 +160,8 @@ def test_fuzzy_equals_greedy_model(spark, seed, scorer, auto, review, first):
     assert {o: int(r.is_duplicate_of[1:]) for o, r in rows.items() if r.needs_review} == want_flag
 
 
-def test_candidate_pairs_lose_nothing(spark):
+@pytest.mark.parametrize("whole", [None, True, False])
+def test_candidate_pairs_lose_nothing(spark, whole):
     names = sorted(set(noisy_names(random.Random(9), 300)))
     df = leads(spark, [{"norm": n} for n in names])
     first = {}
@@ -166,7 +170,51 @@ def test_candidate_pairs_lose_nothing(spark):
         first.setdefault((bare[:1] or "_", tuple(sorted(set(n.split())))), (i, n, bare[:1] or "_"))
     kept = sorted(first.values())
     want = {(i, j): s for x, (i, a, p) in enumerate(kept) for j, b, q in kept[x + 1:] if p == q and (s := score(a, b, 85))}
-    assert {(r.i, r.j): r.score for r in fuzzy_dedup.candidate_pairs(df).collect()} == want
+    assert {(r.i, r.j): r.score for r in fuzzy_dedup.candidate_pairs(df, whole=whole).collect()} == want
+
+
+@pytest.mark.parametrize("scorer,cutoff,hot", [("token_set_ratio", 85, 0.02), ("token_sort_ratio", 88, 0.02), ("ratio", 90, 4.0), ("token_set_ratio", 70, 4.0)])
+def test_keys_lose_nothing_however_hot(spark, monkeypatch, scorer, cutoff, hot):
+    """Pairs of pieces that count as hot give way to triples, on both sides alike."""
+    rnd = random.Random(int(cutoff))
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 7)))
+    names = {" ".join(word() for _ in range(rnd.randint(1, 4))) for _ in range(120)}
+    for n in sorted(names):
+        for _ in range(2):
+            letters = list(n)
+            for _ in range(rnd.randint(1, 3)):
+                letters[rnd.randrange(len(letters))] = rnd.choice(["", "a", "b", "xy", " "])
+            names.add(" ".join("".join(letters).split()) or "a")
+    blocks = {}
+    rows = sorted(names)
+    for i, n in enumerate(rows):
+        key = tuple(sorted(set(n.split()))) if scorer == "token_set_ratio" else tuple(sorted(n.split())) if scorer == "token_sort_ratio" else n
+        blocks.setdefault(re.sub(r"^(the|a|an)\s+", "", n)[:1], {}).setdefault(key, (i, n))
+    want = {}
+    for group in blocks.values():
+        kept = sorted(group.values())
+        for x, (i, a) in enumerate(kept):
+            want.update({(i, j): s for j, b in kept[x + 1:] if (s := score(a, b, cutoff, scorer))})
+    monkeypatch.setattr(name_keys, "HOT", hot)
+    keys = name_keys.NameKeys(float(cutoff), scorer)
+    df = leads(spark, [{"norm": n} for n in rows])
+    classes = fuzzy_dedup.name_classes(df, scorer)
+    sized = classes.select("rep", "block", "tokens", "members", fuzzy_dedup._length_band(keys).alias("band"))
+    by_block = {}
+    for r in sized.collect():
+        by_block.setdefault(r.block, []).append(r)
+    met = set()
+    for block, rs in by_block.items():
+        held = Counter(g for r in rs for size in (2, 3) for g in set(keys.grams(list(r.tokens), size)))
+        tokens = Counter(t for r in rs for t in set(r.tokens))
+        n = len(rs)
+        bands = Counter(r.band for r in rs)
+        groups = {"band": np.array([r.band for r in rs]), "whole": np.zeros(n, bool), "whole_above": np.zeros(n, bool), "cell": np.zeros(n, int),
+                  "cells": np.ones(n, int), "cells_below": np.array([int(bands[r.band - 1] > 0) for r in rs]), "names": np.full(n, n)}
+        probe, index = keys.batch_keys([block] * n, [list(r.tokens) for r in rs], groups, [tokens] * n, [held] * n)
+        probe, index = [set(x.tolist()) for x in probe], [set(x.tolist()) for x in index]
+        met |= {(min(a.rep, b.rep), max(a.rep, b.rep)) for x, a in enumerate(rs) for y, b in enumerate(rs) if x != y and probe[x] & index[y]}
+    assert want and set(want) <= met
 
 
 def test_one_token_in_every_name(spark):
