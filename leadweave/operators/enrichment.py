@@ -1,14 +1,18 @@
 """Stage ``enricher``: leads joined with a snapshot of crawled company sites.
 
 ``site_pages(url, path, status_head, status_get, html)`` holds, per website, the home page
-(path ``''``) and the contact paths. Pages are reduced to one small row per site before the
-join, so page bodies are never shuffled.
+(path ``''``) and the contact paths. Pages of sites that no lead names are dropped by a Bloom
+filter where they are read; the others are reduced to what they say, then to one small row per
+site, and only that is joined: page bodies are never shuffled.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadweave.functions.urls import is_safe_url
+from leadweave.operators.key_filter import key_filter
 from leadweave.session import salted_join
 
 # Where to look, what an address looks like, and which addresses to pass over.
@@ -61,11 +65,14 @@ def social_map(html: Column) -> Column:
     return F.when(F.size(links) > 0, links)
 
 
-def site_facts(site_pages: DataFrame) -> DataFrame:
-    """One row per site: alive, contact_email, social_links."""
+def site_facts(site_pages: DataFrame, wanted: Callable[[Column], Column] | None = None) -> DataFrame:
+    """One row per site: alive, contact_email, social_links; of sites whose key passes ``wanted``."""
     home, ok = F.col("path") == "", F.col("status_get") == 200
     rank = F.array_position(F.array(*[F.lit(p) for p in CONTACT_PATHS]), F.col("path"))
-    reduced = site_pages.filter(home | (rank > 0)).select(
+    asked = home | (rank > 0)
+    if wanted:
+        asked = asked & wanted(site_key(F.col("url")))
+    reduced = site_pages.filter(asked).select(
         site_key(F.col("url")).alias("site"),
         F.when(home, is_alive(F.col("status_head"), F.col("status_get"))).alias("alive"),
         F.when(~home & ok, first_contact_email(F.col("html"))).alias("email"),
@@ -84,10 +91,10 @@ def enrich(df: DataFrame, site_pages: DataFrame) -> DataFrame:
     """Add ``website_alive`` (NULL without a safe website), ``social_links``, and fill a
     missing ``email`` from the contact pages of live sites."""
     safe = F.coalesce((F.col("website") != "") & is_safe_url(F.col("website")), F.lit(False))
-    sited = df.withColumn("_site", F.when(safe, site_key(F.col("website"))))
-    wanted = sited.select("_site").filter("_site IS NOT NULL").distinct()
-    asked = site_pages.withColumn("_site", site_key(F.col("url"))).join(wanted, "_site", "left_semi").drop("_site")
-    joined = salted_join(sited, site_facts(asked).withColumnRenamed("site", "_site"), "_site").withColumn("website_alive", F.when(F.col("_site").isNotNull(), F.coalesce("_alive", F.lit(False))))
+    site = F.when(safe, site_key(F.col("website")))
+    facts = site_facts(site_pages, key_filter(df, site)).withColumnRenamed("site", "_site")
+    joined = salted_join(df.withColumn("_site", site), facts, "_site").withColumn(
+        "website_alive", F.when(F.col("_site").isNotNull(), F.coalesce("_alive", F.lit(False))))
     alive = F.coalesce("website_alive", F.lit(False))
     found = alive & F.coalesce(F.col("email") == "", F.lit(True)) & F.col("_email").isNotNull()
     return joined.withColumns({

@@ -127,6 +127,13 @@ ORACLES["clean_website"] = f"""WITH {RAW} SELECT lead_id, {_website('website')}
 ORACLES["clean_page_urls"] = f"""SELECT page_id, {_website('url')} AS url FROM pages"""
 ORACLES["normalize_name"] = f"""WITH {RAW}, {CLEANED} SELECT lead_id, company_name, {NAME} AS company_name_normalized FROM cleaned"""
 ORACLES["standardize_address"] = f"""WITH {RAW}, {CLEANED} SELECT lead_id, {ADDRESS} AS address_normalized FROM cleaned"""
+ORACLES["prepare_leads_stream"] = f"""{LEADS}, d AS (SELECT DISTINCT 'mail' || (c_custkey % 7) || '.example.com' AS domain FROM customer WHERE c_custkey % 7 < 5),
+  a AS (SELECT DISTINCT 'Contact' || (c_custkey % 1200) || '@mail' || (c_custkey % 7) || '.example.com' AS email FROM customer WHERE c_custkey % 3 = 0),
+  v AS (SELECT * REPLACE (CASE WHEN lost THEN NULL ELSE email END AS email, CASE WHEN lost THEN false ELSE email_validated END AS email_validated)
+    FROM (SELECT *, coalesce(email <> '' AND split_part(email, '@', 2) NOT IN (SELECT domain FROM d), false) AS lost FROM prepared))
+  SELECT pipeline_id, company_name, company_name_normalized, phone_normalized, phone_display, email,
+    CASE WHEN email_validated AND email NOT IN (SELECT email FROM a) THEN false ELSE email_validated END AS email_validated,
+    website, address_normalized, city, rating, review_count FROM v"""
 ORACLES["validator_stats"] = f"""WITH {RAW} SELECT count(*) FILTER (WHERE email <> '' AND {GOOD_EMAIL}) AS emails_validated,
   count(*) FILTER (WHERE email <> '' AND NOT {GOOD_EMAIL}) AS emails_invalid, CAST(0 AS BIGINT) AS emails_smtp_failed,
   count(*) FILTER (WHERE phone <> '' AND ({PHONE}) IS NOT NULL) AS phones_normalized, count(*) FILTER (WHERE phone <> '' AND ({PHONE}) IS NULL) AS phones_invalid,

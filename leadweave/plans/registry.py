@@ -15,8 +15,9 @@ from leadweave.operators import validation
 from leadweave.operators.admission import admit, with_pipeline_id
 from leadweave.operators.cleaning import clean_strings
 from leadweave.plans import pipeline, views
-from leadweave.session import ensure_checkpoint_dir, stored_table
+from leadweave.session import ensure_checkpoint_dir, stored_path, stored_table
 from leadweave.sources import configs, exports, leads as leads_io, pages as pages_io
+from leadweave.streaming import leads as stream_leads
 from leadweave.streaming import progress
 from leadweave.streaming.run import drain
 
@@ -775,8 +776,7 @@ def _event_stream(spark, sf):
 
 @query
 def latest_progress_stream(spark, sf):
-    out = drain(progress.latest_progress(_event_stream(spark, sf)), "update")
-    return progress.latest_progress(out).select(_EVENT)
+    return progress.latest_progress(drain(progress.latest_changes(_event_stream(spark, sf)))).select(_EVENT)
 
 
 @query
@@ -798,3 +798,27 @@ def clean_leads_stream(spark, sf):
         "c_custkey", F.concat(F.lit("  "), F.col("c_name"), F.lit(" &amp;  Sons LLC")).alias("company_name"),
         F.concat(F.col("c_mktsegment"), F.lit("@Mail.Example.com")).alias("email"))
     return drain(validation.normalize_name(validation.validate_email(clean_strings(lead))))
+
+
+def _reference_tables(spark):
+    """Domains that take mail and verdicts on mailboxes, from customers."""
+    customer = spark.table("customer")
+    domains = customer.filter("c_custkey % 7 < 5").select(
+        F.concat(F.lit("mail"), (F.col("c_custkey") % 7).cast("string"), F.lit(".example.com")).alias("domain"))
+    verdicts = customer.select(
+        F.expr("concat('Contact', CAST(c_custkey % 1200 AS STRING), '@mail', CAST(c_custkey % 7 AS STRING), '.example.com')").alias("email"),
+        (F.col("c_custkey") % 3 == 0).alias("accepted"))
+    return {"mail_domains": domains, "verdicts": verdicts}
+
+
+@query
+def prepare_leads_stream(spark, sf):
+    """All row rules on all lead columns of a stream, with reference tables, saved by batch."""
+    raw = views.raw_leads(spark, sf)
+    folder = stored_path(spark, "raw_leads", sf, lambda: raw.repartition(6, "lead_id"))
+    leads = stream_leads.prepared(stream_leads.read_raw(spark, folder, files=2), **_reference_tables(spark))
+    return stream_leads.drain_leads(leads).select(_PREPARED)
+
+
+_PREPARED = ["pipeline_id", "company_name", "company_name_normalized", "phone_normalized", "phone_display", "email", "email_validated",
+             "website", "address_normalized", "city", "rating", "review_count"]

@@ -80,19 +80,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 _STORED: dict[tuple[str, str, str], str] = {}
 
 
-def stored_table(
-    spark: SparkSession, name: str, origin: str, build: Callable[[], DataFrame]
-) -> DataFrame:
-    """A Parquet table under the checkpoint folder, written on first use in an application and
-    read from there afterwards, with column pruning and filter pushdown as for any table."""
+def stored_path(spark: SparkSession, name: str, origin: str, build: Callable[[], DataFrame]) -> str:
+    """Folder of a Parquet table under the checkpoint folder, written on first use in an
+    application."""
     key = (spark.sparkContext.applicationId, name, origin)
     if key not in _STORED:
         mark = hashlib.md5(origin.encode()).hexdigest()[:8]
         path = f"{ensure_checkpoint_dir(spark)}/tables/{name}-{mark}-{uuid.uuid4().hex}"
         build().write.parquet(path)
         _STORED[key] = path
-    return spark.read.parquet(_STORED[key])
+    return _STORED[key]
+
 
+def stored_table(
+    spark: SparkSession, name: str, origin: str, build: Callable[[], DataFrame]
+) -> DataFrame:
+    """``stored_path`` read back, with column pruning and filter pushdown as for any table."""
+    return spark.read.parquet(stored_path(spark, name, origin, build))
 
 
 _ROW_NAMES = ("ord", "pipeline_id", "event_seq", "rep")

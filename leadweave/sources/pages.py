@@ -6,10 +6,15 @@ from pyspark.sql import functions as F
 
 from leadweave.functions.text import slug
 from leadweave.functions.urls import fill_template, form_encode
+from leadweave.operators.key_filter import key_filter
 
 KEY = ["source", "slug_query", "slug_location", "page"]
 
 
+def _page_key() -> Column:
+    return F.struct(*KEY)
+
+
 def page_value(page: Column) -> Column:
     """Page number as the source counts: from ``start``, in steps for offset paging."""
     return (
@@ -63,9 +68,11 @@ def with_page_key(requests: DataFrame) -> DataFrame:
 
 
 def lookup_pages(requests: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Requests with the stored ``html``; NULL where nothing is stored."""
-    return with_page_key(requests).join(snapshots.select(*KEY, "html"), KEY, "left") \
-        .select(*requests.columns, "html")
+    """Requests with the stored ``html``; NULL where nothing is stored. Only pages whose key may
+    be among the requests leave the place where they are stored."""
+    asked = with_page_key(requests)
+    stored = snapshots.filter(key_filter(asked, _page_key())(_page_key())).select(*KEY, "html")
+    return asked.join(stored, KEY, "left").select(*requests.columns, "html")
 
 
 def has_page(requests: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -74,13 +81,19 @@ def has_page(requests: DataFrame, snapshots: DataFrame) -> DataFrame:
 
 
 def upsert_pages(snapshots: DataFrame, new_pages: DataFrame) -> DataFrame:
-    """Last write per key wins. Bodies of untouched snapshots stay where they are: old rows
-    are only checked against the keys of the new ones."""
-    rest = [c for c in snapshots.columns if c not in KEY]
-    latest = new_pages.groupBy(*KEY).agg(F.max_by(F.struct(*rest), "fetched_at").alias("_p")) \
-        .select(*KEY, *[F.col(f"_p.{c}").alias(c) for c in rest])
-    kept = snapshots.join(latest.select(KEY), KEY, "left_anti")
-    return kept.select(snapshots.columns).unionByName(latest.select(snapshots.columns))
+    """Last write per key wins. Snapshots whose key is none of the new ones, by a Bloom filter,
+    stay where they are; the few it can't tell are checked against the new keys."""
+    touched = key_filter(new_pages, _page_key())(_page_key())
+    kept = snapshots.filter(touched).join(new_pages.select(KEY).distinct(), KEY, "left_anti")
+    return snapshots.filter(~touched).select(snapshots.columns).unionByName(kept.select(snapshots.columns)) \
+        .unionByName(latest_pages(new_pages, snapshots.columns))
+
+
+def latest_pages(new_pages: DataFrame, columns: list[str]) -> DataFrame:
+    """The last fetched row of every key."""
+    rest = [c for c in columns if c not in KEY]
+    return new_pages.groupBy(*KEY).agg(F.max_by(F.struct(*rest), "fetched_at").alias("_p")) \
+        .select(*[c if c in KEY else F.col(f"_p.{c}").alias(c) for c in columns])
 
 
 def purge_pages(snapshots: DataFrame, source: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -4,10 +4,12 @@ Input rows: ``channel`` (the task a message was published for), ``event_seq`` (i
 ``value`` (JSON text).
 """
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from leadweave import schemas
 from leadweave.session import salted_join
@@ -25,7 +27,7 @@ def parse_progress(messages: DataFrame) -> DataFrame:
 
 
 def latest_progress(events: DataFrame) -> DataFrame:
-    """Last message per task. On a stream run it in update mode: state is one row per task."""
+    """Last message per task."""
     payload = [c for c in events.columns if c != "channel"]
     return events.groupBy("channel").agg(F.max_by(F.struct(*payload), "event_seq").alias("_last")) \
         .select("channel", "_last.*")
@@ -56,46 +58,95 @@ def stage_changes_batch(events: DataFrame) -> DataFrame:
     ).select(events.columns)
 
 
-def _stateful(schema: T.StructType, kind: str):
-    names = schema.fieldNames()
+class _UntilTerminal(StatefulProcessor):
+    """State: where a task ended. Messages of one trigger may come in any order."""
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.ended = handle.getValueState("ended", "event_seq bigint", self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        frames = list(rows)
+        known = self.ended.get()[0] if self.ended.exists() else None
+        ends = [f.loc[f["type"].isin(TERMINAL_TYPES), "event_seq"].min() for f in frames]
+        first = min([int(e) for e in ends if not pd.isna(e)], default=None)
+        if known is None and first is not None:
+            known = first
+            self.ended.update((first,))
+        for frame in frames:
+            yield frame if known is None else frame[frame["event_seq"] <= known]
+
+
+class _StageChanges(StatefulProcessor):
+    """State: the stage of a task's last message."""
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "stage string", self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        table = pd.concat(rows).sort_values("event_seq")
+        seen = self.last.exists()
+        stage, before = table["stage"], table["stage"].shift()
+        if seen:
+            before.iloc[0] = self.last.get()[0]
+        changed = ~((stage == before) | (stage.isna() & before.isna()))
+        changed.iloc[0] = changed.iloc[0] or not seen
+        now = stage.iloc[-1]
+        self.last.update((None if pd.isna(now) else now,))
+        yield table[changed]
+
+
+class _Latest(StatefulProcessor):
+    """State: the number of a task's last message. Only what is later is handed on."""
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "event_seq bigint", self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        best = None
+        for frame in rows:
+            top = frame.loc[[frame["event_seq"].idxmax()]].iloc[:1]
+            if best is None or top["event_seq"].iloc[0] > best["event_seq"].iloc[0]:
+                best = top
+        number = int(best["event_seq"].iloc[0])
+        if not self.last.exists() or number > self.last.get()[0]:
+            self.last.update((number,))
+            yield best
+
+
+#: How long a task that sends nothing is remembered: a day.
+FORGET_MS = 24 * 3600 * 1000
 
-    def step(key, batches, state):
-        # state: (stopped, has_stage, last stage)
-        stopped, has_stage, stage = state.get if state.exists else (False, False, None)
-        out = []
-        frames = list(batches)
-        if frames and not (kind == "until" and stopped):
-            rows = pd.concat(frames).sort_values("event_seq")
-            for row in rows.itertuples(index=False):
-                if kind == "until":
-                    out.append(row)
-                    if row.type in TERMINAL_TYPES:
-                        stopped = True
-                        break
-                elif not has_stage or row.stage != stage:
-                    out.append(row)
-                    has_stage, stage = True, row.stage
-        state.update((stopped, has_stage, stage))
-        yield pd.DataFrame(out, columns=names)
 
-    return step
+def _with_state(events: DataFrame, processor: type, mode: str, ttl_ms: int) -> DataFrame:
+    return events.groupBy("channel").transformWithStateInPandas(processor(ttl_ms), events.schema, mode, "processingTime")
 
 
-def _with_state(events: DataFrame, kind: str) -> DataFrame:
-    return events.groupBy("channel").applyInPandasWithState(
-        _stateful(events.schema, kind), events.schema,
-        "stopped boolean, has_stage boolean, stage string", "append", "NoTimeout",
-    )
+def until_terminal(events: DataFrame, ttl_ms: int = FORGET_MS) -> DataFrame:
+    """Streaming form of ``until_terminal_batch``. State is one number for each ended task, and
+    none ``ttl_ms`` after its end: a message that comes later still begins the task anew."""
+    return _with_state(events, _UntilTerminal, "append", ttl_ms)
 
 
-def until_terminal(events: DataFrame) -> DataFrame:
-    """Streaming form of ``until_terminal_batch``: state is one flag per task."""
-    return _with_state(events, "until")
+def stage_changes(events: DataFrame, ttl_ms: int = FORGET_MS) -> DataFrame:
+    """Streaming form of ``stage_changes_batch``. State is the last stage of each task, and none
+    once a task has sent nothing for ``ttl_ms``."""
+    return _with_state(events, _StageChanges, "append", ttl_ms)
 
 
-def stage_changes(events: DataFrame) -> DataFrame:
-    """Streaming form of ``stage_changes_batch``: state is the last stage per task."""
-    return _with_state(events, "stage")
+def latest_changes(events: DataFrame, ttl_ms: int = FORGET_MS) -> DataFrame:
+    """Streaming form of ``latest_progress``: the last message of each task of a trigger that is
+    later than all before; a reader keeps the last per task. State is a number per task, and
+    none once it has sent nothing for ``ttl_ms``."""
+    return _with_state(events, _Latest, "append", ttl_ms)
 
 
 def read_messages(spark, path: str) -> DataFrame:

@@ -194,6 +194,6 @@ def test_progress_batch_and_stream(spark, tmp_path):
     assert keys(progress.stage_changes_batch(batch)) == changes
     assert keys(drain(progress.until_terminal(stream()))) == until
     assert keys(drain(progress.stage_changes(stream()))) == changes
-    assert keys(progress.latest_progress(drain(progress.latest_progress(stream()), "update"))) == [(7, 6), (8, 2), (9, 140001)]
+    assert keys(progress.latest_progress(drain(progress.latest_changes(stream())))) == [(7, 6), (8, 2), (9, 140001)]
     bars = dashboard.progress_pct(spark.createDataFrame([(1, 3), (1, None), (1, 0), (1, 8)], "pages_processed int, pages_total int"))
     assert [tuple(r)[2:] for r in bars.collect()] == [(False, 33), (True, 0), (True, 0), (False, 13)]
