@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Pairs counted at once.
+PAIRS = 2048
 SCORERS = ("token_set_ratio", "token_sort_ratio", "ratio")
 
 
@@ -25,22 +27,48 @@ def comparison_tokens(col: Column, scorer: str) -> Column:
     raise ValueError(f"unknown scorer {scorer!r}; choose one of {SCORERS}")
 
 
-def _common_length(a: str, b: str) -> int:
-    """Longest common subsequence, one bit per character of ``a``."""
-    places: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        places[ch] = places.get(ch, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    row = full
-    for ch in b:
-        hit = row & places.get(ch, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
+_WORD = 63  # bits used of a machine word: the last takes the carry
+
+
+def _character_table(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Characters as numbers from 1, a row per text, 0 after its end; and the lengths."""
+    size = np.array([len(t) for t in texts], np.int64)
+    table = np.zeros((len(texts), max(int(size.max(initial=0)), 1)), np.uint32)
+    table[np.arange(table.shape[1]) < size[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32) + 1
+    return table, size
+
+
+def common_lengths(left: list[str], right: list[str]) -> np.ndarray:
+    """Lengths of the longest common subsequences of many pairs at once. The places of a character
+    in the left text are bits, ``_WORD`` of them a word; every step takes the next character of
+    all right texts and carries from word to word."""
+    a, a_size = _character_table(left)
+    b, b_size = _character_table(right)
+    words = -(-a.shape[1] // _WORD)
+    blocks = np.zeros((len(a), words, 64), np.uint32)
+    for w in range(words):
+        part = a[:, w * _WORD : (w + 1) * _WORD]
+        blocks[:, w, : part.shape[1]] = part
+    full = np.uint64((1 << _WORD) - 1)
+    row = np.full((len(a), words), full)
+    for k in range(b.shape[1]):
+        ch = b[:, k]
+        # a text that has ended hits nothing, which leaves its row as it is
+        hit = np.packbits((blocks == ch[:, None, None]) & (ch > 0)[:, None, None], axis=2, bitorder="little").view("<u8")[:, :, 0]
+        carry = np.zeros(len(a), np.uint64)
+        for w in range(words):
+            both = row[:, w] & hit[:, w]
+            total = row[:, w] + both + carry
+            carry = total >> np.uint64(_WORD)
+            row[:, w] = (total & full) | (row[:, w] & ~both)
+    # bits that were cleared are places of the subsequence; those beyond a text are never hit
+    return (words * _WORD - np.bitwise_count(row).sum(axis=1)).astype(np.int64)
 
 
 def _score_batches(cutoff: float, any_order: bool):
     """Kernel over batches of (i, j, shared, l, r): what two names share as a length, and the
-    rest of each. Bounds are vectorised; only open pairs run the subsequence count."""
+    rest of each. Only pairs that the bounds leave open are counted, those of similar length
+    together."""
 
     def run(batches):
         for batch in batches:
@@ -59,9 +87,12 @@ def _score_batches(cutoff: float, any_order: bool):
             bound = 100.0 - 100.0 * np.abs(l_len - r_len) / np.maximum(total, 1)
             still_open = (bound >= cutoff) & (bound > best) & (total > 0)
             left, right = batch["l"].to_numpy(), batch["r"].to_numpy()
-            for k in np.flatnonzero(still_open):
-                distance = l_len[k] + r_len[k] - 2 * _common_length(left[k], right[k])
-                best[k] = max(best[k], 100.0 - 100.0 * distance / total[k])
+            pairs = np.flatnonzero(still_open)
+            pairs = pairs[np.argsort(np.maximum(l_len[pairs], r_len[pairs]), kind="stable")]
+            for at in range(0, len(pairs), PAIRS):
+                k = pairs[at : at + PAIRS]
+                distance = l_len[k] + r_len[k] - 2 * common_lengths(list(left[k]), list(right[k]))
+                best[k] = np.maximum(best[k], 100.0 - 100.0 * distance / total[k])
             keep = best >= cutoff
             yield pd.DataFrame({
                 "i": batch["i"][keep], "j": batch["j"][keep],

@@ -86,3 +86,16 @@ def duplicate_map(df: DataFrame, key: str, exclude: list[str] | None = None) ->
     return salted_join(slim, survivors, "_key", "inner").filter("pipeline_id <> survivor_id").select(
         F.col("pipeline_id").alias("removed_id"), "survivor_id"
     )
+
+
+def last_survivors(*passes: DataFrame) -> DataFrame:
+    """(removed_id, survivor_id) of several passes in a row, each a map of its own: what an earlier
+    pass kept and a later one removed is followed to the end. Only ids are shuffled; a survivor
+    that many rows point to is spread over partitions."""
+    whole = passes[0]
+    for later in passes[1:]:
+        onward = later.select(F.col("removed_id").alias("survivor_id"), F.col("survivor_id").alias("_next"))
+        moved = salted_join(whole, onward, "survivor_id").select(
+            "removed_id", F.coalesce("_next", "survivor_id").alias("survivor_id"))
+        whole = moved.unionByName(later.select("removed_id", "survivor_id"))
+    return whole

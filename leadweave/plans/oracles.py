@@ -350,6 +350,21 @@ j AS (SELECT merged.*, found, CASE WHEN website <> '' THEN coalesce(alive, false
 SELECT company_name, CASE WHEN website_alive AND coalesce(email, '') = '' AND found IS NOT NULL THEN found ELSE email END AS email,
   phone_normalized, website, website_alive, needs_review FROM j"""
 
+_BY_NAME = f"""{LEADS.replace("WITH", "WITH RECURSIVE", 1)}, {BY_PHONE}, {BY_BOTH},
+n AS (SELECT ord, company_name_normalized FROM by_both WHERE company_name_normalized <> ''), {_greedy('n')},
+owned AS ({_OWNED.format(names="n", tokens=_TOKENS)}), flagged AS ({_FLAGGED})"""
+ORACLES["chain_duplicate_map"] = f"""{_BY_NAME},
+phone AS (SELECT a.ord AS x, b.ord AS y FROM by_phone_r a JOIN by_phone_r b ON a.g = b.g AND b.rn = 1 WHERE a.rn > 1),
+mail AS (SELECT a.ord AS x, b.ord AS y FROM by_both_r a JOIN by_both_r b ON a.g = b.g AND b.rn = 1 WHERE a.rn > 1),
+gone AS (SELECT x, y FROM phone UNION ALL SELECT x, y FROM mail UNION ALL SELECT ord, owner_ord FROM owned),
+trail AS (SELECT x, y FROM gone UNION ALL SELECT trail.x, gone.y FROM trail JOIN gone ON trail.y = gone.x)
+SELECT CAST(x AS VARCHAR) AS removed_id, CAST(y AS VARCHAR) AS survivor_id FROM trail WHERE y NOT IN (SELECT x FROM gone)"""
+ORACLES["saved_run"] = f"""{_BY_NAME},
+left_over AS (SELECT ord FROM by_both WHERE ord NOT IN (SELECT ord FROM owned)),
+c AS (SELECT count(*) AS n, count(flagged_by) AS f FROM left_over LEFT JOIN flagged USING (ord))
+SELECT 'task-1' AS task_id, (SELECT count(*) FROM admitted) AS total_scraped, (SELECT count(*) FROM admitted) AS total_cleaned, n AS total_deduped,
+  n AS companies, n AS ids, f AS for_review FROM c"""
+
 # --- the chain's own stage table
 
 _CHAIN = f"""{LEADS}, {_SITES}, s AS (

@@ -13,8 +13,9 @@ from leadweave import schemas
 from leadweave.operators.admission import admit, with_pipeline_id
 from leadweave.operators.cleaning import clean_strings
 from leadweave.operators.enrichment import enrich, enrich_counters
-from leadweave.operators.exact_dedup import dedup_exact
-from leadweave.operators.fuzzy_dedup import AUTO_MERGE, REVIEW, dedup_fuzzy, fuzzy_counters
+from leadweave.operators.exact_dedup import dedup_exact, duplicate_map, last_survivors
+from leadweave.operators.fuzzy_dedup import (
+    AUTO_MERGE, REVIEW, dedup_fuzzy, fuzzy_counters, record_owners, resolve_leaders)
 from leadweave.operators.validation import validate_fields, validator_counters
 from leadweave.session import cut_lineage
 
@@ -84,6 +85,27 @@ def exact_passes(df: DataFrame, generic_emails: list[str] | None = None) -> Data
     return dedup_exact(by_phone, "email", "_email_absorbed", generic_emails)
 
 
+def chain_duplicates(
+    df: DataFrame,
+    auto: int = AUTO_MERGE,
+    review: int = REVIEW,
+    scorer: str = "token_set_ratio",
+    generic_emails: list[str] | None = None,
+    **batching: int,
+) -> DataFrame:
+    """(removed_id, survivor_id) over the phone, e-mail and name passes: every removed lead with
+    the lead that stands for it at the end."""
+    by_phone = cut_lineage(dedup_exact(df, "phone_normalized", "_phone_absorbed"))
+    by_both = cut_lineage(dedup_exact(by_phone, "email", "_email_absorbed", generic_emails))
+    found = resolve_leaders(by_both, auto, review, scorer, **batching)
+    ids = by_both.select("ord", "pipeline_id")
+    by_name = record_owners(by_both, found, auto, scorer).join(ids, "ord").join(
+        ids.select(F.col("ord").alias("owner_ord"), F.col("pipeline_id").alias("survivor_id")), "owner_ord").select(
+        F.col("pipeline_id").alias("removed_id"), "survivor_id")
+    return last_survivors(
+        duplicate_map(df, "phone_normalized"), duplicate_map(by_phone.drop("_phone_absorbed"), "email", generic_emails), by_name)
+
+
 def enrich_stage(site_pages: DataFrame) -> Stage:
     return Stage("enricher", lambda df: enrich(df, site_pages), enrich_counters(), remembers=("email",))
 

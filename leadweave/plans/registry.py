@@ -216,6 +216,12 @@ def duplicate_map(spark, sf):
     return exact_dedup.duplicate_map(_prepared(spark, sf), "phone_normalized")
 
 
+@query
+def chain_duplicate_map(spark, sf):
+    """Every lead that any pass removes, with the lead that stands for it at the end."""
+    return pipeline.chain_duplicates(_prepared(spark, sf))
+
+
 @query
 def dedup_counters(spark, sf):
     by_phone = exact_dedup.dedup_exact(_prepared(spark, sf), "phone_normalized", "_phone")
@@ -363,6 +369,19 @@ def chain_totals(spark, sf):
     return pipeline.task_totals(_chain(spark, sf).stats_frame(spark, "task-1"))
 
 
+@query
+def saved_run(spark, sf):
+    """The chain with its deduplicator, its companies saved twice by one task, and the totals of
+    its stage rows beside what is in the company table then."""
+    run = pipeline.process_batch(views.raw_leads(spark, sf), ["source", "source_url"], "lead_id")
+    path = f"{ensure_checkpoint_dir(spark)}/companies-{uuid.uuid4().hex}"
+    for _ in range(2):
+        leads_io.save_companies(leads_io.to_companies(run.leads, "task-1"), path)
+    saved = spark.read.parquet(path).groupBy("task_id").agg(
+        F.count(F.lit(1)).alias("companies"), F.countDistinct("id").alias("ids"), F.count_if("needs_review").alias("for_review"))
+    return pipeline.task_totals(run.stats_frame(spark, "task-1")).join(saved, "task_id")
+
+
 @query
 def chain_history(spark, sf):
     return pipeline.stage_history(_chain(spark, sf).stats_frame(spark, "task-1"), "task-1").select("step", "stage", "count_out")

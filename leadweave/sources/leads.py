@@ -57,4 +57,6 @@ def to_companies(leads: DataFrame, task_id: str) -> DataFrame:
 
 
 def save_companies(companies: DataFrame, path: str) -> None:
-    companies.write.mode("append").partitionBy("task_id").parquet(path)
+    """Save the companies of tasks. A task that is run again replaces what it saved before; the
+    files of other tasks stay as they are, and a run that fails changes nothing."""
+    companies.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("task_id").parquet(path)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from leadweave.functions import name_keys
-from leadweave.functions.similarity import _common_length
+from leadweave.functions.similarity import common_lengths
 from leadweave.operators import exact_dedup, fuzzy_dedup
 from leadweave.plans.pipeline import exact_passes
 
@@ -78,7 +78,7 @@ def test_exact_passes_equal_model(spark, seed):
 
 
 def indel(a, b):
-    return len(a) + len(b) - 2 * _common_length(a, b)
+    return len(a) + len(b) - 2 * int(common_lengths([a], [b])[0])
 
 
 def score(a, b, cutoff, scorer="token_set_ratio"):
@@ -236,3 +236,22 @@ def test_empty_and_nameless(spark):
     df = leads(spark, [{"name": "", "norm": ""}, {"name": " ", "norm": None}])
     out, found = fuzzy_dedup.dedup_fuzzy(df)
     assert out.count() == 2 and found.leaders.count() == 0
+
+
+def test_common_lengths_against_tables():
+    rnd = random.Random(6)
+
+    def text():
+        return "".join(rnd.choice("abcd éü😀") for _ in range(rnd.choice([0, 1, 7, 30, 62, 63, 64, 130])))
+
+    def table(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = row[:]
+            for k, y in enumerate(b):
+                row[k + 1] = before[k] + 1 if x == y else max(row[k], before[k + 1])
+        return row[-1]
+
+    left, right = [text() for _ in range(120)], [text() for _ in range(120)]
+    assert common_lengths(left, right).tolist() == [table(a, b) for a, b in zip(left, right, strict=True)]
+    assert common_lengths([], []).tolist() == []
