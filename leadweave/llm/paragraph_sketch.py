@@ -4,7 +4,7 @@ A text is a multiset of paragraphs: its lines, cut after sentence ends (``.``, `
 before a blank), and where no sentence ends for ``LONG`` words, after words whose hash says so,
 so that an edit soon moves no cut any more, or else after ``LONG`` words; words of over
 ``LONG_WORD`` bytes every ``LONG_WORD`` bytes. Blank paragraphs don't count. The n-th occurrence of a
-paragraph is a key of its own: 64 bits of the paragraph's XXH64 mixed with n.
+paragraph is a key of its own: a 64-bit hash of the paragraph mixed with n.
 
 A sketch has ``cells`` cells in three equal tables; a key is added to one cell of each: the cell
 counts it and XORs it and a check of it. Sketches subtract cell by cell, and what both versions
@@ -23,67 +23,72 @@ Other columns pass through in one struct, whatever their names; an empty table g
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadweave.llm.common import PIECE_BYTES, mixed, run_starts, written
+from leadweave.llm.common import WHITESPACE, mixed, run_starts, span_hashes, text_pieces, word_spans
 
 CELLS = 12
 TABLES = 3
 GROWTH = 4
 LONG = 16
 LONG_WORD = 128
-_CUT = re.compile(rb"\n|(?<=[.!?])[ \t\r\x0b\x0c]+")
-_BLANK = b" \t\r\x0b\x0c"
+_SENTENCE_END = np.zeros(256, bool)
+_SENTENCE_END[list(b".!?")] = True
 _SALTS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
 # --- paragraphs ----------------------------------------------------------------------------
 
 
+def paragraph_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of the paragraphs of a piece of texts, and the row of each."""
+    starts, ends, first = word_spans(data, bounds, ~WHITESPACE)
+    n = len(starts)
+    if not n:
+        return starts, ends, starts
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(first))
+    feeds = np.append(0, np.cumsum(data == 10))
+    begins = run_starts(row)
+    begins[1:] |= feeds[starts[1:]] > feeds[ends[:-1]]
+    begins[1:] |= _SENTENCE_END[data[ends[:-1] - 1]]
+    sentence = np.cumsum(begins) - 1
+    long = np.bincount(sentence)[sentence] >= LONG
+    said = long & (span_hashes(data, starts, ends) % np.uint64(8) == 0)
+    begins[1:] |= said[:-1]
+    huge = ends - starts > LONG_WORD
+    begins |= huge
+    begins[1:] |= huge[:-1]
+    at = np.flatnonzero(begins)
+    place = np.arange(n) - np.repeat(at, np.diff(np.append(at, n)))
+    at = np.flatnonzero(begins | (long & (place % LONG == 0)))
+    low, high, owner = starts[at], ends[np.append(at[1:], n) - 1], row[at]
+    pieces = np.where(huge[at], -(-(high - low) // LONG_WORD), 1)
+    nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    low, high, owner, whole = (np.repeat(x, pieces) for x in (low, high, owner, pieces == 1))
+    low = low + nth * LONG_WORD
+    return low, np.where(whole, high, np.minimum(high, low + LONG_WORD)), owner
+
+
 def paragraphs(text: bytes) -> list[bytes]:
     """The paragraphs of a UTF-8 text, in order."""
-    out = []
-    for piece in _CUT.split(text):
-        piece = piece.strip(_BLANK)
-        if piece and piece.count(b" ") < LONG and len(piece) <= LONG_WORD:
-            out.append(piece)
-        elif piece:
-            out.extend(_cut(piece.split(b" ")))
-    return out
-
-
-def _cut(words: list[bytes]) -> Iterator[bytes]:
-    """A long line without sentence ends, in runs of words."""
-    start = 0
-    for k, word in enumerate(words):
-        if len(word) > LONG_WORD:
-            yield b" ".join(words[start:k]).strip(_BLANK)
-            yield from (word[at : at + LONG_WORD] for at in range(0, len(word), LONG_WORD))
-            start = k + 1
-        elif len(words) >= LONG and (k - start + 1 == LONG or xxhash.xxh64_intdigest(word) % 8 == 0):
-            yield b" ".join(words[start : k + 1]).strip(_BLANK)
-            start = k + 1
-    yield b" ".join(words[start:]).strip(_BLANK)
-
-
-def paragraph_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all paragraphs and the row each belongs to. No two keys of a row are equal."""
-    found = [[p for p in paragraphs(t) if p] for t in texts]
-    n = np.array([len(x) for x in found], np.int64)
-    digests = np.fromiter((xxhash.xxh64_intdigest(p) for x in found for p in x), np.uint64, int(n.sum()))
-    owner = np.repeat(np.arange(len(texts)), n)
+    low, high, _ = paragraph_spans(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    return [text[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+
+
+def paragraph_keys(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all paragraphs of a piece and the row each belongs to. No two of a row are equal."""
+    low, high, owner = paragraph_spans(data, bounds)
+    digests = span_hashes(data, low, high)
     order = np.lexsort((digests, owner))
     digests, owner = digests[order], owner[order]
-    first = run_starts(owner, digests) if len(owner) else np.zeros(0, bool)
+    first = run_starts(owner, digests)
     place = np.arange(len(owner))
-    occurrence = place - np.maximum.accumulate(np.where(first, place, 0))
+    occurrence = place - np.maximum.accumulate(np.where(first, place, 0)) if len(owner) else place
     return mixed(digests + occurrence.astype(np.uint64) * _SALTS[0]), owner
 
 
@@ -189,15 +194,17 @@ def _verdicts(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.n
         names=["only_left", "only_right", "n_left", "n_right", "cells", "likeness"])
 
 
-def _pieces(batch: pa.RecordBatch, columns: list[str]) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
-    """Whole rows in pieces of about ``PIECE_BYTES`` of text, each with its texts by column."""
-    texts = [batch.column(c).cast(pa.large_binary()).to_pylist() for c in columns]
-    start, held = 0, 0
-    for row in range(batch.num_rows):
-        held += sum(len(t[row] or b"") for t in texts)
-        if held >= PIECE_BYTES or row == batch.num_rows - 1:
-            yield batch.slice(start, row + 1 - start), [[x or b"" for x in t[start : row + 1]] for t in texts]
-            start, held = row + 1, 0
+def _pieces(batch: pa.RecordBatch, columns: list[str]) -> Iterator[tuple[pa.RecordBatch, list[tuple[np.ndarray, np.ndarray]]]]:
+    """Whole rows in pieces of about ``PIECE_BYTES`` of the first column's text, each with the
+    bytes and bounds of its texts by column."""
+    for rows, _, _ in text_pieces(batch, columns[0]):
+        held = []
+        for c in columns:
+            alike = [(data, bounds) for _, data, bounds in text_pieces(rows, c)]
+            start = np.cumsum([0] + [len(data) for data, _ in alike])
+            held.append((np.concatenate([data for data, _ in alike]), np.concatenate(
+                [bounds[:-1] + at for (_, bounds), at in zip(alike, start[:-1], strict=True)] + [start[-1:]])))
+        yield rows, held
 
 
 def compare(versions: DataFrame, base: str, others: list[str], cells: int = CELLS) -> DataFrame:
@@ -213,7 +220,7 @@ def compare(versions: DataFrame, base: str, others: list[str], cells: int = CELL
         for batch in batches:
             for rows, texts in _pieces(batch, [f"text{k}" for k in range(len(columns))]):
                 n = rows.num_rows
-                keyed = [paragraph_keys(t) for t in texts]
+                keyed = [paragraph_keys(*t) for t in texts]
                 prints = [pa.array(hex_sketches(*k, n, cells)) for k in keyed]
                 verdicts = [_verdicts(keyed[0], k, n, cells) for k in keyed[1:]]
                 yield pa.record_batch([rows.column("given"), *prints, *verdicts], names=["given", *names])
@@ -227,8 +234,8 @@ def compare(versions: DataFrame, base: str, others: list[str], cells: int = CELL
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
-    """given (struct of the row), following (string): the text of the row next in descending
-    order of the id; the last is followed by the first. Rows of one id follow each other by
+    """given (struct of the row's other columns), text, following (string): the text of the row
+    next in descending order of the id; the last is followed by the first. Rows of one id follow each other by
     text, rows without an id come last, by a hash of their text.
 
     Rows are dealt once, with their texts, to ranges of the id. Where ranges meet is fixed
@@ -258,12 +265,13 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     loose = F.when(ident.isNull(), F.xxhash64(text)).otherwise(F.lit(0).cast("long")) if nameless else F.lit(0).cast("long")
     width = -(-(1 << 64) // wanted)
     last = F.lit(len(splits) + 1) + F.floor((F.lit(2.0**63) - F.col("hash")) / F.lit(float(width))).cast("int")
-    dealt = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given"), ident.alias("id"), loose.alias("hash"), text.alias("text"))
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
+    dealt = docs.select(others.alias("given"), ident.alias("id"), loose.alias("hash"), text.alias("text"))
     place = bucket_of("id") if not nameless else F.when(F.col("id").isNull(), last).otherwise(bucket_of("id"))
     dealt = dealt.withColumn("bucket", place)
     firsts = sorted(dealt.groupBy("bucket").agg(F.max(F.struct(F.col("id").isNotNull().alias("has"), "id", "hash")).alias("top")).collect())
     if not firsts:
-        return dealt.select("given", F.col("text").alias("following"))
+        return dealt.select("given", "text", F.col("text").alias("following"))
     schema = dealt.select("bucket", F.col("bucket").alias("to"), "id", "hash").schema
     guests = spark.createDataFrame(
         [(b, firsts[k - 1][0], top["id"], top["hash"]) for k, (b, top) in enumerate(firsts)], schema
@@ -275,7 +283,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     sent = dealt.join(F.broadcast(guests), F.col("bucket") == F.col("of")).select(
         "given", "id", "hash", "text", F.inline(F.when(is_first, F.array(here, there)).otherwise(F.array(here))))
     order = Window.partitionBy("bucket").orderBy("guest", F.col("id").desc_nulls_last(), F.col("hash").desc(), F.col("text").desc_nulls_last())
-    return sent.withColumn("following", F.lead("text").over(order)).filter("guest = 0").select("given", "following")
+    return sent.withColumn("following", F.lead("text").over(order)).filter("guest = 0").select("given", "text", "following")
 
 
 def edited(text, following):

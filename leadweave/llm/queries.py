@@ -275,8 +275,7 @@ FROM coded JOIN kept USING (r), book"""
 def op12_paragraph_sketch(spark: SparkSession, sf: str) -> DataFrame:
     """Against its edited text and the next document's, by what the sketches give up."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    text, following = F.col("given.text"), F.col("following")
-    versions = paragraph_sketch.with_next(docs).select(F.col("given.doc_id").alias("doc_id"), text.alias("text"), following.alias("next")).select(
+    versions = paragraph_sketch.with_next(docs).select("given.doc_id", "text", F.col("following").alias("next")).select(
         "doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), "text",
         paragraph_sketch.edited(F.col("text"), F.col("next")).alias("edited"), "next")
     hashed = versions.withColumn("edited_sha256", F.sha2("edited", 256))

@@ -75,22 +75,22 @@ def test_next_document(spark):
     rows = [(i, f"text {i}") for i in ids]
     for buckets in (1, 7, 40):
         df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
-        got = [(r[0], r[1], r[2]) for r in S.with_next(df, buckets=buckets).select("given.doc_id", "given.text", "following").collect()]
+        got = [(r[0], r[1], r[2]) for r in S.with_next(df, buckets=buckets).select("given.doc_id", "text", "following").collect()]
         assert sorted(got) == sorted(chain(rows)), buckets
     names = [(f"id{i:07d}é", t) for i, t in rows]
     df = spark.createDataFrame(names, "doc_id string, text string")
-    got = [tuple(r) for r in S.with_next(df, buckets=9).select("given.doc_id", "given.text", "following").collect()]
+    got = [tuple(r) for r in S.with_next(df, buckets=9).select("given.doc_id", "text", "following").collect()]
     assert sorted(got) == sorted(chain(names))
 
 
 def test_next_of_odd_rows(spark, odd_docs):
     out = S.with_next(odd_docs, buckets=5)
-    assert out.count() == odd_docs.count() and out.select("given.*").columns == odd_docs.columns
+    assert out.count() == odd_docs.count() and out.select("given.*").columns == [c for c in odd_docs.columns if c != "text"]
     assert S.with_next(odd_docs.limit(0)).count() == 0
     one = spark.createDataFrame([(1, "only")], "doc_id long, text string")
     assert S.with_next(one).select("following").first()[0] == "only"
     nameless = spark.createDataFrame([(None, f"t{k}") for k in range(30)] + [(5, "five"), (6, None)], "doc_id long, text string")
-    got = [tuple(r) for r in S.with_next(nameless, buckets=4).select("given.doc_id", "given.text", "following").collect()]
+    got = [tuple(r) for r in S.with_next(nameless, buckets=4).select("given.doc_id", "text", "following").collect()]
     assert Counter(x[1] for x in got) == Counter(x[2] for x in got)  # a ring: every row follows one
     assert (6, None, "five") in got and len(got) == 32
 
