@@ -442,6 +442,23 @@ ORACLES["extract_pages"] = f"""WITH {_LD}, apps AS ({ORACLES['app_state']}), car
     CAST(NULL AS VARCHAR) AS website, c.url AS source_url FROM cards c LEFT JOIN ld ON c.page_id = ld.page_id AND c.idx = ld.idx
   UNION ALL SELECT 'crunchbase', page_id, idx, company_name, NULL, website, 'https://discover.example.org/' || page_id FROM apps
   UNION ALL SELECT 'crunchbase', s_suppkey, 0, 'Grid ' || s_name, NULL, '/o/' || s_suppkey, 'https://discover.example.org/' || s_suppkey FROM supplier WHERE s_suppkey % 4 = 0"""
+ORACLES["pages_to_companies"] = f"""WITH RECURSIVE x AS ({ORACLES["extract_pages"]}),
+  page AS (SELECT kind AS source, kind || '-' || s_nationkey AS crawl, CAST(s_suppkey AS BIGINT) AS page_id, s_suppkey % 9 <> 4 AS fetched
+    FROM supplier, (SELECT unnest(['yelp', 'crunchbase']) AS kind)),
+  item AS (SELECT source, crawl, page_id, company_name, source_url, row_number() OVER (PARTITION BY source, page_id ORDER BY idx) - 1 AS k
+    FROM x JOIN page USING (source, page_id) WHERE fetched AND page_id % 17 <> 16 AND company_name <> ''),
+  cp AS (SELECT page.source, page.crawl, page.page_id, fetched, count(k) AS n FROM page LEFT JOIN item USING (source, page_id) GROUP BY ALL),
+  seen AS (SELECT *, coalesce(sum(n) OVER w, 0) AS items_before, coalesce(sum(CASE WHEN fetched AND n = 0 THEN 1 ELSE 0 END) OVER w, 0) AS stops FROM cp
+    WINDOW w AS (PARTITION BY crawl ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  visited AS (SELECT * FROM seen WHERE stops = 0 AND items_before < 12),
+  taken AS (SELECT i.source, page_id * 10 + k * 2 + CASE WHEN i.source = 'yelp' THEN 1 ELSE 0 END AS ord, {_clean('company_name')} AS company_name
+    FROM item i JOIN visited USING (source, page_id) WHERE items_before + k < 12),
+  n AS (SELECT ord, source, {NAME} AS company_name_normalized FROM taken), {_greedy('n')},
+  owned AS ({_OWNED.format(names="n", tokens=_TOKENS)}), flagged AS ({_FLAGGED}),
+  s AS (SELECT source, count(*) AS companies, count(flagged_by) AS for_review FROM n LEFT JOIN flagged USING (ord) WHERE ord NOT IN (SELECT ord FROM owned) GROUP BY source),
+  c AS (SELECT crawl, source, count(*) FILTER (WHERE fetched) AS done, count(*) FILTER (WHERE NOT fetched) AS skipped, least(sum(n), 12) AS items FROM visited GROUP BY ALL)
+  SELECT source, count(*) AS crawls, CAST(sum(done) AS BIGINT) AS pages_scraped, CAST(sum(skipped) AS BIGINT) AS pages_skipped, CAST(sum(items) AS BIGINT) AS items,
+    max(companies) AS companies, max(for_review) AS for_review FROM c LEFT JOIN s USING (source) GROUP BY source"""
 _CRAWL = f"""cp AS ({_v('CRAWL_PAGES')}), seen AS (SELECT *, CAST(coalesce(sum(n_items) OVER (PARTITION BY crawl ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS items_before,
     coalesce(sum(CASE WHEN fetched AND n_items = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY crawl ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stops FROM cp),
   visited AS (SELECT crawl, page, fetched, n_items, items_before FROM seen WHERE stops = 0 AND items_before < 60)"""

@@ -14,7 +14,7 @@ from leadweave.operators import crawl, dashboard, enrichment, exact_dedup, extra
 from leadweave.operators import validation
 from leadweave.operators.admission import admit, with_pipeline_id
 from leadweave.operators.cleaning import clean_strings
-from leadweave.plans import pipeline, views
+from leadweave.plans import flow, pipeline, views
 from leadweave.session import ensure_checkpoint_dir, stored_path, stored_table
 from leadweave.sources import configs, exports, leads as leads_io, pages as pages_io
 from leadweave.streaming import leads as stream_leads
@@ -756,6 +756,19 @@ def crawl_summary(spark, sf):
     return crawl.crawl_summary(crawl.visited_pages(views.crawl_pages(spark, sf), 60), 60)
 
 
+@query
+def pages_to_companies(spark, sf):
+    """Stored pages to saved companies: crawls end by the stop rule over their own listings."""
+    path = f"{ensure_checkpoint_dir(spark)}/companies-{uuid.uuid4().hex}"
+    order = F.col("page_id") * 10 + F.col("idx") * 2 + (F.col("source") == "yelp").cast("int")
+    done = flow.pages_to_companies(views.flow_pages(spark, sf), order, "task-1", path, limit=12, scraped_at=F.lit("2026-01-01"))
+    saved = spark.read.parquet(path).groupBy("source").agg(F.count(F.lit(1)).alias("companies"), F.count_if("needs_review").alias("for_review"))
+    crawls = done.summary.groupBy(F.split_part("crawl", F.lit("-"), F.lit(1)).alias("source")).agg(
+        F.count(F.lit(1)).alias("crawls"), F.sum("pages_scraped").alias("pages_scraped"),
+        F.sum("pages_skipped").alias("pages_skipped"), F.sum("items").alias("items"))
+    return crawls.join(saved, "source", "left")
+
+
 # --- progress messages ---------------------------------------------------------------------
 
 

@@ -143,6 +143,15 @@ FROM pages
 """
 
 
+# The directory pages of both kinds as crawls of their source and nation: some pages hold no
+# listing, some could not be fetched.
+FLOW_PAGES = """
+SELECT concat(source, '-', CAST(s_nationkey AS STRING)) AS crawl, page_id AS page, source, page_id, url,
+  CASE WHEN page_id % 9 = 4 THEN NULL WHEN page_id % 17 = 16 THEN '<html><body><p>nothing here</p></body></html>' ELSE html END AS html
+FROM (SELECT * FROM ld_pages UNION ALL SELECT * FROM app_pages) p JOIN supplier ON s_suppkey = page_id
+"""
+
+
 def for_engine(sql: str, engine: str = "spark") -> str:
     """``EACH(a, b)`` repeats a row once per value, spelled the way the engine wants it."""
     call = r"explode(array(\1))" if engine == "spark" else r"unnest([\1])"
@@ -165,6 +174,12 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(TASKS)
 
 
+def flow_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    json_ld_pages(spark, sf_dir).createOrReplaceTempView("ld_pages")
+    app_state_pages(spark, sf_dir).createOrReplaceTempView("app_pages")
+    return spark.sql(FLOW_PAGES)
+
+
 def stage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks(spark, sf_dir).createOrReplaceTempView("tasks")
     return spark.sql(for_engine(STAGE_STATS))
