@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadweave.operators.key_filter import key_filter
+
 
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id's text modulo ``folds``; NULL for a NULL id."""
@@ -23,10 +25,12 @@ def usable_labels(labels: DataFrame, label_col: str, folds: int, which: int) ->
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, folds: int, which: int, text_col: str = "text") -> DataFrame:
-    """(text, label) of every labelled document outside the held-out fold; the join is planned
-    by the size of the labels."""
-    given = docs.select("doc_id", F.col(text_col).alias("text"))
-    return given.join(usable_labels(labels, label_col, folds, which), "doc_id").select("text", F.col("_label").alias("label"))
+    """(text, label) of every labelled document outside the held-out fold. A Bloom filter of the
+    labelled ids drops the other texts where they are read; the rest are merged with the labels
+    in one way at every size."""
+    known = usable_labels(labels, label_col, folds, which)
+    given = docs.select("doc_id", F.col(text_col).alias("text")).filter(key_filter(known, F.col("doc_id"))(F.col("doc_id")))
+    return given.join(known.hint("merge"), "doc_id").select("text", F.col("_label").alias("label"))
 
 
 def training_sample(
