@@ -15,22 +15,28 @@ LISTING_SCHEMA = "page_id bigint, source string, url string, idx int, fields map
 _LD_SCRIPT = r"""(?is)<script[^>]*type\s*=\s*['"]?application/ld\+json['"]?[^>]*>(.*?)</script>"""
 
 
+_LISTING = "(listing)"
+
+
+def _selectors(configs: list[dict]) -> dict[str, dict[str, str]]:
+    """Per source the selectors of its description, that of its listings among them."""
+    return {c["name"]: {_LISTING: c["listing_selector"], **{k: v for k, v in c["selectors"].items() if v}} for c in configs}
+
+
 def extract_listings(pages: DataFrame, configs: list[dict] = BUILT_IN) -> DataFrame:
     """(page_id, source, url, idx, fields): each container matched by the listing selector of
     the page's source, with the first match of every field selector, stripped. Containers
     without any field keep their place, so positions line up with JSON-LD objects."""
-    rules = {c["name"]: (c["listing_selector"],
-                         {k: v for k, v in c["selectors"].items() if v}) for c in configs}
+    rules = _selectors(configs)
 
     def read(batches):
+        programs = {source: H.Program(of, _LISTING) for source, of in rules.items()}
         for batch in batches:
             rows = []
             for page_id, source, url, text in zip(batch.page_id, batch.source, batch.url, batch.html):
                 if source not in rules or text is None:
                     continue
-                listing, selectors = rules[source]
-                for idx, box in enumerate(H.select(H.parse_html(text), listing)):
-                    found = {name: H.first(box, css) for name, css in selectors.items()}
+                for idx, found in enumerate(H.PageScan.of(programs[source], text).boxes):
                     fields = {name: value.strip() for name, value in found.items() if value}
                     rows.append((page_id, source, url, idx, fields))
             yield pd.DataFrame(rows, columns=["page_id", "source", "url", "idx", "fields"])
@@ -191,18 +197,17 @@ def extract_pages(
 def selector_coverage(pages: DataFrame, configs: list[dict] = BUILT_IN) -> DataFrame:
     """Per source and selector: pages read, matches over whole pages, whether it found nothing.
     The listing selector is reported under the field name ``(listing)``."""
-    rules = {c["name"]: {"(listing)": c["listing_selector"],
-                         **{k: v for k, v in c["selectors"].items() if v}} for c in configs}
+    rules = _selectors(configs)
 
     def count(batches):
+        programs = {source: H.Program(of) for source, of in rules.items()}
         for batch in batches:
             rows = []
             for source, text in zip(batch.source, batch.html):
                 if source not in rules or text is None:
                     continue
-                tree = H.parse_html(text)
-                rows += [(source, field, css, sum(1 for _ in H.select(tree, css)))
-                         for field, css in rules[source].items()]
+                counts = H.PageScan.of(programs[source], text).counts
+                rows += [(source, field, css, n) for (field, css), n in zip(rules[source].items(), counts)]
             yield pd.DataFrame(rows, columns=["source", "field", "selector", "n"])
 
     counted = pages.select("source", "html").mapInPandas(

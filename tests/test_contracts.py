@@ -3,7 +3,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-from leadweave.functions import html as H
 from leadweave.functions import urls
 from leadweave.operators import companies, dashboard
 from leadweave.operators.exact_dedup import dedup_exact
@@ -12,6 +11,8 @@ from leadweave.plans import pipeline
 from leadweave.session import salted_join
 from leadweave.sources import configs, leads, pages
 
+import html_tree as H
+
 
 def test_long_queries_are_different_pages(spark):
     long = "the best plumbing and heating companies of the whole valley, part "

@@ -1,10 +1,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from leadweave.functions import html as H
 from leadweave.operators import crawl, extraction
 from leadweave.sources import configs, pages
 
+import html_tree as H
+
 CARDS = """<html><body>
 <div class="result"><a class="business-name">Acme Plumbing</a><div class="phones"> (555) 111-1111 </div>
   <a class="track-visit-website" href="https://acme.com">Website</a><div class="categories"><a>Plumbing</a><a>Drains</a></div></div>
