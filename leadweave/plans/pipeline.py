@@ -1,6 +1,7 @@
 """The stage chain: admit -> clean -> validate -> deduplicate -> (enrich), with counters."""
 
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
@@ -17,7 +18,7 @@ from leadweave.operators.exact_dedup import dedup_exact, duplicate_map, last_sur
 from leadweave.operators.fuzzy_dedup import (
     AUTO_MERGE, REVIEW, dedup_fuzzy, fuzzy_counters, record_owners, resolve_leaders)
 from leadweave.operators.validation import validate_fields, validator_counters
-from leadweave.session import cut_lineage
+from leadweave.session import cut_lineage, drop_folder, ensure_checkpoint_dir
 
 _IDENTITY = ("pipeline_id",)
 
@@ -26,22 +27,24 @@ _IDENTITY = ("pipeline_id",)
 class Stage:
     """A named ``DataFrame -> DataFrame`` step. ``counters`` are aggregates over its output,
     measured while the output is written; they may refer to ``_before``, a struct of the input
-    columns in ``remembers``. ``late_counters`` is called with the input count after the stage."""
+    columns in ``remembers``. ``late_counters`` is called with the input count after the stage.
+    ``by_row``: each row is judged by itself, so that the stage may be written with the next."""
 
     name: str
     apply: Callable[[DataFrame], DataFrame]
     counters: list[Column] = field(default_factory=list)
     late_counters: Callable[[int], dict] | None = None
     remembers: tuple[str, ...] = ()
+    by_row: bool = False
 
 
 def clean_stage() -> Stage:
-    return Stage("html_cleaner", lambda df: clean_strings(df, skip=_IDENTITY))
+    return Stage("html_cleaner", lambda df: clean_strings(df, skip=_IDENTITY), by_row=True)
 
 
 def validate_stage(**tables: DataFrame) -> Stage:
     return Stage("field_validator", lambda df: validate_fields(df, **tables), validator_counters(),
-                 remembers=("email", "phone", "website"))
+                 remembers=("email", "phone", "website"), by_row=True)
 
 
 def dedup_stage(
@@ -156,8 +159,9 @@ def _mark(df: DataFrame, name: str) -> Column:
     return F.xxhash64(F.to_json(F.col(name)) if isinstance(kind, T.MapType) else F.col(f"`{name}`"))
 
 
-def _run_stage(df: DataFrame, stage: Stage) -> tuple[DataFrame, dict]:
-    """What a row was before the stage travels as a hash per column, not as a second copy."""
+def _counted(df: DataFrame, stage: Stage) -> tuple[DataFrame, Observation]:
+    """The output of a stage, counted while it is written. What a row was before the stage travels
+    as a hash per column, not as a second copy."""
     given = df.columns
     marked = df.withColumn("_marks", F.array(*[_mark(df, c) for c in given]))
     if stage.remembers:
@@ -174,8 +178,40 @@ def _run_stage(df: DataFrame, stage: Stage) -> tuple[DataFrame, dict]:
         F.count_if(~same).alias("count_modified"),
         *stage.counters,
     )
-    result = cut_lineage(measured.select(kept))
-    return result, dict(watch.get)
+    return measured.select(kept), watch
+
+
+class _Cuts:
+    """Where a run's data stand: one Parquet folder, replaced by the next that is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.base = spark, f"{ensure_checkpoint_dir(spark)}/run-{uuid.uuid4().hex}"
+        self.last = self.next = None
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        self.next = f"{self.base}/{name}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(self.next)
+        return self.spark.read.schema(df.schema).parquet(self.next)
+
+    def settle(self, good: bool) -> None:
+        """Keep what was written last and drop what stood before, or the other way round."""
+        gone = self.last if good else self.next
+        if good:
+            self.last = self.next
+        self.next = None
+        if gone:
+            drop_folder(self.spark, gone)
+
+
+def _fused(stages: list[Stage]) -> list[list[Stage]]:
+    """Stages that may be written together: row stages that follow each other."""
+    groups: list[list[Stage]] = []
+    for stage in stages:
+        if groups and stage.by_row and groups[-1][-1].by_row:
+            groups[-1].append(stage)
+        else:
+            groups.append([stage])
+    return groups
 
 
 def run_pipeline(
@@ -183,38 +219,78 @@ def run_pipeline(
 ) -> PipelineRun:
     """Run the stages in order over admitted leads carrying ``ord`` and ``pipeline_id``.
 
-    Every stage writes its output to the checkpoint folder and is counted while it writes,
-    so a lost executor costs one stage at most and no stage is computed twice. A failing
-    stage reports its error, leaves the data as it was and ends the run.
+    A stage's output is written to the checkpoint folder as a table and counted while it is
+    written, so a lost executor costs one stage at most and no stage is computed twice; row stages
+    that follow each other are written once, each with counts of its own. A cut goes once the
+    next one stands. A failing stage reports its error, leaves the data as it was and ends the
+    run.
     """
-    stats = []
+    stats: list[dict] = []
+    cuts = _Cuts(df.sparkSession)
     count_in = None
-    for stage in stages:
-        if stage.name in skip:
-            continue
+    for group in _fused([s for s in stages if s.name not in skip]):
         if count_in is None:
             count_in = df.count()
-        started = time.time()
-        row = {"step": len(stats) + 1, "stage": stage.name,
-               "created_at": datetime.now(timezone.utc).replace(tzinfo=None), "count_in": count_in, "count_out": count_in,
-               "count_removed": 0, "count_modified": 0, "details": {}, "error": None}
-        stats.append(row)
-        try:
-            out, counts = _run_stage(df, stage)
-            count_out, modified = counts.pop("count_out"), counts.pop("count_modified")
-            if stage.late_counters:
-                counts = {**counts, **stage.late_counters(count_in)}
-            # only a stage that succeeded in every part changes the row and the data
-            row.update(count_out=count_out, count_modified=modified, count_removed=count_in - count_out, details=counts)
-            df, count_in = out, count_out
-        except Exception as problem:  # noqa: BLE001 - any failure of a stage is reported, not raised
-            row["error"] = str(problem)
-        row["duration_ms"] = int((time.time() - started) * 1000)
-        if row["error"]:
+        df, count_in, failed = _run_group(df, group, count_in, stats, cuts)
+        if failed:
             break
     return PipelineRun(df, stats)
 
 
+def _run_group(df: DataFrame, group: list[Stage], count_in: int, stats: list[dict], cuts: _Cuts) -> tuple[DataFrame, int, bool]:
+    started = time.time()
+    if len(group) > 1:
+        try:
+            out, watches = df, []
+            for stage in group:
+                out, watch = _counted(out, stage)
+                watches.append(watch)
+            out = cuts.write(out, "-".join(s.name for s in group))
+            counted = [dict(w.get) for w in watches]
+        except Exception:  # noqa: BLE001 - written one by one, the stage that fails is found
+            cuts.settle(False)
+            for stage in group:
+                df, count_in, failed = _run_group(df, [stage], count_in, stats, cuts)
+                if failed:
+                    return df, count_in, True
+            return df, count_in, False
+        for stage, counts in zip(group, counted, strict=True):
+            count_in = _filled(_stat(stats, stage, count_in), counts, count_in, started)
+        cuts.settle(True)
+        return out, count_in, False
+    stage = group[0]
+    row = _stat(stats, stage, count_in)
+    try:
+        out, watch = _counted(df, stage)
+        out = cuts.write(out, stage.name)
+        counts = dict(watch.get)
+        if stage.late_counters:
+            counts.update(stage.late_counters(count_in))
+        # only a stage that succeeded in every part changes the row and the data
+        count_in = _filled(row, counts, count_in, started)
+        cuts.settle(True)
+        return out, count_in, False
+    except Exception as problem:  # noqa: BLE001 - any failure of a stage is reported, not raised
+        cuts.settle(False)
+        row.update(error=str(problem), duration_ms=int((time.time() - started) * 1000))
+        return df, count_in, True
+
+
+def _stat(stats: list[dict], stage: Stage, count_in: int) -> dict:
+    row = {"step": len(stats) + 1, "stage": stage.name,
+           "created_at": datetime.now(timezone.utc).replace(tzinfo=None), "count_in": count_in, "count_out": count_in,
+           "count_removed": 0, "count_modified": 0, "details": {}, "error": None}
+    stats.append(row)
+    return row
+
+
+def _filled(row: dict, counts: dict, count_in: int, started: float) -> int:
+    count_out, modified = counts.pop("count_out"), counts.pop("count_modified")
+    row.update(count_out=count_out, count_modified=modified, count_removed=count_in - count_out, details=counts,
+               duration_ms=int((time.time() - started) * 1000))
+    return count_out
+
+
 def process_batch(
     raw: DataFrame, key_cols: list[str], ord_col: str, site_pages: DataFrame | None = None,
     skip: tuple[str, ...] = (), tables: dict[str, DataFrame] | None = None, **dedup_options,

@@ -121,6 +121,33 @@ def test_dedup_counters_in_run(spark):
                                        "fuzzy_flagged_review": 0, "total_duplicates": 5}
 
 
+def test_one_cut_is_left(spark):
+    from pathlib import Path
+
+    from leadweave.session import ensure_checkpoint_dir
+
+    def runs():
+        return set(Path(ensure_checkpoint_dir(spark).removeprefix("file:")).rglob("run-*"))
+
+    before = runs()
+    run = pipeline.process_batch(raw(spark), ["lead_id"], "lead_id")
+    assert run.leads.count() == 5 and all(s["error"] is None for s in run.stats)
+    (folder,) = runs() - before
+    assert [p.name.rsplit("-", 1)[0] for p in folder.iterdir() if p.is_dir()] == ["deduplicator"]
+
+    def broken(df):
+        return df.withColumn("phone", F.when(F.col("ord") == 2, F.raise_error(F.lit("no"))).otherwise(F.col("phone")))
+
+    # row stages are written together; the one that fails is named, and what stood before stays
+    rows = raw(spark).withColumns({"pipeline_id": F.col("lead_id").cast("string"), "ord": F.col("lead_id")})
+    before = runs()
+    bad = pipeline.run_pipeline(rows, [pipeline.clean_stage(), pipeline.Stage("broken", broken, by_row=True), pipeline.validate_stage()])
+    assert [(s["stage"], s["error"] is None) for s in bad.stats] == [("html_cleaner", True), ("broken", False)]
+    assert bad.leads.count() == 6 and bad.stats[1]["count_out"] == 6
+    (folder,) = runs() - before
+    assert [p.name.rsplit("-", 1)[0] for p in folder.iterdir() if p.is_dir()] == ["html_cleaner"]
+
+
 def test_failure_and_skip(spark):
     df = raw(spark).withColumns({"pipeline_id": F.col("lead_id").cast("string"), "ord": F.col("lead_id")})
 
