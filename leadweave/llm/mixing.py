@@ -5,20 +5,18 @@ A naive Bayes classifier over ``BUCKETS`` hash buckets of words is fitted on a b
 posteriors of the target domains. Rates r >= 0 per document are fitted by projected gradient
 steps on the weighted least squares
 
-    sum over domains (expected share m_d - target w_d)^2 / s_d,   m_d = sum_i r_i t_i p_id / T
-
-with t_i the words of a document, T all words and s_d the domain's present share. In the metric
-of the words, the step r_i <- max(0, r_i - sum_d p_id (m_d - w_d) / s_d) has a curvature of at
-most 1, so the full step is safe, and where posteriors are sharp it lands at once. The gradient
-is one number per domain, an aggregate over all documents; nothing else reaches the driver. After
-``PLAIN`` steps, or once they hardly bring the shares nearer, Newton steps follow on the dual of
-
-    min  sum_i t_i (r_i - 1)^2 / 2T + sum_d (m_d - w_d)^2 / (2 SOFT s_d),   r_i = max(least, 1 - sum_d p_id l_d)
-
-which has one unknown l_d per domain, and asks for domains x domains numbers a pass. They end at
-its gradient's norm: targets within reach are met to ``tolerance``, others as nearly as rates
-can. Shares that stay off their targets are named in a warning. The residuals or unknowns are literals
-of the rate's expression, which is evaluated over the written table of posteriors.
+    (m - w)' M^-1 (m - w) / 2,   m_d = sum_i r_i t_i p_id / T,   M = sum_i t_i p_i p_i' / T
+
+with t_i the words of a document, T all words, m the expected shares of the domains and w their
+targets. In the metric of the words the gradient is p_i . M^-1 (m - w), and its curvature is 1
+in every direction that moves a share: the full step r_i <- max(least, r_i - p_i . M^-1 (m - w))
+is safe and lands at once where no rate is clipped, however softly the classifier separates the
+domains. Further steps, which settle what is clipped, start from a point that is carried on by
+some of the way made before (Nesterov's acceleration, begun anew where it leads away). Steps end when the shares are met to
+``tolerance`` or the projected gradient vanishes; targets out of reach are then met as nearly as
+rates can, and named in a warning. A pass gives one number per domain; nothing else reaches the
+driver. The steps are literals of the rate's expression, which is evaluated over the written
+table of posteriors.
 
 DataFrame functions only. Counting explodes words in place and sums them up per row before the
 only shuffle, of one row per document.
@@ -43,9 +41,7 @@ from leadweave.llm.common import packed, unpacked, written
 
 BUCKETS = 4096
 LIMIT = 20_000
-STEPS = 60
-PLAIN = 15
-SOFT = 1e-7
+STEPS = 100
 TOLERANCE = 1e-4
 RESULT = ("mark", "n_words", "domain", "posterior", "rate", "copies")
 
@@ -108,86 +104,63 @@ def posteriors(docs: DataFrame, weights: list[list[float]], priors: list[float],
     return shifted.select("given", "mark", "n_words", *[(F.col(f"e{k}") / every).alias(f"p{k}") for k in range(len(logits))])
 
 
-def newton(evaluate, start: np.ndarray, goal: np.ndarray, share: np.ndarray, steps: int, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
-    """Unknowns of the dual and the shares they give. ``evaluate`` gives value, shares and
-    curvature of the dual without its SOFT part, one pass each, of which ``steps`` are made at most."""
-    def at(x: np.ndarray) -> tuple:
-        value, now, curve = evaluate(x)
-        return value + x @ goal + SOFT / 2 * (share * x) @ x, now - goal - SOFT * share * x, curve + np.diag(SOFT * share), now
-
-    x, damping = start, 1e-6
-    value, slope, curve, now = at(x)
-    for _ in range(steps - 1):
-        if np.abs(slope).max() <= tolerance / 2:
-            break
-        step = np.linalg.solve(curve + damping * np.diag(share), slope)
-        tried = at(x + step)
-        if tried[0] <= value - 1e-4 * (slope @ step) + 1e-12 * abs(value):
-            x, (value, slope, curve, now), damping = x + step, tried, damping / 30
-        else:
-            damping = max(damping, 1e-9) * 30
-    return x, now
-
-
 def fitted_rate(members: DataFrame, goals: list[float], keep_all: bool = False, steps: int = STEPS, tolerance: float = TOLERANCE) -> Column:
     """The rate as an expression over p0, p1, ... With ``keep_all`` the token budget is as large
     as it takes to need no domain less than once, and steps are projected to rates of 1 or more;
     else it is the present number of tokens, and rates are 0 or more."""
     n = len(goals)
-    p = [F.col(f"p{k}") for k in range(n)]
-
-    def masses(rate: Column) -> list[float]:
-        row = members.agg(F.sum("n_words"), *[F.sum(rate * F.col("n_words") * x) for x in p]).first()
-        return [float(x or 0) for x in row]
-
-    total, *share = masses(F.lit(1.0))
+    p, words = [F.col(f"p{k}") for k in range(n)], F.col("n_words")
+    places = [(i, j) for i in range(n) for j in range(i + 1)]
+    first = members.agg(F.sum(words), *[F.sum(words * x) for x in p], *[F.sum(words * p[i] * p[j]) for i, j in places]).first()
+    first = [float(x or 0) for x in first]
+    total = first[0]
     if not total:
         return F.lit(1.0)
-    share = [x / total for x in share]
-    live = [k for k in range(n) if share[k] > 1e-12]
-    goal = [g / sum(goals[j] for j in live) if sum(goals[j] for j in live) else 0 for g in goals]
-    if keep_all and any(goal):
-        goal = [g * max(share[k] / goal[k] for k in live if goal[k] > 0) for g in goal]
-    least, gaps, now = 1.0 if keep_all else 0.0, [], share
-
-    def rate() -> Column:
-        """All steps so far as one fold over their gaps: the plan keeps its size."""
-        if not gaps:
-            return F.lit(1.0)
-        return F.aggregate(F.array(*[F.array(*map(F.lit, g)) for g in gaps]), F.lit(1.0), lambda r, g: F.greatest(
-            F.lit(least), r - _total([p[k] * g[k] for k in live])))
-
-    off, before = max((abs(now[k] - goal[k]) for k in live), default=0.0), math.inf
-    for _ in range(min(steps, PLAIN)):
-        if off <= tolerance or off > 0.98 * before:  # there, or hardly nearer than a step before
+    now = np.array(first[1 : n + 1]) / total
+    second = np.zeros((n, n))
+    for (i, j), v in zip(places, first[n + 1 :], strict=True):
+        second[i, j] = second[j, i] = v / total
+    live = [k for k in range(n) if now[k] > 1e-12]
+    weights = np.zeros((n, n))
+    weights[np.ix_(live, live)] = np.linalg.pinv(second[np.ix_(live, live)], rcond=1e-10, hermitian=True)
+    asked = sum(goals[k] for k in live)
+    goal = np.array([goals[k] / asked if k in live and asked else 0.0 for k in range(n)])
+    if keep_all and goal.any():
+        goal = goal * max(now[k] / goal[k] for k in live if goal[k] > 0)
+    least, steps_taken = 1.0 if keep_all else 0.0, []
+
+    def state() -> Column:
+        """All steps so far as one fold, so that the plan keeps its size: the rate r, the point y
+        that the next step starts from (r and some of the way it came), and how far r is from
+        the point before, which is the projected gradient there."""
+        start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"), F.lit(0.0).alias("by"))
+        if not steps_taken:
+            return start
+
+        def step(s: Column, g: Column) -> Column:
+            r = F.greatest(F.lit(least), s["y"] - _total([p[k] * g[k] for k in range(n)]))
+            return F.struct(r.alias("r"), (r + g[n] * (r - s["r"])).alias("y"), (r - s["y"]).alias("by"))
+
+        return F.aggregate(F.array(*[F.array(*map(F.lit, g)) for g in steps_taken]), start, step)
+
+    def distance(at: np.ndarray) -> float:
+        return float((at - goal) @ weights @ (at - goal))
+
+    ahead, along = now, 0
+    while np.abs(now - goal)[live].max(initial=0.0) > tolerance and len(steps_taken) < steps:
+        steps_taken.append([*(float(x) for x in weights @ (ahead - goal)), along / (along + 3)])
+        row = members.withColumn("_s", state()).agg(
+            *[F.sum(F.col(f"_s.{v}") * words * x) for v in ("r", "y") for x in p], F.sum(F.col("_s.by") * F.col("_s.by") * words)).first()
+        before, sums = now, np.array([float(x or 0) for x in row]) / total
+        now, ahead = sums[:n], sums[n : 2 * n]
+        # momentum starts anew where it has led away from the targets
+        along = along + 1 if distance(now) <= distance(before) else 0
+        if sums[-1] <= (tolerance / 100) ** 2:
             break
-        gaps.append([(now[k] - goal[k]) / share[k] if k in live else 0.0 for k in range(n)])
-        now = [x / total for x in masses(rate())[1:]]
-        off, before = max(abs(now[k] - goal[k]) for k in live), off
-    if off <= tolerance or len(gaps) == steps:
-        return rate()
-
-    def free(x: np.ndarray) -> Column:
-        return F.lit(1.0) - _total([p[k] * F.lit(float(v)) for k, v in zip(live, x, strict=True)])
-
-    def evaluate(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        t, r, u = F.col("n_words"), F.col("_r"), F.col("_u")
-        pairs = [(i, j) for i in range(len(live)) for j in range(i + 1)]
-        row = members.withColumn("_u", free(x)).withColumn("_r", F.greatest(F.lit(least), "_u")).agg(
-            F.sum(-t * ((r - 1) * (r - 1) / 2 + (1 - u) * r)), *[F.sum(t * r * p[k]) for k in live],
-            *[F.sum(F.when(u > least, t * p[live[i]] * p[live[j]]).otherwise(0.0)) for i, j in pairs]).first()
-        row = [float(x or 0) / total for x in row]
-        curve = np.zeros((len(live), len(live)))
-        for (i, j), v in zip(pairs, row[1 + len(live):], strict=True):
-            curve[i, j] = curve[j, i] = v
-        return row[0], np.array(row[1 : 1 + len(live)]), curve
-
-    aim = np.array([goal[k] for k in live])
-    x, now = newton(evaluate, np.sum([[g[k] for k in live] for g in gaps], axis=0), aim, np.array([share[k] for k in live]), steps, tolerance)
-    if np.abs(now - aim).max() > tolerance:
-        missed = {k: (round(float(v), 5), round(float(g), 5)) for k, v, g in zip(live, now, aim, strict=True)}
+    if np.abs(now - goal)[live].max(initial=0.0) > tolerance:
+        missed = {k: (round(float(now[k]), 5), round(float(goal[k]), 5)) for k in live}
         warnings.warn(f"targets are not met: expected share and target by number of the domain {missed}", stacklevel=2)
-    return F.greatest(F.lit(least), free(x))
+    return state()["r"]
 
 
 def mix(
