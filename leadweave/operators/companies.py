@@ -1,8 +1,12 @@
 """Queries and edits over the company and task tables."""
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leadweave.session import ensure_checkpoint_dir
+
 # Sortable columns, editable fields, public columns.
 SORT_FIELDS = ("company_name", "created_at", "source", "city", "state", "rating")
 EDITABLE_FIELDS = (
@@ -75,11 +79,53 @@ def company_page(
     return ordered.offset((page - 1) * page_size).limit(page_size)
 
 
+class CompanyPages:
+    """A sorted table by page number, however deep. Sort values and ids are dealt to ranges once
+    and counted; a page sorts the ranges it falls into, one or two, and no others."""
+
+    def __init__(self, df: DataFrame, sort_by: str = "created_at", sort_order_name: str = "desc", ranges: int = 64):
+        if sort_by not in SORT_FIELDS:
+            raise ValueError(f"cannot sort by {sort_by!r}; choose one of {SORT_FIELDS}")
+        self.df, self.order = df, [sort_order("_by", sort_order_name == "desc"), F.col("id").asc()]
+        keys = df.select(F.col(sort_by).alias("_by"), "id").repartitionByRange(ranges, *self.order)
+        path = f"{ensure_checkpoint_dir(df.sparkSession)}/pages-{uuid.uuid4().hex}"
+        keys.withColumn("_range", F.spark_partition_id()).write.parquet(path)
+        self.keys = df.sparkSession.read.parquet(path)
+        self.counts = sorted(tuple(r) for r in self.keys.groupBy("_range").agg(F.count(F.lit(1))).collect())
+
+    @property
+    def total(self) -> int:
+        return sum(n for _, n in self.counts)
+
+    def ranges_of(self, first: int, size: int) -> tuple[list[int], int]:
+        """Ranges that hold the rows from ``first`` on, and how many rows come before them."""
+        found, before, at = [], 0, 0
+        for number, n in self.counts:
+            if at + n <= first:
+                before = at + n
+            elif at < first + size:
+                found.append(number)
+            at += n
+        return found, before
+
+    def page(self, page: int, page_size: int = 50) -> DataFrame:
+        if page < 1 or not 1 <= page_size <= 200:
+            raise ValueError("page starts at 1; page_size is 1 to 200")
+        first = (page - 1) * page_size
+        found, before = self.ranges_of(first, page_size)
+        rows = self.keys.filter(F.col("_range").isin(*found)) if found else self.keys.limit(0)
+        chosen = rows.orderBy(*self.order).offset(first - before).limit(page_size)
+        # at most a page of ids is broadcast
+        met = self.df.join(F.broadcast(chosen.select("id", "_by").distinct()), "id")
+        return met.orderBy(*self.order).select(self.df.columns)
+
+
 def get_company(df: DataFrame, company_id: str) -> DataFrame:
-    """The one row with this id; an unknown id is an error."""
+    """The one row with this id; an unknown id is an error, and so is one that several rows bear."""
     row = df.filter(F.col("id") == company_id)
-    if row.isEmpty():
-        raise LookupError(f"company not found: {company_id}")
+    found = len(row.select("id").take(2))
+    if found != 1:
+        raise LookupError(f"company not found: {company_id}" if not found else f"several companies with the id {company_id}")
     return row
 
 

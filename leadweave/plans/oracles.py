@@ -269,6 +269,8 @@ ORACLES["search_companies"] = f"""{COMPANIES} SELECT {_SHOWN} FROM companies WHE
 ORACLES["company_filters"] = f"""{COMPANIES} SELECT {_SHOWN} FROM companies WHERE is_duplicate_of IS NULL AND task_id = 'task-bbb' AND state = 'ASIA' AND category = 'FURNITURE' AND phone_normalized IS NULL"""
 ORACLES["company_count"] = f"{COMPANIES} SELECT count(*) AS total FROM companies WHERE is_duplicate_of IS NULL AND city = 'NATION_3'"
 ORACLES["company_page"] = f"{COMPANIES} SELECT {_SHOWN} FROM companies WHERE is_duplicate_of IS NULL ORDER BY rating DESC NULLS FIRST, id LIMIT 200 OFFSET 400"
+ORACLES["company_last_page"] = f"""{COMPANIES} SELECT {_SHOWN} FROM (SELECT *, row_number() OVER (ORDER BY rating DESC NULLS FIRST, id) AS rn, count(*) OVER () AS n
+  FROM companies WHERE is_duplicate_of IS NULL) WHERE rn > (n - 1) // 200 * 200"""
 ORACLES["company_page_ascending"] = f"{COMPANIES} SELECT {_SHOWN} FROM companies WHERE is_duplicate_of IS NULL AND phone_normalized IS NOT NULL ORDER BY city ASC NULLS LAST, id LIMIT 100 OFFSET 100"
 ORACLES["company_by_id"] = f"{COMPANIES} SELECT {_SHOWN} FROM companies WHERE id = 'c000000000012'"
 ORACLES["public_view"] = f"{COMPANIES} SELECT source, state, count(*) AS n, CAST(sum(review_count) AS BIGINT) AS reviews, count(phone_display) AS with_phone FROM companies GROUP BY source, state"

@@ -439,6 +439,13 @@ def company_page(spark, sf):
     return companies_op.company_page(found, "rating", "desc", page=3, page_size=200).select(_SHOWN)
 
 
+@query
+def company_last_page(spark, sf):
+    """The last page by number: only the range it lies in is sorted."""
+    pages = companies_op.CompanyPages(companies_op.search_companies(_companies(spark, sf)), "rating", "desc")
+    return pages.page(max(1, -(-pages.total // 200)), 200).select(_SHOWN)
+
+
 @query
 def company_page_ascending(spark, sf):
     found = companies_op.search_companies(_companies(spark, sf), has_phone=True)
