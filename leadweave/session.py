@@ -54,6 +54,11 @@ def ship_package(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def one_machine(master: str) -> bool:
+    """Whether driver and tasks are one process; a ``local-cluster`` has executors of its own."""
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Checkpoint folder: the cluster's ``spark.checkpoint.dir`` if set. Only a local-mode
     session may fall back to a temporary folder; on a cluster that would not survive the
@@ -64,7 +69,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not context.master.startswith("local"):
+        if not one_machine(context.master):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         shared = tempfile.mkdtemp(prefix="leadweave-checkpoint-")
     context.setCheckpointDir(shared)

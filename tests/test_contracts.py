@@ -122,3 +122,10 @@ def test_domains_of_hot_providers(spark):
     got = check_domain(spark.createDataFrame(rows, "email string, email_validated boolean"), spark.createDataFrame([("HOT.com",)], "domain string"))
     assert got.filter("email is not null and email_validated").count() == 20 and got.count() == 41
     assert got.filter("not email_validated").count() == 1
+
+
+def test_only_one_process_may_use_a_folder_of_its_own():
+    from leadweave.session import one_machine
+
+    assert one_machine("local") and one_machine("local[4]") and one_machine("local[*]")
+    assert not one_machine("local-cluster[3,2,1024]") and not one_machine("spark://host:7077") and not one_machine("yarn")
