@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 
 from leadweave.llm.common import written
 
-PARTS, ENTRIES, ROUNDS, SCALE, PIVOTS = 4, 256, 4, 1024, 8
-BLOCK = 4096
+PARTS, ENTRIES, ROUNDS, SCALE, PIVOTS = 4, 256, 4, 1024, 16
+BLOCK = 512
 #: float32 bounds are off by a few units in the last place of either distance.
 _ROUNDING = np.float32(2.0**-21)
 
@@ -75,13 +75,16 @@ def nearest(parts: np.ndarray, far: np.ndarray, entries: np.ndarray, pivots: np.
     distances it took. ``far``: the parts' distances to the pivots."""
     entry_far = pivot_distances(entries, pivots)
     bound = np.zeros((len(parts), len(entries)), np.float32)
+    apart = np.empty_like(bound)
     for k in range(len(pivots)):
-        np.maximum(bound, np.abs(far[:, k, None] - entry_far[None, :, k]), out=bound)
+        np.subtract(far[:, k, None], entry_far[None, :, k], out=apart)
+        np.maximum(bound, np.abs(apart, out=apart), out=bound)
     bound -= (far.max(initial=0) + entry_far.max(initial=0)) * _ROUNDING
     order = np.argsort(bound, axis=1)
     bound = np.take_along_axis(bound, order, axis=1).astype(np.float64)
     np.maximum(bound, 0.0, out=bound)
     bound *= bound * (1 - 1e-12)
+    wide, wide_entries = parts.astype(np.float64), entries.astype(np.float64)  # whole numbers below 2**53
     most = np.iinfo(np.int64).max
     best = np.full(len(parts), most)  # distance * entries + index, so that ties go to the lower one
     evaluated, done, wave = 0, 0, 1
@@ -91,7 +94,8 @@ def nearest(parts: np.ndarray, far: np.ndarray, entries: np.ndarray, pivots: np.
         row, place = np.nonzero(bound[live, done : done + wave] <= reach[:, None])
         if len(row):
             owner, entry = live[row], order[live[row], done + place]
-            keyed = ((parts[owner] - entries[entry]) ** 2).sum(axis=1) * len(entries) + entry
+            gap = wide[owner] - wide_entries[entry]
+            keyed = np.einsum("ij,ij->i", gap, gap).astype(np.int64) * len(entries) + entry
             evaluated += len(row)
             first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
             best[owner[first]] = np.minimum(best[owner[first]], np.minimum.reduceat(keyed, first))
@@ -170,7 +174,7 @@ def compress(
     start = np.array([r[0] for r in kept.orderBy(F.col("id").asc_nulls_last(), "ints").limit(entries).select("ints").collect()], np.int64)
     codebooks = np.ascontiguousarray(start.reshape(-1, parts, width).transpose(1, 0, 2))
     fixed = np.stack([fixed_pivots(book, pivots) for book in codebooks])
-    widest = int(np.sqrt((1 << 62) / (4 * width * codebooks.shape[1])))
+    widest = int(np.sqrt(min((1 << 62) / codebooks.shape[1], 1 << 53) / (4 * width)))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _blocks(batches):
