@@ -23,7 +23,8 @@ def key_filter(keys: DataFrame, key: Column, expected: int = EXPECTED) -> Callab
     bits = 1 << 15
     while bits < min(10 * expected, _MOST_BITS):
         bits *= 2
-    places = keys.select(F.explode(F.when(key.isNotNull(), F.array(*_places(key, bits)))).alias("place"))
+    # a column of its own, so that what makes the key is evaluated once
+    places = keys.select(key.alias("_key")).select(F.explode(F.when(F.col("_key").isNotNull(), F.array(*_places(F.col("_key"), bits)))).alias("place"))
     parts = places.groupBy(F.bitmap_bucket_number("place").alias("part")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bitmap"))
     # at most ``bits`` / 32768 rows of four kilobytes
