@@ -88,6 +88,17 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def even_parts(spark: SparkSession) -> int:
+    """How many parts of equal size keep every core busy to the end: several for each core."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out by a hash of ``keys``, for costly work row by row. A Parquet file of few
+    megabytes can hold millions of rows; read as it lies, it is the work of one or two tasks."""
+    return df.repartition(even_parts(df.sparkSession), *keys)
+
+
 _STORED: dict[tuple[str, str, str], str] = {}
 
 
