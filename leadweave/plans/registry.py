@@ -15,7 +15,7 @@ from leadweave.operators import validation
 from leadweave.operators.admission import admit, with_pipeline_id
 from leadweave.operators.cleaning import clean_strings
 from leadweave.plans import flow, pipeline, views
-from leadweave.session import ensure_checkpoint_dir, stored_path, stored_table
+from leadweave.session import ensure_checkpoint_dir, even_parts, stored_path, stored_table
 from leadweave.sources import configs, exports, leads as leads_io, pages as pages_io
 from leadweave.streaming import leads as stream_leads
 from leadweave.streaming import progress
@@ -852,10 +852,12 @@ def _reference_tables(spark):
 
 @query
 def prepare_leads_stream(spark, sf):
-    """All row rules on all lead columns of a stream, with reference tables, saved by batch."""
-    raw = views.raw_leads(spark, sf)
-    folder = stored_path(spark, "raw_leads", sf, lambda: raw.repartition(6, "lead_id"))
-    leads = stream_leads.prepared(stream_leads.read_raw(spark, folder, files=2), **_reference_tables(spark))
+    """All row rules on all lead columns of a stream, with reference tables, saved by batch. The
+    files are many and of equal size; a trigger takes a third of them."""
+    raw = views.dealt_leads(spark, sf)
+    folder = stored_path(spark, "raw_leads", sf, lambda: raw)
+    files = -(-even_parts(spark) // 3)
+    leads = stream_leads.prepared(stream_leads.read_raw(spark, folder, files), **_reference_tables(spark))
     return stream_leads.drain_leads(leads).select(_PREPARED)
 
 
