@@ -42,6 +42,8 @@ from leadweave.llm.common import packed, unpacked, written
 BUCKETS = 4096
 LIMIT = 20_000
 STEPS = 100
+#: After so many steps the state of every row is written.
+FOLD = 16
 TOLERANCE = 1e-4
 RESULT = ("mark", "n_words", "domain", "posterior", "rate", "copies")
 
@@ -128,28 +130,31 @@ def fitted_rate(members: DataFrame, goals: list[float], keep_all: bool = False,
     if keep_all and goal.any():
         goal = goal * max(now[k] / goal[k] for k in live if goal[k] > 0)
     least, steps_taken = 1.0 if keep_all else 0.0, []
+    begin = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"), F.lit(0.0).alias("by"))
 
-    def state() -> Column:
-        """All steps so far as one fold, so that the plan keeps its size: the rate r, the point y
-        that the next step starts from (r and some of the way it came), and how far r is from
-        the point before, which is the projected gradient there."""
-        start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"), F.lit(0.0).alias("by"))
-        if not steps_taken:
+    def state(start: Column = begin, done: int = 0) -> Column:
+        """All steps but the first ``done`` as one fold from the state after those, so that the plan
+        keeps its size: the rate r, the point y that the next step starts from (r and some of the
+        way it came), and how far r is from the point before, which is the projected gradient there."""
+        if not steps_taken[done:]:
             return start
 
         def step(s: Column, g: Column) -> Column:
             r = F.greatest(F.lit(least), s["y"] - _total([p[k] * g[k] for k in range(n)]))
             return F.struct(r.alias("r"), (r + g[n] * (r - s["r"])).alias("y"), (r - s["y"]).alias("by"))
 
-        return F.aggregate(F.array(*[F.array(*map(F.lit, g)) for g in steps_taken]), start, step)
+        return F.aggregate(F.array(*steps_taken[done:]), start, step)
 
     def distance(at: np.ndarray) -> float:
         return float((at - goal) @ weights @ (at - goal))
 
-    ahead, along = now, 0
+    ahead, along, reached, done = now, 0, members.withColumn("_s", begin), 0
     while np.abs(now - goal)[live].max(initial=0.0) > tolerance and len(steps_taken) < steps:
-        steps_taken.append([*(float(x) for x in weights @ (ahead - goal)), along / (along + 3)])
-        row = members.withColumn("_s", state()).agg(
+        if len(steps_taken) - done == FOLD:  # a pass takes the steps since, not all of them again
+            reached = written(reached.select("n_words", *p, state(F.col("_s"), done).alias("_s")), "reached")
+            done = len(steps_taken)
+        steps_taken.append(F.array(*[F.lit(float(x)) for x in (*(weights @ (ahead - goal)), along / (along + 3))]))
+        row = reached.withColumn("_s", state(F.col("_s"), done)).agg(
             *[F.sum(F.col(f"_s.{v}") * words * x) for v in ("r", "y") for x in p], F.sum(F.col("_s.by") * F.col("_s.by") * words)).first()
         before, sums = now, np.array([float(x or 0) for x in row]) / total
         now, ahead = sums[:n], sums[n : 2 * n]

@@ -224,16 +224,21 @@ def near_links(nodes: DataFrame, max_bits: int = 3, cell: int = CELL) -> DataFra
 # --- components ----------------------------------------------------------------------------
 
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
+#: Edges that one task takes in a step; fewer would be a file a task of next to nothing.
+EDGES = 20_000
+
+
+def _star(edges: DataFrame, small: bool, parts: int) -> DataFrame:
     """One step over edges (u, v), u > v: neighbours move to the least of their neighbourhood.
-    Large: every node hands its larger neighbours over. Small: its smaller ones and itself."""
+    Large: every node hands its larger neighbours over. Small: its smaller ones and itself. It is
+    written in ``parts`` files at most, and so is what it writes on the way."""
     both = edges if small else edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+    least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).coalesce(parts), "least")
     if small:
         moved = both.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
     else:
         moved = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.filter("u <> v").distinct()
+    return written(moved.filter("u <> v").distinct().coalesce(parts), "small" if small else "large")
 
 
 def roots(links: DataFrame) -> DataFrame:
@@ -245,7 +250,8 @@ def roots(links: DataFrame) -> DataFrame:
 
     known = state(edges)
     while known[0]:
-        edges = written(_star(written(_star(edges, small=False), "large"), small=True), "small")
+        parts = known[0] // EDGES + 1  # no step makes more edges than there were
+        edges = _star(_star(edges, small=False, parts=parts), small=True, parts=parts)
         now = state(edges)
         if now == known:
             break

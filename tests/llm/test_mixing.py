@@ -57,6 +57,24 @@ def test_projected_gradient_against_plain_steps(spark):
     assert np.allclose(got, rate) and off @ weights @ off < 0.05 * (first @ weights @ first)
 
 
+def test_passes_take_the_steps_since_the_last_table(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    p, t = rng.dirichlet([0.4, 0.4, 0.4], 60), rng.integers(1, 50, 60)
+    rows = [(int(n), *map(float, x)) for n, x in zip(t, p, strict=True)]
+    members = spark.createDataFrame(rows, "n_words long, p0 double, p1 double, p2 double")
+    tables = []
+    monkeypatch.setattr(M, "written", lambda df, name, write=M.written: tables.append(name) or write(df, name))
+    goal = [0.9, 0.1, 0.0]
+    with pytest.warns(UserWarning, match="targets are not met"):
+        rate = M.fitted_rate(members, goal, steps=20, tolerance=0.0)
+    assert tables == ["reached"]
+    monkeypatch.setattr(M, "FOLD", 1000)
+    with pytest.warns(UserWarning, match="targets are not met"):
+        at_once = M.fitted_rate(members, goal, steps=20, tolerance=0.0)
+    got = members.select(rate.alias("a"), at_once.alias("b")).collect()
+    assert len(tables) == 1 and np.allclose([r.a for r in got], [r.b for r in got], rtol=1e-12)
+
+
 def test_odd_rows(spark, odd_docs):
     docs = corpus(spark)
     goals = {"en": 1, "de": 1}

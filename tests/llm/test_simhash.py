@@ -98,3 +98,23 @@ def test_odd_rows(spark, odd_docs):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 2, 5, 6, 7, None], key=str)
     assert S.one_of_each(odd_docs.limit(0)).count() == 0
     assert S.components(odd_docs.limit(0)).count() == 0
+
+
+def test_few_links_make_few_files(spark, monkeypatch):
+    links = spark.createDataFrame([(n, n + 1) for n in range(40)], "u long, v long")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    made = []
+    monkeypatch.setattr(S, "written", lambda df, name, write=S.written: made.append(write(df, name)) or made[-1])
+    try:
+        found = {r.u: r.root for r in S.roots(links).collect()}
+        assert all(len(t.inputFiles()) <= 1 for t in made[1:])
+        made.clear()
+        monkeypatch.setattr(S, "EDGES", 10)
+        assert {r.u: r.root for r in S.roots(links).collect()} == found
+        assert max(len(t.inputFiles()) for t in made[1:]) > 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == dict.fromkeys(range(1, 41), 0)
