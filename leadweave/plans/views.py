@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from leadweave.plans.pipeline import prepare
-from leadweave.session import dealt, stored_table
+from leadweave.session import compiled_rules, dealt, stored_table
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
@@ -217,7 +217,8 @@ def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prepared_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Admitted, identified, cleaned and validated leads, stored: the input of deduplication."""
-    return stored_table(spark, "prepared_leads", sf_dir, lambda: prepare(dealt_leads(spark, sf_dir)))
+    with compiled_rules(spark):
+        return stored_table(spark, "prepared_leads", sf_dir, lambda: prepare(dealt_leads(spark, sf_dir)))
 
 
 def dealt_leads(spark: SparkSession, sf_dir: str) -> DataFrame:

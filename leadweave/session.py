@@ -4,7 +4,8 @@ import hashlib
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -99,6 +100,19 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(even_parts(df.sparkSession), *keys)
 
 
+@contextmanager
+def compiled_rules(spark: SparkSession) -> Iterator[None]:
+    """Run long row rules as methods that the JVM compiles. It interprets methods beyond 8,000
+    bytes for good; with this limit Spark writes such rules as several shorter ones."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 _STORED: dict[tuple[str, str, str], str] = {}
 
 
