@@ -8,12 +8,13 @@ SPECIAL_USE_TLDS = ["arpa", "invalid", "local", "localhost", "onion", "test"]
 
 # One dot-separated atom of a local part: ASCII atom characters or anything non-ASCII that
 # is not a space or control character.
-_ATOM = r"(?:[a-zA-Z0-9_!#$%&'*+\-/=?^`{|}~]|[^\x00-\x7f\p{Z}\p{C}])+"
+_ATOM = r"[a-zA-Z0-9_!#$%&'*+\-/=?^`{|}~[^\x00-\x7f\p{Z}\p{C}]]++"
 # A domain label: letters, digits, inner hyphens, at most 63 long; "ab--" only as "xn--".
 _LABEL = r"(?!(?!xn)..--)[\p{L}\p{N}](?:[\p{L}\p{M}\p{N}-]{0,61}[\p{L}\p{M}\p{N}])?"
+# The last label is looked at once, where it begins.
 _ADDRESS = (
-    rf"^(?!.*[.@](?i:{'|'.join(SPECIAL_USE_TLDS)})$)"
-    rf"{_ATOM}(?:\.{_ATOM})*@(?:{_LABEL}\.)+{_LABEL}(?<=\p{{L}})$"
+    rf"^{_ATOM}(?:\.{_ATOM})*+@(?:{_LABEL}\.)+"
+    rf"(?!(?i:{'|'.join(SPECIAL_USE_TLDS)})$){_LABEL}(?<=\p{{L}})$"
 )
 
 
@@ -54,15 +55,18 @@ _VALID_DIGITS = (
 
 
 def phone_start(col: Column) -> Column:
-    """The dialled part: from the first digit, plus or bracket, without an extension."""
-    return F.regexp_extract(F.regexp_replace(col, _EXTENSION, ""), r"[+0-9(\[].*$", 0)
+    """The dialled part: from the first digit, plus or bracket, without an extension. Every
+    extension holds an "x" or "#"; without them none is sought."""
+    marked = col.contains("x") | col.contains("X") | col.contains("#")
+    bare = F.when(marked, F.regexp_replace(col, _EXTENSION, "")).otherwise(col)
+    return F.regexp_extract(bare, r"[+0-9(\[].*$", 0)
 
 
 def international_digits(start: Column) -> Column:
     """Digits with calling code, US assumed; three or more letters are read as keypad keys."""
     letters = start.rlike("(?:[A-Za-z].*){3}")
     keyed = F.when(letters, F.translate(start, _KEYPAD_LETTERS, _KEYPAD_DIGITS)).otherwise(start)
-    dialled = F.regexp_replace(keyed, "[^0-9+]", "")
+    dialled = F.regexp_replace(keyed, "[^0-9+]+", "")
     return (
         F.when(dialled.startswith("+"), F.replace(dialled, F.lit("+"), F.lit("")))
         .when(dialled.startswith("011"), F.regexp_replace(dialled, "^011", ""))

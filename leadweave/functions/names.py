@@ -15,6 +15,10 @@ ADDRESS_WORDS = {
     "Ct": "Court", "Rd": "Road", "Ste": "Suite", "Apt": "Apartment",
 }
 
+# Every character that can begin a legal form in any case; a word boundary is costly, so it is
+# looked for only there.
+_LEGAL_START = "(?=[CcIiLl\u0130\u0131])"
+
 _WORD = r"[\p{L}\p{N}_]"
 
 # Leading articles ignored when names are put into blocks.
@@ -24,7 +28,7 @@ LEADING_ARTICLE = r"^(the|a|an)\s+"
 def normalize_company_name(col: Column) -> Column:
     """Lower-case name without its trailing legal form; NULL for a missing name."""
     base = F.trim(F.lower(col))
-    bare = F.trim(F.regexp_replace(base, "(?iU)" + LEGAL_SUFFIX, ""))
+    bare = F.trim(F.regexp_replace(base, _LEGAL_START + "(?iU)" + LEGAL_SUFFIX, ""))
     return F.when(col != "", bare)
 
 

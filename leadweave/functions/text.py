@@ -1,8 +1,9 @@
 """Text cleaning columns: entity decode, invisible characters, whitespace, slugs."""
 
 import html
+from html.entities import html5
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,10 +20,12 @@ NATIVE_ENTITIES = {
     "&nbsp;": "\u00a0", "&copy;": "\u00a9", "&middot;": "\u00b7", "&amp;": "&",
 }
 
-# An ampersand that neither starts one of NATIVE_ENTITIES nor stands alone needs the full
-# HTML5 table (2231 names, numeric forms, names without a semicolon).
+# What else the full HTML5 table decodes: numeric forms, names with a semicolon, and the few names
+# that count without one, whatever follows ("&copy=1"). The "&" of a query string is none of these.
+_BARE_NAMES = "|".join(sorted(name for name in html5 if not name.endswith(";")))
 _NEEDS_FULL_TABLE = (
-    "&(?!(?:" + "|".join(name[1:] for name in NATIVE_ENTITIES) + r"|[\t\n\f <&;]|$))"
+    "&(?!" + "|".join(name[1:] for name in NATIVE_ENTITIES)
+    + rf")(?:#[0-9xX]|[A-Za-z][A-Za-z0-9]*+;|{_BARE_NAMES})"
 )
 
 # Whitespace as Python sees it: Unicode spaces and line ends plus the four ASCII separators.
@@ -32,23 +35,36 @@ _WHITESPACE = (
 )
 
 
-@F.pandas_udf(T.StringType())
-def _html5_unescape(values: pd.Series) -> pd.Series:
-    return values.map(html.unescape, na_action="ignore")
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _html5_unescape(*columns: pa.Array) -> pa.Array:
+    rows = len(columns[0])
+    if all(c.null_count == rows for c in columns):
+        return pa.nulls(rows, pa.list_(pa.string()))
+    decoded = [[v and html.unescape(v) for v in c.to_pylist()] if c.null_count < rows else [None] * rows for c in columns]
+    return pa.array([None if row.count(None) == len(row) else row for row in zip(*decoded)], pa.list_(pa.string()))
 
 
-def unescape_html(col: Column) -> Column:
-    """Decode HTML entities once.
+def unescape_all(*cols: Column) -> list[Column]:
+    """Decode HTML entities of each column once.
 
     Common entities are decoded by JVM ``replace``; only values holding any other entity
-    reach Python, all others travel as NULL.
+    reach Python, all others travel as NULL. One call takes all columns of a row and gives
+    one array, NULL for most rows, so that a batch without such values costs Python nothing.
     """
-    native = col
-    for entity, char in NATIVE_ENTITIES.items():
-        native = F.replace(native, F.lit(entity), F.lit(char))
-    native = F.when(col.contains("&"), native).otherwise(col)
-    rare = F.when(col.contains("&") & col.rlike(_NEEDS_FULL_TABLE), col)
-    return F.coalesce(_html5_unescape(rare), native)
+    decoded = _html5_unescape(*[F.when(c.contains("&") & c.rlike(_NEEDS_FULL_TABLE), c) for c in cols])
+    out = []
+    for n, col in enumerate(cols):
+        native = col
+        for entity, char in NATIVE_ENTITIES.items():
+            native = F.replace(native, F.lit(entity), F.lit(char))
+        native = F.when(col.contains("&"), native).otherwise(col)
+        out.append(F.coalesce(decoded[n], native))
+    return out
+
+
+def unescape_html(col: Column) -> Column:
+    """``unescape_all`` of one column."""
+    return unescape_all(col)[0]
 
 
 def strip_invisible(col: Column) -> Column:
@@ -69,11 +85,18 @@ def needs_cleaning(col: Column) -> Column:
     return col.contains("&") | col.contains("  ") | ~col.rlike(_PRINTABLE_ASCII)
 
 
-def clean_text(col: Column) -> Column:
+def clean_texts(*cols: Column) -> list[Column]:
     """Decode entities, drop invisible characters, squash whitespace. Most values hold
     nothing to change; ``needs_cleaning`` finds that out and they are only trimmed."""
-    cleaned = squash_whitespace(strip_invisible(unescape_html(col)))
-    return F.when(needs_cleaning(col), cleaned).otherwise(F.trim(col))
+    return [
+        F.when(needs_cleaning(col), squash_whitespace(strip_invisible(plain))).otherwise(F.trim(col))
+        for col, plain in zip(cols, unescape_all(*cols), strict=True)
+    ]
+
+
+def clean_text(col: Column) -> Column:
+    """``clean_texts`` of one column."""
+    return clean_texts(col)[0]
 
 
 def slug(col: Column) -> Column:

@@ -90,11 +90,13 @@ def clean_website(df: DataFrame, name: str = "website") -> DataFrame:
     then computes them once instead of copying the expressions into each other.
     """
     given = F.coalesce(F.col(name) != "", F.lit(False))
+    whole = F.regexp_extract("_url", _URL_PARTS, 3)
     parts = df.withColumn("_url", F.when(given, with_scheme(F.col(name)))).withColumns({
         "_host": F.lower(F.regexp_extract("_url", _URL_PARTS, 2)),
         # an empty ";params" goes, like an empty query
-        "_path": F.regexp_replace(F.regexp_extract("_url", _URL_PARTS, 3), "(^|/)([^/;]*);$", "$1$2"),
-        "_pairs": query_pairs(F.nullif(F.regexp_extract("_url", _URL_PARTS, 4), F.lit(""))),
+        "_path": F.when(F.col("_url").contains(";"), F.regexp_replace(whole, "(^|/)([^/;]*);$", "$1$2")).otherwise(whole),
+        "_pairs": query_pairs(F.when(
+            F.col("_url").contains("?"), F.nullif(F.regexp_extract("_url", _URL_PARTS, 4), F.lit("")))),
     }).withColumn("_query", encode_pairs(F.col("_pairs")))
     # ";params" after the last slash stay, but the slash rule sees the path before them
     path = F.regexp_replace("_path", "^(.*?)/+(;[^/]*)?$", "$1$2")

@@ -4,17 +4,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadweave.functions.text import clean_text
+from leadweave.functions.text import clean_texts
 
 
 def clean_strings(df: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
     """Clean every string column; other types, ``_`` columns and ``skip`` pass unchanged.
     One projection, so all columns share a single Arrow exchange at most."""
-    out = []
-    for field in df.schema:
-        col = F.col(f"`{field.name}`")
-        text = isinstance(field.dataType, T.StringType) and not field.name.startswith("_")
-        if text and field.name not in skip:
-            col = clean_text(col).alias(field.name)
-        out.append(col)
-    return df.select(out)
+    texts = [
+        f.name for f in df.schema
+        if isinstance(f.dataType, T.StringType) and not f.name.startswith("_") and f.name not in skip
+    ]
+    if not texts:
+        return df
+    cleaned = dict(zip(texts, clean_texts(*[F.col(f"`{c}`") for c in texts]), strict=True))
+    return df.select([cleaned[c].alias(c) if c in cleaned else F.col(f"`{c}`") for c in df.columns])
