@@ -51,7 +51,9 @@ def _companies(spark: SparkSession, sf: str) -> DataFrame:
 
 def _company_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Company table of the prepared leads: a task per source, every ninth row marked as a
-    duplicate, every seventh for review, one creation time per day of the year."""
+    duplicate, every seventh for review, one creation time per day of the year. One projection:
+    a query that reads it once takes it from here, with the columns it needs; the others share
+    ``_companies``."""
     lead = _prepared(spark, sf)
     typed = leads_io.to_companies(lead.withColumns({
         "needs_review": F.col("ord") % 7 == 0,
@@ -542,7 +544,7 @@ def reset_mode(spark, sf):
 
 @query
 def export_rows(spark, sf):
-    return exports.export_rows(_companies(spark, sf), "task-yelp")
+    return exports.export_rows(_company_rows(spark, sf), "task-yelp")
 
 
 def _scratch(spark, name):
@@ -556,7 +558,7 @@ _EXPORT_SCHEMA = T.StructType([schemas.COMPANY[c] for c in exports.EXPORT_COLUMN
 def export_csv(spark, sf):
     """Written as CSV and read back."""
     path = _scratch(spark, "csv")
-    exports.export_csv(exports.export_rows(_companies(spark, sf), "task-bbb"), path)
+    exports.export_csv(exports.export_rows(_company_rows(spark, sf), "task-bbb"), path)
     return spark.read.schema(_EXPORT_SCHEMA).option("header", True).option("escape", '"').csv(path)
 
 
@@ -564,7 +566,7 @@ def export_csv(spark, sf):
 def export_json(spark, sf):
     """Written as JSON Lines and read back."""
     path = _scratch(spark, "json")
-    exports.export_json(exports.export_rows(_companies(spark, sf), "task-bbb"), path)
+    exports.export_json(exports.export_rows(_company_rows(spark, sf), "task-bbb"), path)
     return spark.read.schema(_EXPORT_SCHEMA).json(path)
 
 
