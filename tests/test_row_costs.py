@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from leadweave import session
 from leadweave.functions import contact, names, text
 from leadweave.operators.cleaning import clean_strings
-from leadweave.plans import registry
+from leadweave.plans import pipeline, registry
 from test_dealt import small_tables
 
 
@@ -66,3 +66,15 @@ def test_exports_read_companies_without_storing_them(spark, tmp_path):
     for name, task in (("csv", "task-bbb"), ("json", "task-bbb"), ("rows", "task-yelp")):
         want = table.filter(F.col("task_id") == task).select(made[name].columns)
         assert counts[name] == want.count() > 0 and made[name].exceptAll(want).isEmpty()
+
+
+def test_both_passes_share_one_phone_aggregate(spark, tmp_path):
+    rows = [(n, str(n), f"firm {n}", f"+1{n % 5}" if n % 3 else None, f"m{n % 4}@x.com" if n % 2 else None) for n in range(60)]
+    spark.createDataFrame(rows, "ord bigint, pipeline_id string, company_name string, phone_normalized string, email string") \
+        .write.parquet(f"{tmp_path}/leads")
+    done = pipeline.exact_passes(spark.read.parquet(f"{tmp_path}/leads")).select("pipeline_id", "_phone_absorbed", "_email_absorbed")
+    got = done.collect()
+    alone = sum(r.pipeline_id is not None and r._phone_absorbed == 0 and r._email_absorbed == 0 for r in got)
+    assert len({r.pipeline_id for r in got}) == len(got) < 60 and alone > 0
+    ran = done._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in ran
