@@ -20,13 +20,14 @@ def _is_own(name: str) -> bool:
 
 
 def merge_groups(
-    df: DataFrame, keys: list[str], survivor_rank: Column, size_col: str
+    df: DataFrame, keys: list[str], survivor_rank: Column, size_col: str, whole: bool = False
 ) -> DataFrame:
     """One row per group: the row with the greatest ``survivor_rank``, its NULLs filled by the
     first non-null value in ``ord`` order, and the longest company name of the group.
 
     Only aggregates, so a group of any size is folded on the map side first and never sits in
-    one task. ``size_col`` receives the number of absorbed rows.
+    one task. ``size_col`` receives the number of absorbed rows. ``whole``: all columns are folded,
+    whichever are read later, so that several readers share one aggregate.
     """
     fields = [c for c in df.columns if c not in keys]
     fill = [c for c in fields if not _is_own(c)]
@@ -38,6 +39,11 @@ def merge_groups(
     ]
     longest = F.max_by("company_name", F.struct(F.length("company_name"), -F.col("ord")))
     folded = df.groupBy(*keys).agg(*aggs, longest.alias("_longest"))
+    if whole:
+        # holds for every row. It names what was folded, not the columns made of it below: of those,
+        # Spark would derive a condition for every subset when the result is written (2^columns)
+        held = [c for c in folded.columns if c not in keys]
+        folded = folded.filter(sum((F.col(c).isNotNull().cast("int") for c in held), F.lit(0)) >= 0)
 
     def final(name):
         own = F.col(f"_s.`{name}`")
@@ -61,14 +67,15 @@ def _key(column: str, exclude: list[str] | None) -> Column:
 
 
 def dedup_exact(
-    df: DataFrame, key: str, size_col: str = "_absorbed", exclude: list[str] | None = None
+    df: DataFrame, key: str, size_col: str = "_absorbed", exclude: list[str] | None = None, whole: bool = False
 ) -> DataFrame:
     """Collapse rows sharing a non-empty ``key``; the most complete row survives, the first
     in ``ord`` order on ties. Rows without a key pass by, neither grouped nor shuffled.
-    ``exclude`` lists key values (for instance generic mailboxes) that never link rows."""
+    ``exclude`` lists key values (for instance generic mailboxes) that never link rows;
+    ``whole`` as in ``merge_groups``."""
     rank = F.struct(non_null_fields(df).alias("n"), (-F.col("ord")).alias("o"))
     keyed = df.withColumn("_key", _key(key, exclude))
-    merged = merge_groups(keyed.filter("_key IS NOT NULL"), ["_key"], rank, size_col)
+    merged = merge_groups(keyed.filter("_key IS NOT NULL"), ["_key"], rank, size_col, whole)
     alone = keyed.filter("_key IS NULL").withColumn(size_col, F.lit(0).cast("bigint"))
     return merged.select(*df.columns, size_col).unionByName(alone.select(*df.columns, size_col))
 

@@ -14,7 +14,7 @@ from leadweave import schemas
 from leadweave.operators.admission import admit, with_pipeline_id
 from leadweave.operators.cleaning import clean_strings
 from leadweave.operators.enrichment import enrich, enrich_counters
-from leadweave.operators.exact_dedup import dedup_exact, duplicate_map, last_survivors, non_null_fields
+from leadweave.operators.exact_dedup import dedup_exact, duplicate_map, last_survivors
 from leadweave.operators.fuzzy_dedup import (
     AUTO_MERGE, REVIEW, dedup_fuzzy, fuzzy_counters, record_owners, resolve_leaders)
 from leadweave.operators.validation import validate_fields, validator_counters
@@ -83,11 +83,10 @@ def dedup_stage(
 
 
 def exact_passes(df: DataFrame, generic_emails: list[str] | None = None) -> DataFrame:
-    """Phone pass, then e-mail pass over its merged survivors. The condition holds for every row; it
-    needs all columns, so that rows with and without an e-mail come from one and the same
-    phone aggregate, not from one for each."""
-    by_phone = dedup_exact(df, "phone_normalized", "_phone_absorbed")
-    by_phone = by_phone.filter(non_null_fields(by_phone) >= 0)
+    """Phone pass, then e-mail pass over its merged survivors. The phone pass folds all columns, so
+    that rows with and without an e-mail come from one and the same phone aggregate, not from
+    one for each."""
+    by_phone = dedup_exact(df, "phone_normalized", "_phone_absorbed", whole=True)
     return dedup_exact(by_phone, "email", "_email_absorbed", generic_emails)
 
 
