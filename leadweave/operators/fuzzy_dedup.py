@@ -16,8 +16,11 @@ How this stays exact without comparing all pairs of a block:
   are therefore never formed.
 """
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -218,30 +221,41 @@ def candidate_pairs(
     return scored_pairs(classes, classes, cutoff, scorer)
 
 
+#: So many pairs are walked in order by one task; more are settled in rounds.
+ONE_WALK = 1 << 16
+
+
+def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Absorbed names of a few pairs (i, j): in order, a name that nobody took takes its later ones."""
+    taken: set[int] = set()
+    whole = pd.concat([pd.DataFrame({"i": [], "j": []}, dtype="int64"), *batches])
+    for i, j in sorted(zip(whole["i"].tolist(), whole["j"].tolist(), strict=True)):
+        if i not in taken:
+            taken.add(j)
+    yield pd.DataFrame({"rep": list(taken)}, dtype="int64")
+
+
 def first_independent(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Leaders among ``nodes(rep)``: nodes without an earlier leader among their ``pairs(i, j)``.
 
     Each round, nodes with no remaining earlier neighbour are leaders and their later
-    neighbours are absorbed; both leave the graph. Every round shrinks it, and the written
-    tables of a round are all the next one needs.
+    neighbours are absorbed; all pairs of either leave the graph. Every round shrinks it, and the
+    written tables of a round are all the next one needs. What is small, or has become so, is
+    walked by one task instead: a round is a dozen jobs, whose plans the driver holds.
     """
-    leaders = None
-    open_pairs, open_nodes = pairs.select("i", "j"), nodes.select("rep")
-    while True:
-        won = cut_lineage(open_nodes.join(
-            open_pairs.select(F.col("j").alias("rep")).distinct(), "rep", "left_anti"))
-        leaders = won if leaders is None else leaders.unionByName(won)
-        absorbed = open_pairs.join(won.withColumnRenamed("rep", "i"), "i", "left_semi") \
-            .select(F.col("j").alias("rep")).distinct()
-        settled = cut_lineage(won.unionByName(absorbed))
-        open_nodes = open_nodes.join(settled, "rep", "left_anti")
+    open_pairs, absorbed = pairs.select("i", "j"), []
+    while (left := open_pairs.count()) > ONE_WALK:
+        waiting = open_pairs.select(F.col("j").alias("i")).distinct()
+        taken = cut_lineage(open_pairs.join(waiting, "i", "left_anti").select(F.col("j").alias("rep")).distinct())
+        absorbed.append(taken)
         open_pairs = cut_lineage(
-            open_pairs.join(settled.withColumnRenamed("rep", "i"), "i", "left_anti")
-            .join(settled.withColumnRenamed("rep", "j"), "j", "left_anti").select("i", "j")
+            open_pairs.join(taken.withColumnRenamed("rep", "i"), "i", "left_anti")
+            .join(taken.withColumnRenamed("rep", "j"), "j", "left_anti").select("i", "j")
         )
-        if open_pairs.isEmpty():
-            return leaders.unionByName(open_nodes)
-        open_nodes = cut_lineage(open_nodes)
+    if left:
+        absorbed.append(open_pairs.repartition(1).mapInPandas(_walk, "rep bigint"))
+    leaders = nodes.select("rep")
+    return leaders.join(reduce(DataFrame.unionByName, absorbed), "rep", "left_anti") if absorbed else leaders
 
 
 @dataclass

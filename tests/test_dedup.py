@@ -255,3 +255,24 @@ def test_common_lengths_against_tables():
     left, right = [text() for _ in range(120)], [text() for _ in range(120)]
     assert common_lengths(left, right).tolist() == [table(a, b) for a, b in zip(left, right, strict=True)]
     assert common_lengths([], []).tolist() == []
+
+
+@pytest.mark.parametrize("one_walk", [0, 40, fuzzy_dedup.ONE_WALK])
+def test_leaders_by_rounds_and_by_one_walk(spark, monkeypatch, one_walk):
+    cut, written = fuzzy_dedup.cut_lineage, []
+    monkeypatch.setattr(fuzzy_dedup, "ONE_WALK", one_walk)
+    monkeypatch.setattr(fuzzy_dedup, "cut_lineage", lambda df: written.append(df) or cut(df))
+    draw = random.Random(7)
+    chain = [(n, n + 1) for n in range(100, 112)]
+    pairs = sorted({*chain, *(tuple(sorted(draw.sample(range(60), 2))) for _ in range(90))})
+    taken = set()
+    for i, j in pairs:
+        if i not in taken:
+            taken.add(j)
+    nodes = [*range(60), *range(100, 115)]
+    graph = spark.createDataFrame(pairs, "i bigint, j bigint")
+    got = fuzzy_dedup.first_independent(graph, spark.createDataFrame([(n,) for n in nodes], "rep bigint"))
+    assert sorted(r.rep for r in got.collect()) == [n for n in nodes if n not in taken]
+    assert bool(written) == (one_walk < len(pairs))
+    none = fuzzy_dedup.first_independent(graph.limit(0), spark.createDataFrame([(3,)], "rep bigint"))
+    assert [r.rep for r in none.collect()] == [3]
